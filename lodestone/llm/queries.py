@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import html, mixing, packing, quality, substrings, suffixes, warc
+from lodestone.llm import ann, html, mixing, packing, quality, substrings, suffixes, warc
 from lodestone.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
