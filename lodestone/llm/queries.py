@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, html, mixing, packing, quality, substrings, suffixes, warc
+from lodestone.llm import ann, html, mixing, packing, quality, setsketch, substrings, suffixes, warc
 from lodestone.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))[1]
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return substrings.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_html": op1_extract_html,
     "op2_pack_documents": op2_pack_documents,
     "op3_warc_archive": op3_warc_archive,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
