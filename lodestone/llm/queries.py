@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, html, mixing, packing, quality, setsketch, substrings, suffixes, warc
+from lodestone.llm import ann, fingerprints, html, mixing, packing, quality, setsketch, substrings, suffixes, warc
 from lodestone.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return suffixes.dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_archive": op3_warc_archive,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_fingerprints": op6_fingerprints,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_nearest_neighbours": op9_nearest_neighbours,
