@@ -1 +1,147 @@
-"""To come."""
+"""Structure and chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestone.catalog.base import query, read
+from lodestone.functions import markdown as md
+from lodestone.functions import models
+from lodestone.operators import windows as op
+
+#: The corpus has no markdown, so documents are given some, the same way in both engines.
+MD_SQL = "'# ' || lang || chr(10) || 'intro ' || doc_id || chr(10) || '### ' || source || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || n_chars || ' |' || chr(10) || '### deep' || chr(10) || text || chr(10) || '## end' || chr(10) || 'Q1: what is ' || lang || chr(10) || 'A: it is' || chr(10) || source || chr(10) || 'Q2: none' || chr(10) || '1. a' || chr(10) || '2. b'"
+LINES = f"(SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, string_split({MD_SQL}, chr(10)) AS l FROM documents))"
+
+
+def marked(spark, d):
+    return read(spark, d, "documents").withColumn("md", F.expr(MD_SQL.replace("chr(10)", "'\\n'")))
+
+
+@query("split_lines_chunks", "SELECT doc_id, unnest(range(0, len(l))) AS line_no, length(unnest(l)) AS n FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
+def _(spark, d):
+    """SC3, section 1.4: lines."""
+    return read(spark, d, "documents").select("doc_id", F.posexplode(md.lines("text")).alias("line_no", "line")).select("doc_id", "line_no", F.length("line").alias("n"))
+
+
+@query("table_islands", f"SELECT doc_id, no AS line_no, 1 AS table_index, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS row_index FROM {LINES} WHERE line LIKE '|%' AND line NOT LIKE '|---%'")
+def _(spark, d):
+    """T1, T9."""
+    return md.table_rows(marked(spark, d).where(~F.col("text").rlike(r"(?m)^\s*\|")), "doc_id", "md").select("doc_id", "line_no", "table_index", "row_index")
+
+
+@query("linear_tables", "SELECT doc_id, '- k: ' || source || '; v: ' || n_chars AS line FROM documents")
+def _(spark, d):
+    """T3, SC11: each row beside its headers."""
+    rows = md.table_rows(marked(spark, d).where(~F.col("text").rlike(r"(?m)^\s*\|")), "doc_id", "md")
+    head = rows.where("row_index = 1").select("doc_id", "table_index", F.col("cells").alias("headers"))
+    return rows.where("row_index > 1").join(head, ["doc_id", "table_index"]).select("doc_id", md.linear_row(F.col("headers"), F.col("cells")).alias("line"))
+
+
+@query(
+    "section_paths",
+    "SELECT doc_id, p[1] AS section_path, p[2]::int AS heading_level FROM (SELECT doc_id, unnest([[lang, '1'], [lang || ' > ' || source, '3'], [lang || ' > ' || source || ' > deep', '3'], [lang || ' > end', '2']]) AS p FROM documents)",
+)
+def _(spark, d):
+    """The list-stack breadcrumb, in which a skipped depth goes below."""
+    return md.section_rows(marked(spark, d), "doc_id", "md").select("doc_id", "section_path", "heading_level")
+
+
+@query(
+    "level_paths",
+    f"""WITH l AS (SELECT *, CASE WHEN no = 0 THEN 1 WHEN line LIKE '### %' THEN 3 WHEN line = '## end' THEN 2 END AS lv FROM {LINES}),
+    t AS (SELECT *, last_value(CASE WHEN lv = 1 THEN line[3:] END IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN lv = 2 THEN line[4:] END IGNORE NULLS) OVER w AS t2, last_value(CASE WHEN lv = 3 THEN line[5:] END IGNORE NULLS) OVER w AS t3, coalesce(max(CASE WHEN lv = 2 THEN no END) OVER w, -1) AS l2, coalesce(max(CASE WHEN lv = 3 THEN no END) OVER w, -1) AS l3 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY no))
+    SELECT doc_id, no AS line_no, concat_ws(' > ', t1, t2, CASE WHEN l3 > l2 THEN t3 END) AS section_path FROM t""",
+)
+def _(spark, d):
+    """The level-dictionary breadcrumb, by windows."""
+    rows = marked(spark, d).select("doc_id", F.posexplode(md.lines("md")).alias("line_no", "line"))
+    return md.level_paths(rows, "doc_id", "line_no", "line", 3).select("doc_id", "line_no", "section_path")
+
+
+@query("pack_greedy")
+def _(spark, d):
+    """Lines packed to 2200 characters; a row a chunk, linked."""
+    chunks = read(spark, d, "documents").select("doc_id", F.posexplode(md.packed(md.lines("text"), 2200)).alias("pos", "text"))
+    return op.link_indices(chunks, ["doc_id"], ["pos"]).select("doc_id", "chunk_index", "prev_index", "next_index", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("chunk_documents")
+def _(spark, d):
+    """Sections, packed, labelled with their file and path, linked over the document."""
+    sections = md.section_rows(marked(spark, d), "doc_id", "md").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    pieces = sections.select("doc_id", "source", "section", "section_path", F.posexplode(md.packed(md.lines("text"), 1500)).alias("pos", "piece"))
+    label = F.concat(F.lit("[Doc: "), "source", F.lit(" | Section: "), "section_path", F.lit("]\n"), "piece")
+    linked = op.link_indices(op.fragments(pieces, ["doc_id", "section"], ["pos"]), ["doc_id"], ["section", "pos"])
+    return linked.select("doc_id", "section_path", "chunk_index", "prev_index", "next_index", "fragment_index", "total_fragments", label.alias("text"))
+
+
+@query(
+    "diagnose_markdown",
+    r"""SELECT doc_id, length(m) AS chars, len(regexp_extract_all(m, '[\p{L}\p{M}\p{N}_]+')) AS words, 4::bigint AS headings, 1::bigint AS tables, 3::bigint AS table_rows, 0.333::double AS broken FROM (SELECT doc_id, """ + MD_SQL + r""" AS m FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*\|'))""",
+)
+def _(spark, d):
+    """X15."""
+    rows = marked(spark, d).where(~F.col("text").rlike(r"(?m)^\s*\|")).select("doc_id", md.diagnosis("md").alias("x"))
+    return rows.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in ("chars", "words", "headings", "tables", "table_rows", "broken")))
+
+
+@query("qa_pairs", "SELECT doc_id, 1 AS pair_index, 'what is ' || lang AS question, 'it is' || chr(10) || source AS answer FROM documents")
+def _(spark, d):
+    """A question without an answer is no pair."""
+    return md.qa_pairs(marked(spark, d), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "question", "answer")
+
+
+@query("qna_documents", "SELECT doc_id, false AS qna FROM documents")
+def _(spark, d):
+    """Two questions are not enough."""
+    return marked(spark, d).select("doc_id", md.is_qna("md").alias("qna"))
+
+
+@query("summaries", "SELECT doc_id, string_agg(h, ', ' ORDER BY no) AS headings FROM (SELECT doc_id, no, regexp_replace(line, '^#+ ', '') AS h, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS n FROM " + LINES + " WHERE regexp_matches(line, '^#{1,6}[ \t]+[^ \t]')) WHERE n <= 3 GROUP BY doc_id")
+def _(spark, d):
+    """T5, L9."""
+    titles = F.transform(F.filter(md.lines("md"), lambda x: md.level(x) > 0), md.title)
+    return marked(spark, d).select("doc_id", F.array_join(F.slice(titles, 1, 3), ", ").alias("headings"))
+
+
+@query("overlap_batches", "SELECT doc_id, greatest(1, ceil((length(text) - 100) / 900.0))::bigint AS batches, true AS restored FROM documents WHERE length(text) > 0")
+def _(spark, d):
+    """Pieces of 1000 that share 100, and put together again."""
+    pieces = md.overlapping("text", 1000, 100)
+    back = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(p, 101, 900)), ""))
+    return read(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.size(pieces).cast("long").alias("batches"), (back == F.col("text")).alias("restored"))
+
+
+@query("clean_artifacts")
+def _(spark, d):
+    """X3, X4, X6."""
+    return read(spark, d, "documents").select("doc_id", F.md5(md.header_depths(md.cleaned("text"))).alias("cleaned"))
+
+
+@query("normaliser_checks")
+def _(spark, d):
+    """A result that lost half of its lines."""
+    half = F.array_join(F.filter(md.lines("text"), lambda x: F.length(x) % 2 == 0), "\n")
+    return read(spark, d, "documents").select("doc_id", md.normaliser_warnings(F.col("text"), half).alias("warnings"))
+
+
+@query("viterbi_segment")
+def _(spark, d):
+    """Words run together, split by the most likely path over the corpus's own frequent words."""
+    words = read(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").count()
+    vocabulary = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(5000).collect()]  # a bounded vocabulary
+    joined = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), 1, 60)
+    return read(spark, d, "benchmark").select("item_id", models.segmented(vocabulary)(joined).alias("text"))
+
+
+@query("embed_batches")
+def _(spark, d):
+    """A deterministic embedding of each text, in Arrow batches; any model fits the same place."""
+    return read(spark, d, "documents").select("doc_id", models.hashed_embedding(16)(F.col("text")).alias("embedding"))
+
+
+@query("keyword_lines", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE contains(lower(line), 'license') GROUP BY doc_id")
+def _(spark, d):
+    """A gate that only looks at lines."""
+    return read(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("license")))).cast("long").alias("n")).where("n > 0")

@@ -1 +1 @@
-
+"""Whole plans: retrieval and question understanding."""
