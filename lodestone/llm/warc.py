@@ -169,7 +169,7 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
             name = f"part-{part:06d}-{n:04d}.warc.zst"
             store.create_dir(root, recursive=True)
             temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(temporary) as f:
+            with store.open_output_stream(temporary, compression=None) as f:
                 f.write(writer.finish())
             store.move(temporary, f"{root}/{name}")
             out = pd.DataFrame([(r[0], name, *r[1:]) for r in rows], columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
