@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 SAMPLES = 32
 #: Samples that one row carries through the aggregation.
 LANES = 4
-RANGE_ROWS = 2000
+RANGE_ROWS = 1000
 MOST_RANGES = 4096
 LAST = -(1 << 63)
+ABOUT = "struct<doc_id: bigint, copy: int, n_chars: bigint, edited_sha256: string>"
 
 
 def uniform(bits: Column, place: int) -> Column:
@@ -48,8 +49,8 @@ def arrival(word: Column, log_weight: Column, sample: Column) -> Column:
     return F.shiftleft(order.cast("long"), 31).bitwiseOR(F.xxhash64(word, t, sample).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
-def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text, ord, tie, range of every row; and of each range's first document: ord, and the range before."""
+def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """doc_id, text, ord, tie, range of every row; of each range's first document: ord, and the range before; the number of ranges."""
     ord_ = F.coalesce(F.col("doc_id"), F.lit(LAST))
     n = docs.count()
     parts = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
@@ -64,7 +65,7 @@ def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = Window.orderBy("range")  # one row a range
     firsts = firsts.withColumn("to", F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy(F.lit(1)))))
     rows = docs.select("doc_id", "text", ord_.alias("ord")).withColumn("range", number)
-    return rows, firsts.select(F.col("ord").alias("first_ord"), "to")
+    return rows, firsts.select(F.col("ord").alias("first_ord"), "to"), parts
 
 
 def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -74,30 +75,33 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     of the next document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows, firsts = with_ranges(docs)
+    rows, firsts, parts = with_ranges(docs)
     copies = rows.join(firsts, rows["ord"] == firsts["first_ord"]).select("doc_id", "text", "ord", F.col("to").alias("range"), F.lit(1).alias("copy"))
     rows = rows.select("doc_id", "text", "ord", "range", F.lit(0).alias("copy")).union(copies)
+    rows = rows.repartition(parts, "range")
     place = Window.partitionBy("range").orderBy("copy", F.col("ord").desc(), F.xxhash64("text"))
     rows = rows.select("*", F.row_number().over(place).alias("rn"), F.coalesce(F.lead("text").over(place), F.lit("")).alias("next_text"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut)))
-    about = rows.select("doc_id", "range", "rn", "copy", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-
-    sides = F.when(F.col("copy") == 0, F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t"))))
-    words = rows.select("range", "rn", F.explode(sides).alias("s")).select("range", "rn", "s.side", F.explode(F.split("s.t", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
-    counts = words.select("range", "rn", "side", F.xxhash64("word").alias("word")).groupBy("range", "rn", "side", "word").agg(F.count("*").alias("w"))
-    lanes = counts.select("range", "rn", "side", "word", F.log("w").alias("lw"), F.explode(F.array(*map(F.lit, range(0, samples, LANES)))).alias("k"))
-    least = lanes.groupBy("range", "rn", "side", "k").agg(*(F.min(arrival(F.col("word"), F.col("lw"), F.col("k") + i)).alias(f"m{i}") for i in range(LANES)))
+    # one stream of rows for words and for what the result says of a document, so that texts are shuffled and sorted once
+    about = F.struct("doc_id", "copy", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    own = F.struct(F.lit(0).alias("side"), F.col("text").alias("t"), F.lit(None).cast(ABOUT).alias("about"))
+    other = F.struct(F.lit(1).alias("side"), F.col("edited").alias("t"), F.lit(None).cast(ABOUT).alias("about"))
+    row = F.struct(F.lit(-1).alias("side"), F.lit("-").alias("t"), about.alias("about"))
+    sides = rows.select("range", "rn", F.explode(F.when(F.col("copy") == 0, F.array(row, own, other)).otherwise(F.array(row, own))).alias("s")).select("range", "rn", "s.*")
+    words = sides.select("range", "rn", "side", "about", F.explode(F.split("t", r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''")
+    counts = words.select("range", "rn", "side", "about", F.xxhash64("word").alias("word")).groupBy("range", "rn", "side", "about", "word").agg(F.count("*").alias("w"))
+    carried = F.when(F.col("side") < 0, F.array(F.lit(0))).otherwise(F.array(*map(F.lit, range(0, samples, LANES))))
+    lanes = counts.select("range", "rn", "side", "about", "word", F.log("w").alias("lw"), F.explode(carried).alias("k"))
+    least = lanes.groupBy("range", "rn", "side", "about", "k").agg(*(F.min(arrival(F.col("word"), F.col("lw"), F.col("k") + i)).alias(f"m{i}") for i in range(LANES)))
     low = [F.col(f"m{i}").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias(f"m{i}") for i in range(LANES)]
-    lists = least.select("range", "rn", F.struct("side", "k", *low).alias("x")).groupBy("range", "rn").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    lists = least.select("range", "rn", "about", F.struct("side", "k", *low).alias("x")).groupBy("range", "rn").agg(F.array_sort(F.collect_list("x")).alias("x"), F.max("about").alias("about"))
 
     def picked(side: int) -> Column:
         return F.flatten(F.transform(F.filter("x", lambda x: x["side"] == side), lambda x: F.array(*(x[f"m{i}"] for i in range(LANES)))))
 
-    lists = lists.select("range", "rn", picked(0).alias("own"), picked(1).alias("other"))
-    nothing = F.array().cast("array<int>")
-    joined = about.join(lists, ["range", "rn"], "left").withColumns({"own": F.coalesce("own", nothing), "other": F.coalesce("other", nothing)})
+    joined = lists.select("range", "rn", "about.*", picked(0).alias("own"), picked(1).alias("other"))
     following = Window.partitionBy("range").orderBy("rn")
     joined = joined.withColumn("next", F.lead("own").over(following)).where("copy = 0")
 

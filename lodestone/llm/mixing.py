@@ -115,11 +115,12 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     A document that is taken in part gives its first words, joined by a space.  Documents are matched to
     the plan by doc_id and number of words; text and n_chars follow what is taken.
     """
-    sized = docs.withColumn("_size", word_count(F.col("text").cast("string")))
-    sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(F.xxhash64("text"))))
-    chosen = plan(docs, seed).select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), "passes", "extra", "shards")
-    chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy("_d", "_s").orderBy("passes", F.col("extra").desc(), "shards")))
-    rows = sized.join(chosen, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_n")))
+    null = F.lit(-(1 << 63))
+    sized = docs.withColumns({"_size": word_count(F.col("text").cast("string")), "_key": F.coalesce(F.col("doc_id").cast("long"), null)})
+    sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_size").orderBy(F.xxhash64("text"))))
+    chosen = plan(docs, seed).select(F.coalesce("doc_id", null).alias("_key"), F.col("size").alias("_size"), "passes", "extra", "shards")
+    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_size").orderBy("passes", F.col("extra").desc(), "shards")))
+    rows = sized.join(chosen, ["_key", "_size", "_nth"])  # both sides are dealt by key and size already: texts move once
     rows = rows.where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("_copy", "_shard"))
     cut = (F.col("_copy") >= F.col("passes")) & (F.col("extra") < F.col("_size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("text"))

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, StructField, StructType
 
-LABELLED = 12_000
-POOL = 8_000
+LABELLED = 6_000
+POOL = 4_000
 ROUNDS = 4
 GRAMS = 1024
 SOURCES, LANGS, LAYOUT = 64, 16, 8

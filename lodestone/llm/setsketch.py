@@ -13,8 +13,9 @@ a sketch cost a few thousand draws however long the text.  Sketches merge by the
    sizes; only pairs for which the threshold is out of reach by a wide margin are dropped.
 4. What is left is verified on the full shingle sets, in exact integers.
 5. Links give components by alternating large-star and small-star steps.  In each large bucket, members that
-   are outside of the component that most belong to are then paired with every member outside of
-   theirs, so that pivots lose no link.
+   are outside of the component that most belong to are then held against every member outside of theirs,
+   block by block on the registers alone: first the likeliest few of each go on to verification, and of members
+   that still stand outside all pairs that the estimate does not rule out, so that pivots lose no link.
 
 With 40 bands of 5, a pair at the threshold of 0.8 shares no bucket with a probability of about 1e-7.
 
@@ -36,9 +37,11 @@ from lodestone.llm.substrings import Words
 
 REGISTERS, BANDS, ROWS = 200, 40, 5
 BASE, RATE, TOP = 1.001, 20.0, 65535
-SMALL, PIVOTS = 24, 6
-#: A pair is dropped before verification only if its log-likelihood at the threshold is lower by this (six sigma).
-MARGIN = 18.0
+SMALL, PIVOTS, LIKELIEST = 16, 2, 4
+#: A pair is dropped before verification only if its log-likelihood at the threshold is lower by this (4.5 sigma).
+MARGIN = 10.0
+#: Members of a bucket that meet in one task.
+BLOCK = 2048
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
 U = np.uint64
 
@@ -213,6 +216,48 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def apart(large: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, likeliest: int | None) -> DataFrame | None:
+    """Pairs (a, b) of members of large buckets in different components, one of them outside of its bucket's main one.
+
+    All of them, or the ``likeliest`` of each such member and block, as far as the estimate does not rule them out.
+    """
+    placed = materialize(large.join(found, large["rep"] == found["node"], "left").select("bucket", "band", "rep", "members", F.coalesce("component", "rep").alias("component")), "placed")
+    tally = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds"), F.sum("count").alias("all")).where("kinds > 1")
+    tally = tally.select("bucket", F.col("most.component").alias("main"), (F.col("all") - F.col("most.count")).alias("n_outside"))
+    known = materialize(placed.join(tally, "bucket").join(classes.select("rep", "n", "registers"), "rep"), "apart")
+    if not known.limit(1).count():
+        return None
+    rows, cols = F.ceil(F.col("n_outside") / BLOCK).cast("int"), F.ceil(F.col("members") / BLOCK).cast("int")
+    common = ["bucket", "band", "rep", "component", "n", "registers"]
+    row, col = F.pmod(F.xxhash64("rep"), rows).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), cols).cast("int")
+    outside = known.where("component <> main").select(*common, row.alias("row"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("col"))
+    every = known.select(*common, col.alias("col"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
+    none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return none
+        (k_u, n_u, c_u, r_u), (k_m, n_m, c_m, r_m) = ((np.frombuffer(b"".join(t.column("registers").to_pylist()), ">u2").astype(np.uint16).reshape(-1, REGISTERS), *(t.column(c).to_numpy() for c in ("n", "component", "rep"))) for t in (left, right))
+        band, out = left.column("band")[0].as_py(), [np.zeros((0, 2), np.int64)]
+        least_same = REGISTERS * threshold - 5 * np.sqrt(REGISTERS * threshold * (1 - threshold))
+        for u in range(len(k_u)):
+            at = np.flatnonzero((c_m != c_u[u]) & (np.minimum(n_m, n_u[u]) >= threshold * np.maximum(n_m, n_u[u])))
+            same = k_m[at] == k_u[u]
+            # a pair is met in the first band that it shares
+            here = (same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band) & (same.sum(1) >= least_same)
+            at, same = at[here], same[here].sum(1)
+            if len(at):
+                fine = likely(k_m[at], np.repeat(k_u[u : u + 1], len(at), 0), n_m[at].astype(float), np.full(len(at), float(n_u[u])), threshold)[1]
+                at, same = at[fine], same[fine]
+            if likeliest is not None and len(at) > likeliest:
+                at = at[np.argsort(-same, kind="stable")[:likeliest]]
+            out.append(np.column_stack([np.minimum(r_m[at], r_u[u]), np.maximum(r_m[at], r_u[u])]))
+        pairs = np.unique(np.concatenate(out), axis=0)
+        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return outside.groupBy("bucket", "row", "col").cogroup(every.groupBy("bucket", "row", "col")).applyInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; ``size`` words a shingle, ``percent`` of Jaccard."""
     threshold = percent / 100
@@ -221,10 +266,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = materialize(classes, "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
-    banded = classes.select("rep", F.explode(band).alias("bucket"))
+    banded = classes.select("rep", F.posexplode(band).alias("band", "bucket"))
     pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep"))["rep"] for k in range(PIVOTS)]
     counts = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("first_rep"), F.max("rep").alias("last_rep")).where("first_rep < last_rep")
-    members = materialize(banded.join(counts.select("bucket", "members"), "bucket"), "buckets")
+    members = materialize(banded.join(counts.select("bucket", "members"), "bucket"), "buckets")  # bucket, rep, band, members
     small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
     left, right = small.select("bucket", F.col("rep").alias("a")), small.select("bucket", F.col("rep").alias("b"))
     squares = left.join(right, "bucket").where("a < b").select("a", "b")
@@ -237,15 +282,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     links = checked(squares.union(stars), "first")
     found = materialize(components(links), "components")
-    if large.limit(1).count():
-        # which members of large buckets stand outside of the component that most of the bucket is in
-        placed = materialize(large.join(found, large["rep"] == found["node"], "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component")), "placed")
-        tally = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-        outside = placed.join(tally.select("bucket", F.col("most.component").alias("main")), "bucket").where("component <> main").select("bucket", F.col("rep").alias("p"), F.col("component").alias("c"))
-        rest = outside.join(placed, "bucket").where("component <> c AND rep <> p").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-        if outside.limit(1).count():
-            links = links.union(checked(rest, "rest"))
-            found = materialize(components(links), "components")
+    for likeliest in (LIKELIEST, None):
+        rest = apart(large, found, classes, threshold, likeliest)
+        if rest is None:
+            break
+        links = links.union(checked(rest, "rest"))
+        found = materialize(components(links), "components")
     labels = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     joined = rows.join(labels.withColumnsRenamed({"set_a": "x", "set_b": "y"}), (rows["set_a"] == F.col("x")) & (rows["set_b"] == F.col("y")) & (rows["n_shingles"] > 0) & rows["doc_id"].isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
