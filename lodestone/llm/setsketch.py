@@ -13,9 +13,9 @@ a sketch cost a few thousand draws however long the text.  Sketches merge by the
    sizes; only pairs for which the threshold is out of reach by a wide margin are dropped.
 4. What is left is verified on the full shingle sets, in exact integers.
 5. Links give components by alternating large-star and small-star steps.  In each large bucket, members that
-   are outside of the component that most belong to are then held against every member outside of theirs,
-   block by block on the registers alone: first the likeliest few of each go on to verification, and of members
-   that still stand outside all pairs that the estimate does not rule out, so that pivots lose no link.
+   are outside of the component that most belong to are then held against every member outside of theirs, block by
+   block: on the registers first, and pairs that the estimate does not rule out on the full sets, likeliest first,
+   as long as they are not joined yet.  So pivots lose no link.
 
 With 40 bands of 5, a pair at the threshold of 0.8 shares no bucket with a probability of about 1e-7.
 
@@ -37,11 +37,11 @@ from lodestone.llm.substrings import Words
 
 REGISTERS, BANDS, ROWS = 200, 40, 5
 BASE, RATE, TOP = 1.001, 20.0, 65535
-SMALL, PIVOTS, LIKELIEST = 16, 2, 4
+SMALL, PIVOTS = 16, 2
 #: A pair is dropped before verification only if its log-likelihood at the threshold is lower by this (4.5 sigma).
 MARGIN = 10.0
 #: Members of a bucket that meet in one task.
-BLOCK = 2048
+BLOCK = 1024
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
 U = np.uint64
 
@@ -162,11 +162,10 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs with 100 * shared >= percent * united shingles, counted on full sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct()
+def shingled(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+    """d, shingles (packed sets) of the documents ``needed`` (d). Texts move once, however many are needed."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    needed_texts = texts.join(needed, texts["doc_id"] == needed["d"], "left_semi")
+    found = texts.join(needed.hint("merge"), texts["doc_id"] == needed["d"], "left_semi")
 
     def sets(batches):
         for batch in batches:
@@ -175,17 +174,26 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
                 z, begin = shingle_sets(part.column(1), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ch.pack_sorted(z[a:b]) for a, b in zip(begin[:-1], begin[1:])], pa.binary())], names=["d", "shingles"])
 
-    given = materialize(needed_texts.mapInArrow(sets, "d long, shingles binary"), "shingles")
+    return materialize(found.mapInArrow(sets, "d long, shingles binary"), "shingles")
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted sets have 100 * shared >= percent * united."""
+    shared = int(ch.member(y, x).sum()) if len(x) >= len(y) else int(ch.member(x, y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def verified(pairs: DataFrame, given: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, counted on full sets."""
 
     def run(batches):
         for batch in batches:
             keep, last, x = [], None, None
-            for a, b in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist()):
-                if a is not last:
+            for a, b in zip(batch.column("s_a"), batch.column("s_b")):
+                a = a.as_py()
+                if a != last:
                     last, x = a, ch.unpack_sorted(a)
-                y = ch.unpack_sorted(b)
-                shared = int(ch.member(y, x).sum()) if len(x) >= len(y) else int(ch.member(x, y).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+                keep.append(linked(x, ch.unpack_sorted(b.as_py()), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = [given.select(F.col("d").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab"]
@@ -216,11 +224,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def apart(large: DataFrame, found: DataFrame, classes: DataFrame, threshold: float, likeliest: int | None) -> DataFrame | None:
-    """Pairs (a, b) of members of large buckets in different components, one of them outside of its bucket's main one.
-
-    All of them, or the ``likeliest`` of each such member and block, as far as the estimate does not rule them out.
-    """
+def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) that join components which share a large bucket: of members outside of their bucket's main component with all others."""
+    threshold = percent / 100
     placed = materialize(large.join(found, large["rep"] == found["node"], "left").select("bucket", "band", "rep", "members", F.coalesce("component", "rep").alias("component")), "placed")
     tally = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds"), F.sum("count").alias("all")).where("kinds > 1")
     tally = tally.select("bucket", F.col("most.component").alias("main"), (F.col("all") - F.col("most.count")).alias("n_outside"))
@@ -232,13 +238,15 @@ def apart(large: DataFrame, found: DataFrame, classes: DataFrame, threshold: flo
     row, col = F.pmod(F.xxhash64("rep"), rows).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), cols).cast("int")
     outside = known.where("component <> main").select(*common, row.alias("row"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("col"))
     every = known.select(*common, col.alias("col"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
-    none = pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+    block = ["bucket", "row", "col"]
+    kinds = "bucket long, row int, col int, a long, b long, c_a long, c_b long, same long"
+    names = [k.split()[0] for k in kinds.split(", ")]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return none
+            return pa.table([pa.array([], pa.int32() if c in ("row", "col") else pa.int64()) for c in names], names=names)
         (k_u, n_u, c_u, r_u), (k_m, n_m, c_m, r_m) = ((np.frombuffer(b"".join(t.column("registers").to_pylist()), ">u2").astype(np.uint16).reshape(-1, REGISTERS), *(t.column(c).to_numpy() for c in ("n", "component", "rep"))) for t in (left, right))
-        band, out = left.column("band")[0].as_py(), [np.zeros((0, 2), np.int64)]
+        band, out = left.column("band")[0].as_py(), [np.zeros((0, 5), np.int64)]
         least_same = REGISTERS * threshold - 5 * np.sqrt(REGISTERS * threshold * (1 - threshold))
         for u in range(len(k_u)):
             at = np.flatnonzero((c_m != c_u[u]) & (np.minimum(n_m, n_u[u]) >= threshold * np.maximum(n_m, n_u[u])))
@@ -249,13 +257,41 @@ def apart(large: DataFrame, found: DataFrame, classes: DataFrame, threshold: flo
             if len(at):
                 fine = likely(k_m[at], np.repeat(k_u[u : u + 1], len(at), 0), n_m[at].astype(float), np.full(len(at), float(n_u[u])), threshold)[1]
                 at, same = at[fine], same[fine]
-            if likeliest is not None and len(at) > likeliest:
-                at = at[np.argsort(-same, kind="stable")[:likeliest]]
-            out.append(np.column_stack([np.minimum(r_m[at], r_u[u]), np.maximum(r_m[at], r_u[u])]))
+            mine = r_u[u] < r_m[at]
+            out.append(np.column_stack([np.where(mine, r_u[u], r_m[at]), np.where(mine, r_m[at], r_u[u]), np.where(mine, c_u[u], c_m[at]), np.where(mine, c_m[at], c_u[u]), same]))
         pairs = np.unique(np.concatenate(out), axis=0)
-        return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        head = [np.full(len(pairs), left.column(c)[0].as_py()) for c in block]
+        return pa.table([pa.array(head[0], pa.int64()), *(pa.array(h, pa.int32()) for h in head[1:]), *(pa.array(pairs[:, k], pa.int64()) for k in range(5))], names=names)
+
+    met = materialize(outside.groupBy(*block).cogroup(every.groupBy(*block)).applyInArrow(meet, kinds), "met")
+    there = [f"{c}_" for c in block]
+    needed = met.select(*(F.col(c).alias(f"{c}_") for c in block), F.explode(F.array("a", "b")).alias("d")).distinct()
+    sets = needed.join(given, "d").select(*there, "d", "shingles")
 
-    return outside.groupBy("bucket", "row", "col").cogroup(every.groupBy("bucket", "row", "col")).applyInArrow(meet, "a long, b long")
+    def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        place = {d: k for k, d in enumerate(sets.column("d").to_pylist())}
+        packed, open_, up, links = sets.column("shingles"), {}, {}, []
+
+        def of(d: int) -> np.ndarray:
+            if d not in open_:
+                if len(open_) >= BLOCK:
+                    open_.clear()
+                open_[d] = ch.unpack_sorted(packed[place[d]].as_py())
+            return open_[d]
+
+        def top(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
+        for a, b, c_a, c_b in zip(*(pairs.sort_by([("same", "descending"), ("a", "ascending"), ("b", "ascending")]).column(c).to_pylist() for c in ("a", "b", "c_a", "c_b"))):
+            c_a, c_b = top(c_a), top(c_b)
+            if c_a != c_b and linked(of(a), of(b), percent):
+                up[max(c_a, c_b)] = min(c_a, c_b)
+                links.append((a, b))
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return met.groupBy(*block).cogroup(sets.groupBy(*there)).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -270,25 +306,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep"))["rep"] for k in range(PIVOTS)]
     counts = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("first_rep"), F.max("rep").alias("last_rep")).where("first_rep < last_rep")
     members = materialize(banded.join(counts.select("bucket", "members"), "bucket"), "buckets")  # bucket, rep, band, members
+    all_classes = classes
+    classes = materialize(classes.join(members.select("rep").distinct(), "rep", "left_semi"), "crowd")  # those that meet another
     small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
     left, right = small.select("bucket", F.col("rep").alias("a")), small.select("bucket", F.col("rep").alias("b"))
     squares = left.join(right, "bucket").where("a < b").select("a", "b")
     chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
     stars = large.join(chosen, "bucket").select("rep", F.explode("pivots").alias("p")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a < b")
 
-    def checked(pairs: DataFrame, name: str) -> DataFrame:
-        likely_pairs = materialize(estimated(pairs.distinct(), classes, threshold), f"{name}-pairs")
-        return materialize(verified(likely_pairs, docs, size, percent), f"{name}-links")
-
-    links = checked(squares.union(stars), "first")
+    pairs = materialize(estimated(squares.union(stars).distinct(), classes, threshold), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("d")).union(large.select("rep")).distinct()
+    given = shingled(docs, needed, size)
+    links = materialize(verified(pairs, given, percent), "links")
     found = materialize(components(links), "components")
-    for likeliest in (LIKELIEST, None):
-        rest = apart(large, found, classes, threshold, likeliest)
-        if rest is None:
-            break
-        links = links.union(checked(rest, "rest"))
-        found = materialize(components(links), "components")
-    labels = classes.join(found, classes["rep"] == found["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
+    more = apart(large, found, classes, given, percent)
+    if more is not None:
+        found = materialize(components(links.union(materialize(more, "links"))), "components")
+    labels = all_classes.join(found, all_classes["rep"] == found["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     joined = rows.join(labels.withColumnsRenamed({"set_a": "x", "set_b": "y"}), (rows["set_a"] == F.col("x")) & (rows["set_b"] == F.col("y")) & (rows["n_shingles"] > 0) & rows["doc_id"].isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
