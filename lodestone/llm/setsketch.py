@@ -224,6 +224,30 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def side_of(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Registers, set sizes, components and representatives of a block's rows."""
+    registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), ">u2").astype(np.uint16).reshape(-1, REGISTERS)
+    return registers, *(rows.column(c).to_numpy() for c in ("n", "component", name))
+
+
+def likely_pairs(u: tuple, m: tuple, band: int, threshold: float):
+    """For each row of ``u``: its number, the rows of ``m`` that it may be linked with, and the registers they share.
+
+    Only of other components, and only in the first band that a pair shares, so that a pair is met in one bucket.
+    """
+    (k_u, n_u, c_u, _), (k_m, n_m, c_m, _) = u, m
+    least_same = REGISTERS * threshold - 5 * np.sqrt(REGISTERS * threshold * (1 - threshold))
+    for k in range(len(k_u)):
+        at = np.flatnonzero((c_m != c_u[k]) & (np.minimum(n_m, n_u[k]) >= threshold * np.maximum(n_m, n_u[k])))
+        same = k_m[at] == k_u[k]
+        here = (same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band) & (same.sum(1) >= least_same)
+        at, same = at[here], same[here].sum(1)
+        if len(at):
+            fine = likely(k_m[at], np.repeat(k_u[k : k + 1], len(at), 0), n_m[at].astype(float), np.full(len(at), float(n_u[k])), threshold)[1]
+            at, same = at[fine], same[fine]
+        yield k, at, same
+
+
 def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) that join components which share a large bucket: of members outside of their bucket's main component with all others."""
     threshold = percent / 100
@@ -239,59 +263,63 @@ def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFra
     outside = known.where("component <> main").select(*common, row.alias("row"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("col"))
     every = known.select(*common, col.alias("col"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"))
     block = ["bucket", "row", "col"]
-    kinds = "bucket long, row int, col int, a long, b long, c_a long, c_b long, same long"
+    kinds = "bucket long, row int, col int, band int, d long, component long, left boolean, right boolean"
     names = [k.split()[0] for k in kinds.split(", ")]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Who has a likely pair in the block: the pairs themselves stay here."""
         if not len(left) or not len(right):
-            return pa.table([pa.array([], pa.int32() if c in ("row", "col") else pa.int64()) for c in names], names=names)
-        (k_u, n_u, c_u, r_u), (k_m, n_m, c_m, r_m) = ((np.frombuffer(b"".join(t.column("registers").to_pylist()), ">u2").astype(np.uint16).reshape(-1, REGISTERS), *(t.column(c).to_numpy() for c in ("n", "component", "rep"))) for t in (left, right))
-        band, out = left.column("band")[0].as_py(), [np.zeros((0, 5), np.int64)]
-        least_same = REGISTERS * threshold - 5 * np.sqrt(REGISTERS * threshold * (1 - threshold))
-        for u in range(len(k_u)):
-            at = np.flatnonzero((c_m != c_u[u]) & (np.minimum(n_m, n_u[u]) >= threshold * np.maximum(n_m, n_u[u])))
-            same = k_m[at] == k_u[u]
-            # a pair is met in the first band that it shares
-            here = (same.reshape(len(at), BANDS, ROWS).all(2).argmax(1) == band) & (same.sum(1) >= least_same)
-            at, same = at[here], same[here].sum(1)
-            if len(at):
-                fine = likely(k_m[at], np.repeat(k_u[u : u + 1], len(at), 0), n_m[at].astype(float), np.full(len(at), float(n_u[u])), threshold)[1]
-                at, same = at[fine], same[fine]
-            mine = r_u[u] < r_m[at]
-            out.append(np.column_stack([np.where(mine, r_u[u], r_m[at]), np.where(mine, r_m[at], r_u[u]), np.where(mine, c_u[u], c_m[at]), np.where(mine, c_m[at], c_u[u]), same]))
-        pairs = np.unique(np.concatenate(out), axis=0)
-        head = [np.full(len(pairs), left.column(c)[0].as_py()) for c in block]
-        return pa.table([pa.array(head[0], pa.int64()), *(pa.array(h, pa.int32()) for h in head[1:]), *(pa.array(pairs[:, k], pa.int64()) for k in range(5))], names=names)
+            return pa.table({"bucket": pa.array([], pa.int64()), "row": pa.array([], pa.int32()), "col": pa.array([], pa.int32()), "band": pa.array([], pa.int32()), "d": pa.array([], pa.int64()), "component": pa.array([], pa.int64()), "left": pa.array([], pa.bool_()), "right": pa.array([], pa.bool_())})
+        u, m = (side_of(t, "rep") for t in (left, right))
+        hit_u, hit_m = np.zeros(len(u[3]), np.bool_), np.zeros(len(m[3]), np.bool_)
+        for k, at, _ in likely_pairs(u, m, left.column("band")[0].as_py(), threshold):
+            hit_u[k] = len(at) > 0
+            hit_m[at] = True
+        d, component = np.concatenate([u[3][hit_u], m[3][hit_m]]), np.concatenate([u[2][hit_u], m[2][hit_m]])
+        d, at, inverse = np.unique(d, return_index=True, return_inverse=True)
+        flags = np.zeros((2, len(d)), np.bool_)
+        flags[0, inverse[: hit_u.sum()]] = True
+        flags[1, inverse[hit_u.sum() :]] = True
+        head = [pa.array(np.full(len(d), left.column(c)[0].as_py()), t) for c, t in (("bucket", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("band", pa.int32()))]
+        return pa.table([*head, pa.array(d), pa.array(component[at]), pa.array(flags[0]), pa.array(flags[1])], names=names)
 
     met = materialize(outside.groupBy(*block).cogroup(every.groupBy(*block)).applyInArrow(meet, kinds), "met")
-    there = [f"{c}_" for c in block]
-    needed = met.select(*(F.col(c).alias(f"{c}_") for c in block), F.explode(F.array("a", "b")).alias("d")).distinct()
-    sets = needed.join(given, "d").select(*there, "d", "shingles")
-
-    def confirm(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        place = {d: k for k, d in enumerate(sets.column("d").to_pylist())}
-        packed, open_, up, links = sets.column("shingles"), {}, {}, []
-
-        def of(d: int) -> np.ndarray:
-            if d not in open_:
+    about = classes.select(F.col("rep").alias("d"), "n", "registers")
+    full = met.join(given, "d").join(about, "d").select(*names, "n", "registers", "shingles")
+
+    def confirm(rows: pa.Table) -> pa.Table:
+        """The same pairs again, on full sets, likeliest first; components that are joined need no other link."""
+        sides = [rows.filter(rows.column(c)) for c in ("left", "right")]
+        u, m = (side_of(t, "d") for t in sides)
+        first, second, alike = ([np.zeros(0, np.int64)] for _ in range(3))
+        for k, at, same in likely_pairs(u, m, rows.column("band")[0].as_py(), threshold):
+            first.append(np.full(len(at), k))
+            second.append(at)
+            alike.append(same)
+        first, second, alike = (np.concatenate(x) for x in (first, second, alike))
+        order = np.lexsort((m[3][second], u[3][first], -alike))
+        packed, open_, up, links = [t.column("shingles") for t in sides], {}, {}, []
+
+        def of(side: int, k: int) -> np.ndarray:
+            if (side, k) not in open_:
                 if len(open_) >= BLOCK:
                     open_.clear()
-                open_[d] = ch.unpack_sorted(packed[place[d]].as_py())
-            return open_[d]
+                open_[side, k] = ch.unpack_sorted(packed[side][k].as_py())
+            return open_[side, k]
 
         def top(c: int) -> int:
             while c in up:
                 c = up[c]
             return c
 
-        for a, b, c_a, c_b in zip(*(pairs.sort_by([("same", "descending"), ("a", "ascending"), ("b", "ascending")]).column(c).to_pylist() for c in ("a", "b", "c_a", "c_b"))):
-            c_a, c_b = top(c_a), top(c_b)
-            if c_a != c_b and linked(of(a), of(b), percent):
-                up[max(c_a, c_b)] = min(c_a, c_b)
-                links.append((a, b))
-        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for k, j in zip(first[order].tolist(), second[order].tolist()):
+            a, b = top(int(u[2][k])), top(int(m[2][j]))
+            if a != b and linked(of(0, k), of(1, j), percent):
+                up[max(a, b)] = min(a, b)
+                links.append((int(u[3][k]), int(m[3][j])))
+        return pa.table([pa.array([f(x) for x in links], pa.int64()) for f in (min, max)], names=["a", "b"])
 
-    return met.groupBy(*block).cogroup(sets.groupBy(*there)).applyInArrow(confirm, "a long, b long")
+    return full.groupBy(*block).applyInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
