@@ -60,6 +60,23 @@ def materialize_with_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Tables that one operator needs only until its result is written."""
+
+    def __init__(self):
+        self.tables: list[tuple[SparkSession, str]] = []
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = materialize_with_path(df, name)
+        self.tables.append((df.sparkSession, path))
+        return out
+
+    def drop(self) -> None:
+        for spark, path in self.tables:
+            drop_path(spark, path)
+        self.tables.clear()
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text column; null counts 0. Counts word starts, which is cheaper than splitting."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import chunks as ch
-from lodestone.llm.common import drop_path, materialize, materialize_with_path
+from lodestone.llm.common import Scratch, drop_path, materialize, materialize_with_path
 from lodestone.llm.substrings import Words
 
 REGISTERS, BANDS, ROWS = 200, 40, 5
@@ -162,7 +162,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def shingled(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
+def shingled(docs: DataFrame, needed: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     """d, shingles (packed sets) of the documents ``needed`` (d). Texts move once, however many are needed."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     found = texts.join(needed.hint("merge"), texts["doc_id"] == needed["d"], "left_semi")
@@ -174,7 +174,7 @@ def shingled(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
                 z, begin = shingle_sets(part.column(1), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([ch.pack_sorted(z[a:b]) for a, b in zip(begin[:-1], begin[1:])], pa.binary())], names=["d", "shingles"])
 
-    return materialize(found.mapInArrow(sets, "d long, shingles binary"), "shingles")
+    return scratch.keep(found.mapInArrow(sets, "d long, shingles binary"), "shingles")
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -248,13 +248,13 @@ def likely_pairs(u: tuple, m: tuple, band: int, threshold: float):
         yield k, at, same
 
 
-def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFrame, percent: int) -> DataFrame | None:
+def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
     """Links (a, b) that join components which share a large bucket: of members outside of their bucket's main component with all others."""
     threshold = percent / 100
-    placed = materialize(large.join(found, large["rep"] == found["node"], "left").select("bucket", "band", "rep", "members", F.coalesce("component", "rep").alias("component")), "placed")
+    placed = scratch.keep(large.join(found, large["rep"] == found["node"], "left").select("bucket", "band", "rep", "members", F.coalesce("component", "rep").alias("component")), "placed")
     tally = placed.groupBy("bucket", "component").count().groupBy("bucket").agg(F.max(F.struct("count", "component")).alias("most"), F.count("*").alias("kinds"), F.sum("count").alias("all")).where("kinds > 1")
     tally = tally.select("bucket", F.col("most.component").alias("main"), (F.col("all") - F.col("most.count")).alias("n_outside"))
-    known = materialize(placed.join(tally, "bucket").join(classes.select("rep", "n", "registers"), "rep"), "apart")
+    known = scratch.keep(placed.join(tally, "bucket").join(classes.select("rep", "n", "registers"), "rep"), "apart")
     if not known.limit(1).count():
         return None
     rows, cols = F.ceil(F.col("n_outside") / BLOCK).cast("int"), F.ceil(F.col("members") / BLOCK).cast("int")
@@ -283,7 +283,7 @@ def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFra
         head = [pa.array(np.full(len(d), left.column(c)[0].as_py()), t) for c, t in (("bucket", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("band", pa.int32()))]
         return pa.table([*head, pa.array(d), pa.array(component[at]), pa.array(flags[0]), pa.array(flags[1])], names=names)
 
-    met = materialize(outside.groupBy(*block).cogroup(every.groupBy(*block)).applyInArrow(meet, kinds), "met")
+    met = scratch.keep(outside.groupBy(*block).cogroup(every.groupBy(*block)).applyInArrow(meet, kinds), "met")
     about = classes.select(F.col("rep").alias("d"), "n", "registers")
     full = met.join(given, "d").join(about, "d").select(*names, "n", "registers", "shingles")
 
@@ -324,33 +324,36 @@ def apart(large: DataFrame, found: DataFrame, classes: DataFrame, given: DataFra
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; ``size`` words a shingle, ``percent`` of Jaccard."""
-    threshold = percent / 100
-    rows = materialize(sketch(docs, size), "sketches")
+    threshold, scratch = percent / 100, Scratch()
+    rows = scratch.keep(sketch(docs, size), "sketches")
     full = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-    classes = materialize(classes, "classes")
+    classes = scratch.keep(classes, "classes")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     banded = classes.select("rep", F.posexplode(band).alias("band", "bucket"))
     pivots = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep"))["rep"] for k in range(PIVOTS)]
     counts = banded.groupBy("bucket").agg(F.count("*").alias("members"), F.min("rep").alias("first_rep"), F.max("rep").alias("last_rep")).where("first_rep < last_rep")
-    members = materialize(banded.join(counts.select("bucket", "members"), "bucket"), "buckets")  # bucket, rep, band, members
+    members = scratch.keep(banded.join(counts.select("bucket", "members"), "bucket"), "buckets")  # bucket, rep, band, members
     all_classes = classes
-    classes = materialize(classes.join(members.select("rep").distinct(), "rep", "left_semi"), "crowd")  # those that meet another
+    classes = scratch.keep(classes.join(members.select("rep").distinct(), "rep", "left_semi"), "crowd")  # those that meet another
     small, large = members.where(F.col("members") <= SMALL), members.where(F.col("members") > SMALL)
     left, right = small.select("bucket", F.col("rep").alias("a")), small.select("bucket", F.col("rep").alias("b"))
     squares = left.join(right, "bucket").where("a < b").select("a", "b")
     chosen = large.groupBy("bucket").agg(F.array_distinct(F.array(*pivots)).alias("pivots"))
     stars = large.join(chosen, "bucket").select("rep", F.explode("pivots").alias("p")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a < b")
 
-    pairs = materialize(estimated(squares.union(stars).distinct(), classes, threshold), "pairs")
+    pairs = scratch.keep(estimated(squares.union(stars).distinct(), classes, threshold), "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("d")).union(large.select("rep")).distinct()
-    given = shingled(docs, needed, size)
-    links = materialize(verified(pairs, given, percent), "links")
-    found = materialize(components(links), "components")
-    more = apart(large, found, classes, given, percent)
+    given = shingled(docs, needed, size, scratch)
+    links = scratch.keep(verified(pairs, given, percent), "links")
+    found = scratch.keep(components(links), "components")
+    more = apart(large, found, classes, given, percent, scratch)
     if more is not None:
-        found = materialize(components(links.union(materialize(more, "links"))), "components")
+        found = scratch.keep(components(links.union(scratch.keep(more, "links"))), "components")
     labels = all_classes.join(found, all_classes["rep"] == found["node"], "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     joined = rows.join(labels.withColumnsRenamed({"set_a": "x", "set_b": "y"}), (rows["set_a"] == F.col("x")) & (rows["set_b"] == F.col("y")) & (rows["n_shingles"] > 0) & rows["doc_id"].isNotNull(), "left")
     component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = materialize(out, "near")  # a few numbers a row; all that it was made from can go
+    scratch.drop()
+    return out
