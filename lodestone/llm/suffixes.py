@@ -82,6 +82,10 @@ class Block:
         low[hot] = self.low[hot]
         return np.flatnonzero(self.starts & (sliding(low, self.width, np.minimum, int(_NONE)) == self.least) & (self.least != _NONE))
 
+    def anchor_keys(self, bits: int) -> np.ndarray:
+        """Keys of the selected spans, hashed anew: selection takes the least hashes, so their top bits are nearly all zero."""
+        return ch.mixed(self.span[self.anchors]) >> U(64 - bits)
+
     def keys(self, at: np.ndarray) -> np.ndarray:
         return ch.span_hash(self.sums, at, at + self.length)
 
@@ -145,20 +149,17 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     bits, buckets, wide = ch.key_bits(n_anchors, 12), ch.bucket_count(n_anchors), ch.bucket_count(n_keys)
     cells = parts.select("chunk", "sizes", "blob", "rest")
 
-    def anchor_keys(block: Block) -> np.ndarray:
-        return block.span[block.anchors] >> U(64 - bits)
-
     def select(batches):
         for batch in batches:
             for name, *cell in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "blob", "rest"))):
-                keys = [anchor_keys(b) for _, b in blocks(ch.Chunk(*cell), length, gram)]
+                keys = [b.anchor_keys(bits) for _, b in blocks(ch.Chunk(*cell), length, gram)]
                 yield from ch.key_rows(name, counted(np.concatenate([np.zeros(0, U), *keys])), bits + 1, buckets).to_batches()
 
     spans = materialize(ch.answers(cells.mapInArrow(select, ch.SETS), repeated_keys), "spans")
 
     def candidates(chunk: ch.Chunk, found: list) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the chunk's suffixes that are sifted in, and where they start."""
-        marks = [anchor_keys(b) for _, b in blocks(chunk, length, gram)]
+        marks = [b.anchor_keys(bits) for _, b in blocks(chunk, length, gram)]
         every = counted(np.concatenate([np.zeros(0, U), *marks]))
         mask, _ = ch.marked(every, bits + 1, buckets, found)
         hot = every[mask] >> U(1)

@@ -88,6 +88,19 @@ def test_suffixes(spark):
     assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_anchor_keys_fill_buckets_evenly():
+    import numpy as np
+
+    from lodestone.llm import chunks as ch
+
+    data = np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8)
+    block = suffixes.Block(data, np.array([len(data)]), suffixes.LENGTH, suffixes.GRAM)
+    keys = np.sort(block.anchor_keys(24))
+    sizes = np.diff(ch.bucket_edges(keys, 24, 8))
+    assert len(keys) == len(block.anchors) > 5000 and sizes.sum() == len(keys)
+    assert sizes.max() < 1.3 * len(keys) / 8 and sizes.min() > 0.7 * len(keys) / 8
+
+
 def test_level_family():
     import numpy as np
 
