@@ -16,7 +16,7 @@ from lodestone.streaming import rules
 )
 def _(spark, d):
     """ST2."""
-    return rules.throttled(read(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600)
+    return rules.throttled_long(read(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
 
 @query(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +34,21 @@ def throttled(events: DataFrame, key: str, time: str, event_id: str, gap_seconds
 def throttled_long(events: DataFrame, key: str, time: str, event_id: str, gap_seconds: float) -> DataFrame:
     """ST2 for keys with very many events: rows of a key come sorted and in batches, and only the last accepted time is held."""
     schema = events.select(key, F.col(event_id).cast("long").alias(event_id)).schema
+    gap = int(gap_seconds * 1_000_000)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, now, last = False, None, None
         for batch in batches:
             keep = []
-            for k, t in zip(batch[key], batch["_t"]):
-                take = last.get("key") != k or t - last["t"] >= gap_seconds * 1e6
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                take = not begun or now != k or last is None or t - last >= gap
                 keep.append(take)
                 if take:
-                    last = {"key": k, "t": t}
-            yield batch.loc[keep, [key, event_id]]
+                    begun, now, last = True, k, t
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     rows = events.select(key, F.col(event_id).cast("long").alias(event_id), F.unix_micros(F.col(time)).alias("_t"))
-    return rows.repartition(key).sortWithinPartitions(key, "_t", event_id).mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, "_t", event_id).mapInArrow(run, schema)
 
 
 def throttled_stream(events: DataFrame, key: str, time: str, event_id: str, gap_seconds: float) -> DataFrame:

@@ -38,6 +38,20 @@ def test_throttle_three_events(spark):
     assert [r.id for r in rules.throttled(df, "p", "ts", "id", 2.0).collect()] == [0]
 
 
+def test_throttle_query_holds_no_user_whole(spark):
+    from lodestone import registry
+
+    df = registry.queries()["throttle_events"](spark, DATA)
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_throttle_long_null_keys_and_times(spark):
+    rows = [(None, 1, 0), (None, 2, 1), (None, 3, 5), (7, 4, 0), (7, 5, None), (7, 6, None), (7, 7, 1), (7, 8, 2), (8, 9, 1)] + [(9, 100 + k, k) for k in range(30_000)]
+    df = spark.createDataFrame(rows, "u long, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    whole = sorted(map(str, rules.throttled(df, "u", "ts", "id", 2).collect()))
+    assert sorted(map(str, rules.throttled_long(df, "u", "ts", "id", 2).collect())) == whole and "Row(u=None, id=2)" not in whole and len(whole) > 15_000
+
+
 def test_tumbling(spark, tmp_path):
     df = events(spark)
     batch = sorted(map(tuple, rules.tumbling(df, "ts", "1 day", ["event_type"]).collect()))
