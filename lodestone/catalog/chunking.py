@@ -26,14 +26,14 @@ def _(spark, d):
 
 @query("table_islands", f"SELECT doc_id, no AS line_no, 1 AS table_index, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS row_index FROM {LINES} WHERE line LIKE '|%' AND line NOT LIKE '|---%'")
 def _(spark, d):
-    """T1, T9."""
-    return md.table_rows(marked(spark, d).where(~F.col("text").rlike(r"(?m)^\s*\|")), "doc_id", "md").select("doc_id", "line_no", "table_index", "row_index")
+    """T1, T9; the SQL holds where no text has tables of its own."""
+    return md.table_rows(marked(spark, d), "doc_id", "md").select("doc_id", "line_no", "table_index", "row_index")
 
 
 @query("linear_tables", "SELECT doc_id, '- k: ' || source || '; v: ' || n_chars AS line FROM documents")
 def _(spark, d):
-    """T3, SC11: each row beside its headers."""
-    rows = md.table_rows(marked(spark, d).where(~F.col("text").rlike(r"(?m)^\s*\|")), "doc_id", "md")
+    """T3, SC11: each row beside its headers; the SQL holds where no text has tables of its own."""
+    rows = md.table_rows(marked(spark, d), "doc_id", "md")
     head = rows.where("row_index = 1").select("doc_id", "table_index", F.col("cells").alias("headers"))
     return rows.where("row_index > 1").join(head, ["doc_id", "table_index"]).select("doc_id", md.linear_row(F.col("headers"), F.col("cells")).alias("line"))
 
@@ -81,8 +81,8 @@ def _(spark, d):
     r"""SELECT doc_id, length(m) AS chars, len(regexp_extract_all(m, '[\p{L}\p{M}\p{N}_]+')) AS words, 4::bigint AS headings, 1::bigint AS tables, 3::bigint AS table_rows, 0.333::double AS broken FROM (SELECT doc_id, """ + MD_SQL + r""" AS m FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*\|'))""",
 )
 def _(spark, d):
-    """X15."""
-    rows = marked(spark, d).where(~F.col("text").rlike(r"(?m)^\s*\|")).select("doc_id", md.diagnosis("md").alias("x"))
+    """X15; texts with tables of their own are diagnosed too, though the SQL leaves them out."""
+    rows = marked(spark, d).where("text IS NOT NULL").select("doc_id", md.diagnosis("md").alias("x"))
     return rows.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in ("chars", "words", "headings", "tables", "table_rows", "broken")))
 
 

@@ -49,3 +49,33 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_tables_of_the_texts_own(spark, tmp_path):
+    import re
+
+    texts = ["| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | |\nwords\n| lone |\nmore\n  | c |\n| 5 |", "plain", "| x | y |\n| 7 | 8 |\n\n| z |\n|---|\n| 9 |"]
+    docs = spark.createDataFrame([(k, t, "en", f"s{k}", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    islands, linear, diagnosed = set(), [], {}
+    for k, t in enumerate(texts):
+        lines = f"# en\nintro {k}\n### s{k}\n| k | v |\n|---|---|\n| s{k} | {len(t)} |\n### deep\n{t}\n## end\nQ1: what is en\nA: it is\ns{k}\nQ2: none\n1. a\n2. b".split("\n")
+        runs, at = [], 0
+        while at < len(lines):
+            to = at
+            while to < len(lines) and lines[to].lstrip(" ").startswith("|"):
+                to += 1
+            runs += [range(at, to)] if to > at else []
+            at = max(to, at + 1)
+        diagnosed[k] = (len(runs), sum(map(len, runs)))
+        for table, run in enumerate([r for r in runs if len(r) > 1], 1):
+            rows = [(no, [c.strip() for c in lines[no].strip().strip("|").split("|")]) for no in run if not re.fullmatch(r"[\s:|-]*-[\s:|-]*", lines[no])]
+            islands |= {(k, no, table, n) for n, (no, _) in enumerate(rows, 1)}
+            head = rows[0][1]
+            for _, row in rows[1:]:
+                pairs = [(h, v) for h, v in zip(head, row) if v]
+                linear.append((k, "- " + ("; ".join(f"{h}: {v}" for h, v in pairs) if len(row) == len(head) > 1 else "; ".join(v for v in row if v))))
+    run = {name: registry.queries()[name](spark, str(tmp_path)).collect() for name in ("table_islands", "linear_tables", "diagnose_markdown")}
+    assert {tuple(r) for r in run["table_islands"]} == islands and max(x[2] for x in islands) == 3
+    assert sorted(map(tuple, run["linear_tables"])) == sorted(linear)
+    assert {r.doc_id: (r.tables, r.table_rows) for r in run["diagnose_markdown"]} == diagnosed
