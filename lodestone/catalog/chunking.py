@@ -128,11 +128,13 @@ def _(spark, d):
 
 @query("viterbi_segment")
 def _(spark, d):
-    """Words run together, split by the most likely path over the corpus's own frequent words."""
+    """Words run together, split by the most likely path over all words of the corpus; each text meets those it could hold."""
     words = read(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").count()
-    vocabulary = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(5000).collect()]  # a bounded vocabulary
-    joined = F.substring(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), 1, 60)
-    return read(spark, d, "benchmark").select("item_id", models.segmented(vocabulary)(joined).alias("text"))
+    items = read(spark, d, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^a-z]+", "").alias("joined"))
+    held = items.select("item_id", F.explode(models.substrings("joined")).alias("w")).join(op.word_ranks(words, "w", "count"), "w")
+    held = held.groupBy("item_id").agg(F.collect_list(F.struct("w", "rank")).alias("held"))  # at most twenty a letter
+    rows = items.join(held, "item_id", "left").crossJoin(F.broadcast(words.agg(F.count("*").alias("n"))))  # one row
+    return rows.select("item_id", models.segmented_by()(F.col("joined"), F.col("held.w"), F.col("held.rank"), F.col("n")).alias("text"))
 
 
 @query("embed_batches")

@@ -158,4 +158,4 @@ def _(spark, d):
 @query("query_variants")
 def _(spark, d):
     """X11: at most two forms of each question; a row each."""
-    return read(spark, d, "benchmark").select("item_id", F.posexplode(know.variants(F.substring("text", 1, 60)))).select("item_id", F.col("pos").alias("variant"), F.col("col").alias("question"))
+    return read(spark, d, "benchmark").select("item_id", F.posexplode(know.variants(F.col("text")))).select("item_id", F.col("pos").alias("variant"), F.col("col").alias("question"))

@@ -40,6 +40,28 @@ def segmented(vocabulary: Sequence[str], longest: int = 20) -> Callable[[Column]
     return run
 
 
+def substrings(letters: Column | str, longest: int = 20) -> Column:
+    """The distinct words that a split of ``letters`` could have."""
+    c = F.col(letters) if isinstance(letters, str) else letters
+    n = F.length(c)
+    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)), lambda k: c.substr(i, k)))))
+
+
+def segmented_by(longest: int = 20) -> Callable[[Column, Column, Column, Column], Column]:
+    """X5 as in ``segmented``, where each text comes with those of its substrings that are words, their ranks, and the number of all words."""
+
+    @F.pandas_udf(StringType())
+    def run(text: pd.Series, words: pd.Series, ranks: pd.Series, size: pd.Series) -> pd.Series:
+        out = []
+        for t, w, r, n in zip(text, words, ranks, size):
+            cost = {} if w is None else {x: math.log(k * math.log(max(n, 3))) for x, k in zip(w, r)}
+            out.append(None if t is None else split_words(t, cost, longest, 25.0))
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def hashed_embedding(size: int) -> Callable[[Column], Column]:
     """A unit vector of hashed words: a stand-in for a model with the same batch interface."""
 

@@ -72,3 +72,17 @@ def source_precision(rows: DataFrame, query: str, source: str, score: str, stron
     applies = F.coalesce((F.col("dominant.name") != "") & enough, F.lit(False))
     joined = joined.withColumn("_applies", applies).where(~F.col("_applies") | F.col("_own") | (F.col(score) >= F.col("dominant.top") - slack))
     return top_per_group(joined, [query], [F.when(F.col("_applies") & F.col("_own"), 0).otherwise(1), F.asc(arrival)], k).drop("_own", "_applies", "dominant")
+
+
+def word_ranks(words: DataFrame, word: str, count: str) -> DataFrame:
+    """``words`` with rank, 1 for the largest count, equal ones by word; no task orders more than the words of one count that begin alike."""
+    rows = words.withColumn("_head", F.substring(word, 1, 3))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(count, "_head").agg(F.count("*").alias("_n"))
+    # as many rows as there are different counts, so one task may order them
+    counts = heads.groupBy(count).agg(F.sum("_n").alias("_all"))
+    counts = counts.select(count, F.coalesce(F.sum("_all").over(before.orderBy(F.desc(count))), F.lit(0)).alias("_above"))
+    inside = heads.withColumn("_inside", F.coalesce(F.sum("_n").over(before.partitionBy(count).orderBy("_head")), F.lit(0)))
+    base = inside.join(counts, count).select(count, "_head", (F.col("_above") + F.col("_inside")).alias("_base"))
+    ranked = rows.join(base, [count, "_head"]).withColumn("rank", F.col("_base") + F.row_number().over(Window.partitionBy(count, "_head").orderBy(word)))
+    return ranked.select(*words.columns, "rank")

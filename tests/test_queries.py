@@ -79,3 +79,26 @@ def test_tables_of_the_texts_own(spark, tmp_path):
     assert {tuple(r) for r in run["table_islands"]} == islands and max(x[2] for x in islands) == 3
     assert sorted(map(tuple, run["linear_tables"])) == sorted(linear)
     assert {r.doc_id: (r.tables, r.table_rows) for r in run["diagnose_markdown"]} == diagnosed
+
+
+def test_segments_whole_texts_by_all_words(spark, tmp_path):
+    import math
+    import random
+    from collections import Counter
+
+    from lodestone.functions import models
+
+    rng = random.Random(3)
+    words = sorted({"".join(rng.choice("abcdefghijklm") for _ in range(rng.randrange(2, 9))) for _ in range(7000)})
+    texts = [" ".join(w for w in words for _ in range(1 + (len(w) < 4))), "zebra quagga", None]
+    items = [(1, "Zebra, quagga! " + " ".join(rng.choice(words) for _ in range(40))), (2, ""), (3, None), (4, "qqq")]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    counts = Counter(w for t in texts if t for w in t.split())
+    order = sorted(counts, key=lambda w: (-counts[w], w))
+    cost = {w: math.log((k + 1) * math.log(len(order))) for k, w in enumerate(order)}
+    expected = {k: None if t is None else models.split_words("".join(c for c in t.lower() if c.isalpha()), cost, 20, 25.0) for k, t in items}
+    found = {r.item_id: r.text for r in registry.queries()["viterbi_segment"](spark, str(tmp_path)).collect()}
+    assert len(order) > 5000 and found == expected and found[1].startswith("zebra quagga ")
+    variants = {(r.item_id, r.variant): r.question for r in registry.queries()["query_variants"](spark, str(tmp_path)).collect()}
+    assert variants[1, 0] == items[0][1] and len(variants[1, 0]) > 60
