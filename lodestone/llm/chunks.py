@@ -137,7 +137,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     """sums[i]: of data[k] * base**k for k < i; with ``span_hash`` the hash of any span in constant time."""
     forward, _ = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * forward[: len(data)], out=sums[1:])
+    np.cumsum((data.astype(U) + U(1)) * forward[: len(data)], out=sums[1:])  # modulo 2**64
     return sums
 
 
@@ -145,6 +145,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mixed((sums[end] - sums[start]) * powers(len(sums))[1][start])
 
 
+def substituted(data: np.ndarray) -> np.ndarray:
+    """Each byte by another number: a second hash of the same bytes, independent of the first."""
+    return mixed(np.arange(1, 257, dtype=U))[data]
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Ascending 64-bit numbers as differences, byte plane by byte plane, compressed."""
     return squeeze(np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T.tobytes()) if len(keys) else b""

@@ -17,14 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Unset, it is a temporary folder where driver and executors are one process (master ``local[...]``); elsewhere
+    each executor would write to its own disk and results would be incomplete, so that is an error.
+    """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir", None)
+    root = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         root = sc.getCheckpointDir()
-        if not root:
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
-            root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
@@ -47,10 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Unlike a cached frame it survives the loss of any executor, and it is columnar and compressed.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize_with_path(df, name)[0]
 
 
 def materialize_with_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -80,3 +81,14 @@ class Scratch:
 def word_count(text) -> F.Column:
     """Number of words of a text column; null counts 0. Counts word starts, which is cheaper than splitting."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def carried(docs: DataFrame, *own: str, name: str = "carried") -> DataFrame:
+    """The columns ``own`` of ``docs`` beside all its others in one struct, so that none clashes with an operator's."""
+    rest = [docs[c] for c in docs.columns if c not in own]
+    return docs.select(*(docs[c] for c in own), (F.struct(*rest) if rest else F.lit(None).cast("struct<none: int>")).alias(name))
+
+
+def uncarried(rows: DataFrame, columns: list[str], *own: str, name: str = "carried") -> DataFrame:
+    """``columns`` in their order: those in ``own`` as they are now, the others out of the struct."""
+    return rows.select(*(F.col(c) if c in own else F.col(name)[c].alias(c) for c in columns))

@@ -88,27 +88,104 @@ def test_suffixes(spark):
     assert suffixes.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_suffixes_in_batches(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcd\0\n") for _ in range(4000))
+    rows = []
+    for k in range(40):
+        a = rng.randrange(3200)
+        t = list(base[a : a + rng.randrange(380, 1400)])
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        rows.append((k, "".join(t), "clash", k))
+    rows += [(50, None, "x", 1), (50, "dup" * 300, None, 2), (None, "dup" * 300, "y", 3)]
+    kinds = "doc_id long, text string, kept string, n_bytes int"
+
+    def plain(frame):
+        out = frame.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        return sorted(map(tuple, out), key=str)
+
+    def want(given):
+        got = reference.suffixes(enumerate(t for _, t, *_ in given))
+        return sorted(((i, *got[k]) for k, (i, *_) in enumerate(given)), key=str)
+
+    for crowd in (suffixes.CROWD, 2):  # with 2 nearly all strings go the way of crowded keys
+        assert plain(suffixes.dedup(spark.createDataFrame(rows, kinds).repartition(3), crowd=crowd)) == want(rows)
+    family = suffixes.SuffixFamily()
+    for k in (10, 15, 20, 43):  # each batch against the levels of those before
+        family.add(spark.createDataFrame(rows[family.__dict__.get("upto", 0) : k], kinds).repartition(2))
+        family.upto = k
+        assert plain(family.results()) == want(rows[:k])
+        sizes = [n for n, _ in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+        assert [level.select("bucket").distinct().count() > 0 for _, level in family.levels] == [True] * len(sizes)
+
+
+def test_no_hash_is_reserved():
+    import numpy as np
+
+    low = np.array([5, 7, 0, 9, 2**31 - 1, 2**31 - 1, 2**31 - 1, 2**31 - 1], np.uint32)
+    span = np.arange(8).astype(np.uint64)
+    for width in (2, 3):
+        starts = np.ones(8 - width + 1, np.bool_)
+        places, keys = suffixes.selected(low, starts, width, span)
+        least = [low[k : k + width].min() for k in range(len(starts))]
+        assert places.tolist() == [p for p in range(8) if any(low[p] == least[s] for s in range(max(0, p - width + 1), min(p + 1, len(starts))))]
+        assert len(set(keys.tolist())) == len(places)
+    none, _ = suffixes.selected(low, np.zeros(7, np.bool_), 2, span)
+    assert len(none) == 0
+
+
+def test_repeated_strings_are_compared_as_bytes():
+    import numpy as np
+
+    rng, length, gram = np.random.default_rng(6), 12, 4
+    data = rng.integers(0, 2, 3000).astype(np.uint8)  # with zero bytes, many partial matches
+    ends = np.sort(rng.choice(np.arange(20, 2990), 40, replace=False))
+    begin, end = np.r_[0, ends], np.r_[ends, 3000]
+    at = np.sort(rng.choice(2900, 300, replace=False))
+    doc = np.searchsorted(end, at, "right")
+    at, doc = at[at + gram <= end[doc]], doc[at + gram <= end[doc]]
+    rows = suffixes.records(data, begin[doc], end[doc], at, length, gram)
+    mask = suffixes.repeated_strings(rows, length, gram)
+    for d in range(length - gram + 1):
+        fits = (at - d >= begin[doc]) & (at - d + length <= end[doc])
+        strings = [bytes(data[a - d : a - d + length]) if f else None for a, f in zip(at, fits)]
+        assert mask[:, d].tolist() == [s is not None and strings.count(s) > 1 for s in strings]
+
+
 def test_anchor_keys_fill_buckets_evenly():
     import numpy as np
 
     from lodestone.llm import chunks as ch
 
     data = np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8)
-    block = suffixes.Block(data, np.array([len(data)]), suffixes.LENGTH, suffixes.GRAM)
-    keys = np.sort(block.anchor_keys(24))
-    sizes = np.diff(ch.bucket_edges(keys, 24, 8))
-    assert len(keys) == len(block.anchors) > 5000 and sizes.sum() == len(keys)
+    at, keys = suffixes.anchors(data, np.array([len(data)]), suffixes.LENGTH, suffixes.GRAM)
+    sizes = np.diff(ch.bucket_edges(np.sort(keys), 64, 8))
+    assert len(keys) == len(at) > 5000 and sizes.sum() == len(keys)
     assert sizes.max() < 1.3 * len(keys) / 8 and sizes.min() > 0.7 * len(keys) / 8
 
 
-def test_level_family():
+def test_merge_scan():
+    import collections
+
     import numpy as np
 
-    rng, family, seen = np.random.default_rng(0), suffixes.LevelFamily(), set()
-    for _ in range(40):
-        batch = np.sort(rng.integers(0, 3000, rng.integers(1, 200)).astype(np.uint64))
-        expected = {x for x in batch.tolist() if x in seen or (batch == x).sum() > 1}
-        assert set(family.add(batch).tolist()) == expected
-        seen |= set(batch.tolist())
-        sizes = [len(x) for x in family.levels]
-        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    rng, levels, seen, told, every = np.random.default_rng(0), [], collections.defaultdict(list), collections.defaultdict(set), {}
+    for step in range(30):
+        batch = []
+        for chunk in range(step * 3, step * 3 + 3):
+            keys, n = suffixes.repeats(rng.integers(0, 400 if step % 2 else 4000, rng.integers(1, 60)).astype(np.uint64))
+            batch.append((chunk, keys, n))
+            every[chunk] = set(keys.tolist())
+            for k, m in zip(keys.tolist(), n.tolist()):
+                seen[k] += [chunk] * m
+        out, keys, owners = suffixes.merge_scan(batch, levels)
+        for chunk, k in out:
+            told[chunk] |= set(k.tolist())
+        parts = [(keys, owners)]
+        while levels and len(levels[-1][0]) <= 2 * sum(len(k) for k, _ in parts):
+            parts.append(levels.pop())
+        levels.append(suffixes.merged_levels(parts))
+        for chunk, own in every.items():
+            assert told[chunk] == {k for k in own if len(seen[k]) > 1}
