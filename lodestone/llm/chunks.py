@@ -200,7 +200,7 @@ _ANSWERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("bits", pa
 
 
 def key_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int, side: np.ndarray | None = None) -> pa.Table:
-    """A row for each bucket that the chunk has keys for; ``side``: a number that goes with each key."""
+    """A row for each bucket that the chunk has keys for; ``side``: a number, or a row of them, that goes with each key."""
     edges = bucket_edges(keys, bits, buckets)
     full = np.flatnonzero(np.diff(edges))
     packed = [pack_sorted(keys[edges[b] : edges[b + 1]]) for b in full]

@@ -6,14 +6,16 @@ non-overlapping blocks of ``(window + 1) // 2`` words.  So
 1. every document's blocks are indexed and every rolling span of block length probes the index; spans that
    are a block somewhere and occur at least twice are anchors (short keys: this only has to lose nothing);
 2. around its anchors each document extends, a word at a time, over the windows that hold one; these
-   windows, under 64-bit keys, are exchanged with the smallest doc_id that has them;
+   windows, under 128-bit keys, are exchanged with the smallest doc_id that has them.  The key is two 64-bit hashes
+   from independent hashes of the words: windows are equal if both are, but for a chance of 1e-12 at 1e13 windows;
 3. runs of windows that a smaller doc_id has too are maximal exact repeats, and their words go.
 
 Hits are never paired: a passage that a third of all documents share is one key in each chunk's set.
 
 Words are maximal runs of bytes other than space and \\t\\n\\v\\f\\r.  Defined cases: a null or empty text has no
 words; a text shorter than a window keeps all; rows with the same doc_id do not remove from each other; a null
-doc_id ranks after all others; other columns pass through; an empty table gives no rows.
+doc_id ranks after all others; other columns pass through, but one with the name of a result column gives way
+to it; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,6 +61,19 @@ class Words:
         self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
         self.count = np.bincount(self.doc, minlength=len(chunk.sizes))
         self.nth = np.arange(len(self.doc)) - (np.cumsum(self.count) - self.count)[self.doc]
+        self._chunk = chunk
+
+    def second_keys(self, at: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the spans of so many words at ``at``, from other hashes of the words than ``spans`` takes."""
+        other, base = np.empty(len(self.hash), U), 0
+        for _, data, _ in self._chunk.blocks():
+            low, high = np.searchsorted(self.start, (base, base + len(data)))
+            other[low:high] = ch.span_hash(ch.prefix_hashes(ch.substituted(data)), self.start[low:high] - base, self.end[low:high] - base)
+            base += len(data)
+        z = other[at]
+        for k in range(1, length):
+            z = z * U(0xA0761D6478BD642F) + other[at + k]
+        return ch.mixed(z)
 
     def spans(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all spans of so many words that lie in one document, and the words they start at."""
@@ -97,8 +112,8 @@ def repeated_blocks(given: list) -> list:
     return [(ch.member(k >> U(2), hot), None) for k, _ in given]
 
 
-def candidate_windows(words: Words, found: list, window: int, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys and first words of the windows that hold an anchor."""
+def candidate_windows(words: Words, found: list, window: int, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both keys and first words of the windows that hold an anchor."""
     block = (window + 1) // 2
     keys, z, at = probe_keys(words, block, bits)
     mask, _ = ch.marked(keys, bits + 2, buckets, found)
@@ -109,20 +124,20 @@ def candidate_windows(words: Words, found: list, window: int, bits: int, buckets
     near = np.cumsum(near)
     z, at = words.spans(window)
     pick = near[at] > 0
-    return z[pick], at[pick]
+    return z[pick], words.second_keys(at[pick], window), at[pick]
 
 
-def window_sets(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys (the lowest bit: in several documents here), the smallest doc_id of each, and where each window's key is."""
+def window_sets(keys: np.ndarray, second: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys (the lowest bit: in several documents here), of each the smallest doc_id and the second key, and where each window's key is."""
     keys = keys & ~U(1)
-    order = np.lexsort((docs, keys))
-    k, d = keys[order], docs[order]
-    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, np.bool_)
+    order = np.lexsort((docs, second, keys))
+    k, c, d = keys[order], second[order], docs[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, np.bool_)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(k)] - 1
     place = np.empty(len(k), np.int64)
     place[order] = np.cumsum(new) - 1
-    return k[first] | (d[first] != d[last]).astype(U), d[first], place
+    return k[first] | (d[first] != d[last]).astype(U), np.column_stack([d[first], c[first].view(np.int64)]), place
 
 
 def earlier_owner(given: list) -> list:
@@ -130,16 +145,15 @@ def earlier_owner(given: list) -> list:
     if not given:
         return []
     key = np.concatenate([k >> U(1) for k, _ in given])
-    doc = np.concatenate([d for _, d in given])
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.r_[True, key[1:] != key[:-1]]
-    distinct, least = key[first], doc[first]
+    doc, second = np.concatenate([side.reshape(-1, 2) for _, side in given]).T
+    order = np.lexsort((doc, second, key))
+    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (second[order][1:] != second[order][:-1])]
+    smallest = np.empty(len(key), np.int64)
+    smallest[order] = doc[order][new][np.cumsum(new) - 1]
     out = []
-    for k, d in given:
-        smallest = least[np.searchsorted(distinct, k >> U(1))]
-        lose = (smallest < d) | ((k & U(1)) > 0)
-        out.append((lose, smallest[lose]))
+    for (k, side), least in zip(given, np.split(smallest, np.cumsum([len(k) for k, _ in given])[:-1])):
+        lose = (least < side.reshape(-1, 2)[:, 0]) | ((k & U(1)) > 0)
+        out.append((lose, least[lose]))
     return out
 
 
@@ -166,6 +180,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_layout: bool = False) -> D
 
     ``keep_layout``: texts that lose nothing stay as they are, white space included.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in ("n_words", "n_removed")))
     parts = ch.chunked(docs)
     block, n = (window + 1) // 2, max(1, ch.total(parts) // 4)
     bits, buckets = ch.key_bits(n, 10), ch.bucket_count(n)
@@ -192,9 +207,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_layout: bool = False) -> D
         if not len(left) or not len(right):
             return ch._SETS.empty_table()
         name, chunk, words = opened(left)
-        keys, at = candidate_windows(words, listed(right), window, bits, buckets)
-        keys, least, _ = window_sets(keys, chunk.doc_ids()[words.doc[at]])
-        return ch.key_rows(name, keys, 64, wide, least)
+        keys, second, at = candidate_windows(words, listed(right), window, bits, buckets)
+        keys, side, _ = window_sets(keys, second, chunk.doc_ids()[words.doc[at]])
+        return ch.key_rows(name, keys, 64, wide, side)
 
     sets = cells.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(extend, ch.SETS)
     owners = ch.answers(sets, earlier_owner)
@@ -208,9 +223,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_layout: bool = False) -> D
         gone = np.zeros(len(words.hash), np.bool_)
         last = right.filter(pc.equal(right.column("step"), 1))
         if len(last):
-            keys, at = candidate_windows(words, listed(right.filter(pc.equal(right.column("step"), 0))), window, bits, buckets)
+            keys, second, at = candidate_windows(words, listed(right.filter(pc.equal(right.column("step"), 0))), window, bits, buckets)
             ids = chunk.doc_ids()[words.doc[at]]
-            distinct, _, place = window_sets(keys, ids)
+            distinct, _, place = window_sets(keys, second, ids)
             mask, least = ch.marked(distinct, 64, wide, listed(last))
             owner = np.full(len(distinct), np.iinfo(np.int64).max)
             owner[mask] = least
