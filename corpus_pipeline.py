@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns the columns of
 ``documents``; the last returns the pieces of the packed sequences.
+
+Defined cases: a null text is an empty one, and is that after the substring stage; a null doc_id is a document of
+its own, ranks last and is kept by the near-duplicate stage; rows that repeat a doc_id are one document there, of which
+the row with the smallest hash of its text stays; null lang, source or n_chars are values like others; further columns
+pass through all stages but the last, whatever their names; empty tables give no rows, and without two classes of
+labels the classifier keeps all.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing, packing, quality, setsketch, substrings
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import carried, materialize, table, uncarried
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +26,21 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates (five words, 0.8); rows that repeat a doc_id go too."""
-    found = setsketch.near_duplicates(docs)
+    found = setsketch.near_duplicates(docs.select("doc_id", "text"))
     extra = found.where("NOT kept").select("doc_id").distinct()
+    rows = carried(docs, "doc_id", "text").join(extra, "doc_id", "left_anti")
     text = F.xxhash64("text")
     same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), text)).orderBy(text)
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns, F.row_number().over(same).alias("_nth")).where("_nth = 1 OR doc_id IS NULL").drop("_nth")
+    rows = rows.withColumn("nth", F.row_number().over(same)).where("nth = 1 OR doc_id IS NULL")
+    return uncarried(rows, docs.columns, "doc_id", "text")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 13 words or more that an earlier document has are cut; documents that lose all their words go."""
-    cut = substrings.dedup(docs, keep_layout=True).where("n_removed = 0 OR n_removed < n_words")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = substrings.dedup(carried(docs, "doc_id", "text", "n_chars"), keep_layout=True).where("n_removed = 0 OR n_removed < n_words")
+    # a text that loses nothing keeps its n_chars
+    cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return uncarried(cut, docs.columns, "doc_id", "text", "n_chars")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
