@@ -6,31 +6,33 @@
 2. A source's documents fall by hash into blocks of about ``block_words`` words.  Whole passes take every
    block; the last pass takes blocks in a permuted order up to the target, and of the last block as many
    documents, and words of the last document, as are wanting.  So a source's words come to its rounded target.
-3. The numbers of blocks that sources give are split among the output shards down a binary tree.  At a
-   node each half gets half of the blocks, spread over the sources as draws without replacement: the
-   normal limit of the multivariate hypergeometric law (independent deviations with the excess projected
-   out), rounded along running sums so that quotas stay whole, never exceed what is there, and add up.
-   A shard then owns a range of each source's permuted blocks, disjoint from all other shards', and
-   orders its documents by a hash.
+3. The blocks that sources give are split among the output shards down a binary tree.  A node draws one half of its blocks
+   without replacement, whatever their sources, so what it takes of each source's quota is multivariate
+   hypergeometric, exactly: all blocks are ranked by a hash, and the left half of a node has its lower ranks.  A leaf's
+   quotas are the blocks of each source that reach it, disjoint from all other shards', and a shard orders its documents
+   by a hash.
 
-Only the table of sources is sorted as a whole; documents are hashed to blocks, so a source that holds
-a third of all rows is many small groups.  All choices come from hashes: reruns agree.
+Ranks and running sums over many rows go in two steps (``running``): sums over cells of a hash, then within a cell, so that
+no task holds all blocks, nor all of one source.  Windows over a whole table are over the table of sources and over
+cells, a thousandth of the blocks.  All choices come from hashes: reruns agree.
 
 Defined cases: a null text has no words; a null source is a source, last in order; documents without
-words have target shares only through their source; repeated rows are each mixed; no rows give no rows.
+words have target shares only through their source; repeated rows are each mixed; further columns pass through whatever
+their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, materialize, word_count
+from lodestone.llm.common import WORD, carried, materialize, uncarried, word_count
 
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS = 1 << 13
-MAX_BLOCKS = 1 << 16
 LEVELS = 6  # 64 shards
+#: Rows that a cell of ``running`` has, about.
+CELL_ROWS = 1024
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, cap: int = 2) -> DataFrame:
@@ -49,57 +51,63 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio:
     return sources.withColumn("final", final).select("source", "source_size", target.alias("target"))
 
 
-def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFrame:
-    """source, shard, quota from source, quota: the splitting tree over 2**levels shards."""
-    nodes = quotas.select("source", F.lit(0).alias("node"), F.col("quota").cast("long").alias("quota"))
-    for depth in range(levels):
-        uniform = [(F.pmod(F.xxhash64("source", "node", F.lit(depth), F.lit(seed), F.lit(k)), F.lit(1 << 32)) + 0.5) / float(1 << 32) for k in (1, 2)]
-        normal = F.sqrt(-2 * F.log(uniform[0])) * F.cos(uniform[1] * 6.283185307179586)
-        node = Window.partitionBy("node")
-        running = node.orderBy(F.col("source").asc_nulls_last())
-        nodes = nodes.withColumn("swing", 0.5 * F.sqrt("quota") * normal)
-        drawn = F.col("quota") / 2 + F.col("swing") - F.col("quota") * F.sum("swing").over(node) / F.greatest(F.sum("quota").over(node), F.lit(1))
-        nodes = nodes.withColumn("drawn", F.least(F.greatest(drawn, F.lit(0.0)), F.col("quota").cast("double")))
-        nodes = nodes.withColumn("upto", F.sum("drawn").over(running.rowsBetween(Window.unboundedPreceding, 0)))
-        nodes = nodes.withColumn("left", F.floor(F.col("upto") + 0.5) - F.coalesce(F.floor(F.lag("upto").over(running) + 0.5), F.lit(0)))
-        nodes = nodes.withColumn("left", F.least(F.greatest(F.col("left"), F.lit(0)), F.col("quota")))
-        halves = F.explode(F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("quota")), F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("quota") - F.col("left")).alias("quota"))))
-        nodes = nodes.select("source", halves.alias("half")).select("source", "half.node", "half.quota")
-    return nodes.withColumnRenamed("node", "shard")
-
-
-def plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, max_blocks: int = MAX_BLOCKS, levels: int = LEVELS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, shards: of each document, what the mix takes and where.
+def positive(*parts: Column | str) -> Column:
+    """A hash of 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 1)
+
+
+def running(rows: DataFrame, group: list[str], order: str, n_rows: Column, value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows before each in its ``group``, by ``order`` (a 63-bit hash, then all columns).
+
+    n_rows: about how many rows the group has, the same for all of its rows.
+    """
+    cells = F.greatest(F.lit(1), F.ceil(n_rows / CELL_ROWS)).cast("long")
+    rows = rows.withColumn("cell", F.floor(F.shiftrightunsigned(order, 32) * cells / float(1 << 31)).cast("long"))
+    sums = rows.groupBy(*group, "cell").agg(F.sum(value).alias("in_cell"))
+    earlier = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*group, "cell", F.coalesce(F.sum("in_cell").over(earlier), F.lit(0)).alias("ahead"))
+    within = Window.partitionBy(*group, "cell").orderBy(order, *(c for c in rows.columns if c not in (*group, order, "cell"))).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sums, [*group, "cell"]).withColumn(name, F.col("ahead") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("cell", "ahead")
+
+
+def deal(blocks: DataFrame, n_blocks: int, levels: int = LEVELS, seed: int = 0) -> DataFrame:
+    """``blocks`` (sid, block, pass) with ``shard``, the leaf of the tree that each is drawn for.
+
+    At each level the lower half of a node's ranks goes left, with the extra block if their number is odd.
+    """
+    rows = running(blocks.withColumns({"ticket": positive("sid", "block", "pass", F.lit(seed + 3)), "one": F.lit(1)}), [], "ticket", F.lit(n_blocks), "one", "rank")
+    rows = rows.withColumns({"among": F.lit(n_blocks).cast("long"), "shard": F.lit(0)})
+    for _ in range(levels):
+        left = F.floor((F.col("among") + 1) / 2)
+        goes = F.col("rank") < left
+        rows = rows.withColumns({"rank": F.when(goes, F.col("rank")).otherwise(F.col("rank") - left), "among": F.when(goes, left).otherwise(F.col("among") - left), "shard": F.col("shard") * 2 + F.when(goes, 0).otherwise(1)})
+    return rows.drop("ticket", "one", "rank", "among")
+
+
+def plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, levels: int = LEVELS) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, passes, extra, shards: of each document, what the mix takes and where.
 
     ``shards`` has the shard of each time that the document is taken, the last of them perhaps in part.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     rows = materialize(rows, "mix-sizes")
-    sources = source_targets(rows)
+    sources = source_targets(rows).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
-    blocks = F.greatest(F.lit(1), F.least(F.lit(max_blocks), F.ceil(F.col("source_size") / block_words)))
-    sources = materialize(sources.withColumns({"passes": whole, "n_blocks": blocks}).withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")), "mix-sources")
-    s = sources.select(F.col("source").alias("s"), "source_size", "target", "passes", "n_blocks", "rest")
-    rows = rows.join(s, rows.source.eqNullSafe(s.s)).drop("s").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("n_blocks")))
-    rows = materialize(rows, "mix-rows")
-
-    shuffled = Window.partitionBy("source").orderBy("order", "block")
-    table = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    table = table.withColumn("order", F.xxhash64("source", "block", F.lit(seed + 1)))
-    before = F.coalesce(F.sum("words").over(shuffled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    table = table.withColumn("part", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - before)))
-    copies = table.select("source", "block", "order", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"), "passes")
-    copies = copies.where((F.col("pass") < F.col("passes")) | (F.col("part") > 0)).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("pass", "order", "block")) - 1)
-    copies = materialize(copies, "mix-blocks")
-    shards = split_quotas(copies.groupBy("source").agg(F.count("*").alias("quota")), levels, seed)
-    upto = F.sum("quota").over(Window.partitionBy("source").orderBy("shard"))
-    shards = shards.where("quota > 0").select(F.col("source").alias("s"), "shard", (upto - F.col("quota")).alias("from_rank"), upto.alias("to_rank"))
-    dealt = copies.join(shards, copies.source.eqNullSafe(shards.s) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
-    dealt = dealt.groupBy("source", "block").agg(F.max("part").alias("part"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("block_shards"))
-    dealt = dealt.select(F.col("source").alias("s"), F.col("block").alias("b"), "part", "block_shards")
-
-    joined = rows.join(dealt, rows.source.eqNullSafe(dealt.s) & (rows.block == dealt.b), "left")
-    within = Window.partitionBy("source", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sources = sources.withColumns({"passes": whole, "n_blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))})
+    sources = materialize(sources.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")), "mix-sources")
+    rows = rows.join(sources.withColumnRenamed("source", "s"), rows.source.eqNullSafe(F.col("s"))).drop("s")
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("n_blocks"))), "mix-rows")
+
+    table = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))
+    table = running(table.withColumn("order", positive("sid", "block", F.lit(seed + 1))), ["sid"], "order", F.col("n_blocks"), "words", "before")
+    table = table.withColumn("part", F.greatest(F.lit(0), F.least(F.col("words"), F.col("rest") - F.col("before"))))
+    copies = table.select("sid", "block", "part", "passes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass"))
+    copies = materialize(copies.where((F.col("pass") < F.col("passes")) | (F.col("part") > 0)), "mix-blocks")
+    dealt = deal(copies.select("sid", "block", "pass", "part"), copies.count(), levels, seed)
+    dealt = dealt.groupBy("sid", "block").agg(F.max("part").alias("part"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("block_shards"))
+
+    joined = rows.join(dealt, ["sid", "block"], "left")
+    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce(F.col("part"), F.lit(0)) - F.coalesce(F.sum("size").over(within), F.lit(0))))
     joined = joined.withColumn("extra", extra)
     times = (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
@@ -113,19 +121,21 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row each time a document is taken, in shard order.
 
     A document that is taken in part gives its first words, joined by a space.  Documents are matched to
-    the plan by doc_id and number of words; text and n_chars follow what is taken.
+    the plan by doc_id and number of words; text and n_chars, if it is there, follow what is taken.
     """
     null = F.lit(-(1 << 63))
-    sized = docs.withColumns({"_size": word_count(F.col("text").cast("string")), "_key": F.coalesce(F.col("doc_id").cast("long"), null)})
-    sized = sized.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_size").orderBy(F.xxhash64("text"))))
-    chosen = plan(docs, seed).select(F.coalesce("doc_id", null).alias("_key"), F.col("size").alias("_size"), "passes", "extra", "shards")
-    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_key", "_size").orderBy("passes", F.col("extra").desc(), "shards")))
-    rows = sized.join(chosen, ["_key", "_size", "_nth"])  # both sides are dealt by key and size already: texts move once
-    rows = rows.where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("_copy", "_shard"))
-    cut = (F.col("_copy") >= F.col("passes")) & (F.col("extra") < F.col("_size"))
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    sized = carried(docs, *own).withColumns({"size": word_count(F.col("text").cast("string")), "key": F.coalesce(F.col("doc_id").cast("long"), null)})
+    sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size").orderBy(F.xxhash64("text"))))
+    chosen = plan(docs.select("doc_id", "source", "text"), seed).select(F.coalesce("doc_id", null).alias("key"), "size", "passes", "extra", "shards")
+    chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size").orderBy("passes", F.col("extra").desc(), "shards")))
+    rows = sized.join(chosen, ["key", "size", "nth"])  # both sides are dealt by key and size already: texts move once
+    rows = rows.where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("copy", "shard"))
+    cut = (F.col("copy") >= F.col("passes")) & (F.col("extra") < F.col("size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
+    if "n_chars" in own:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    rows = rows.repartitionByRange("_shard", F.xxhash64("doc_id", "_copy", F.lit(seed + 3))).sortWithinPartitions("_shard", F.xxhash64("doc_id", "_copy", F.lit(seed + 3)))
-    return rows.select(*docs.columns)
+    local = F.xxhash64("doc_id", "copy", F.lit(seed + 3))
+    rows = rows.repartitionByRange("shard", local).sortWithinPartitions("shard", local)
+    return uncarried(rows, docs.columns, *own)

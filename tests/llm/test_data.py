@@ -167,14 +167,38 @@ def test_mixing(spark):
 
 
 def test_splitting_tree(spark):
-    quotas = {"a": 1000, "b": 10, "c": 1, None: 377}
-    out = mixing.split_quotas(spark.createDataFrame(list(quotas.items()), "source string, quota long"), 3).collect()
-    got, shard = collections.Counter(), collections.Counter()
-    for r in out:
-        got[r["source"]] += r["quota"]
-        shard[r["shard"]] += r["quota"]
-        assert r["quota"] >= 0
-    assert got == quotas and max(shard.values()) - min(shard.values()) <= 8
+    quotas = {1: 1000, 2: 10, 3: 1, 4: 377}
+    blocks = spark.createDataFrame([(s, b, 0) for s, n in quotas.items() for b in range(n)], "sid int, block long, pass long")
+    old, mixing.CELL_ROWS = mixing.CELL_ROWS, 50  # ranks over many cells
+    try:
+        out = mixing.deal(blocks, 1388, 3).collect()
+    finally:
+        mixing.CELL_ROWS = old
+    assert len(out) == len({(r["sid"], r["block"], r["pass"]) for r in out}) == 1388
+    for depth in (1, 2, 3):  # at every level halves differ by a block at most
+        sizes = collections.Counter(r["shard"] >> (3 - depth) for r in out)
+        assert len(sizes) == 1 << depth and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_draws_are_hypergeometric(spark):
+    """512 shards of 64 blocks, of 32768 of which 3277 are of source 1: what a shard gets has the law's mean and variance."""
+    blocks = spark.range(32768).selectExpr("CASE WHEN id < 3277 THEN 1 ELSE 2 + id % 5 END AS sid", "id AS block", "0L AS pass")
+    counts = [r["n"] for r in mixing.deal(blocks, 32768, 9).groupBy("shard").agg(mixing.F.sum((mixing.F.col("sid") == 1).cast("int")).alias("n")).collect()]
+    share = 3277 / 32768
+    variance = 64 * share * (1 - share) * (32768 - 64) / 32767
+    assert len(counts) == 512 and sum(counts) == 3277
+    assert abs(np.var(counts) / variance - 1) < 0.25  # four standard errors
+    assert 0 < min(counts) + 1 and max(counts) < 64 * share + 6 * variance**0.5
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["doc_id", "source", "text", "size", "extra", "passes", "shards", "carried", "key", "n_chars"]
+    rows = [(i, "ab"[i % 2], "one two three", i, "x", 1.5, None, True, "k", 13) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string, size int, extra string, passes double, shards string, carried boolean, key string, n_chars long")
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == names
+    out = mixed.collect()
+    assert len(out) > 40 and all(r["size"] == r["doc_id"] and r["extra"] == "x" and r["carried"] for r in out)
 
 
 # fingerprints
