@@ -293,4 +293,11 @@ def test_quality(spark):
     none = quality.classify(frame, given.where("quality = 1")).collect()
     assert all(r["keep"] and r["score"] == 0.5 for r in none) and len(none) == 603
     assert quality.classify(frame.limit(0), given.limit(0)).count() == 0
-    assert quality.accepted(frame, given).columns == frame.columns
+    clash = frame.withColumns({"quality": quality.F.lit("q"), "carried": quality.F.lit(1), "id": quality.F.lit(2), "score": quality.F.lit(0.25)})
+    kept = quality.accepted(clash, given)
+    assert kept.columns == clash.columns and {(r["quality"], r["carried"], r["id"], r["score"]) for r in kept.collect()} == {("q", 1, 2, 0.25)}
+
+
+def test_views_share_no_input():
+    assert len(quality.content_features("some text\nhere")) == quality.TEXT and len(quality.metadata_features("en", "a", 5)) == quality.META
+    assert (quality.metadata_features(None, None, None) == quality.metadata_features(None, None, float("nan"))).all()
