@@ -1,120 +1,277 @@
 """HTML extraction: a tree builder with implied tags, visibility rules, and layout-aware rendering.
 
-The builder takes start tags, end tags and text from one regular expression, closes what a new tag
-implies (a paragraph before a block, a list item before the next, cells and rows before others), ignores
-end tags that match nothing, and keeps script-like elements out.  The renderer walks the tree with a stack of
-its own, so depth is bounded by memory only: blocks stand on lines of their own with blank lines where the
-browser has margins, list items get markers and indents, preformatted text keeps its lines, and tables
-are laid out with their cells padded to common column widths.
-
-Defined cases: null html gives empty text; text without tags is itself with white space collapsed;
-unclosed tags, stray ends and broken comments never fail; hidden elements (``hidden``, ``display:none``,
-``visibility:hidden``, hidden inputs) and head, script, style, template, noscript, iframe give nothing.
+The scanner takes tags with possessive patterns, so each character is looked at a bounded number of times whatever the page
+holds; a quote opens a value only after ``=``.  The builder closes what a new tag implies (a paragraph before a block,
+a list item before the next, cells and rows before others), ignores end tags that match nothing in their scope, and keeps
+script-like elements out; counts of what is open since the last boundary spare it any search that would find nothing.
+The renderer walks the tree with a stack of its own: blocks stand on lines of their own with blank lines where the
+browser has margins, list items get markers and indents, preformatted text keeps its lines, and tables are laid out
+with their cells, of several lines if need be, padded to common column widths; a cell that spans rows keeps its columns.
+
+Visibility: ``hidden``, ``display:none`` and ``visibility:hidden``, inline or from a ``style`` element (rules whose selectors are
+a tag, classes and ids; rules in @-blocks are left out), by specificity; ``display:none`` hides all below it, while a
+``visibility:visible`` child of a hidden element is seen.  Head, script, style, template, noscript, iframe, and the fallbacks
+of audio, video, canvas and svg give nothing; the fallback of an object is seen.
+
+Defined cases: null html gives empty text; text without tags is itself with white space collapsed; unclosed elements, stray
+ends and broken comments never fail; a tag, comment or quote that the page ends in is dropped, as browsers do; lists
+deeper than ``DEEPEST`` indent no further, tables deeper than that are plain blocks, and no more cells than that span rows at
+once; columns are padded to ``WIDEST`` characters at most.  Padding could otherwise be the square of the text; no text is
+lost by it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-TOKEN = re.compile(r"<!--(?:.*?)(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
-RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
+_VALUE = r"(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+|(?=>))"
+_ATTRIBUTE = rf"=?[^\s/>=]++(?:\s*+=\s*+{_VALUE})?+"
+TAG = re.compile(rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE}|=)*+)>")
+ATTRIBUTE = re.compile(r"(=?[^\s/>=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+|[\s/=]++")
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript iframe title noembed noframes object audio video canvas svg datalist".split())
+UNSEEN = frozenset("head script style template noscript iframe title noembed noframes audio video canvas svg datalist".split())
 #: Blocks, with the blank lines that a browser's margins leave about them.
 BLOCKS = dict.fromkeys("address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main nav option optgroup search section summary table tbody thead tfoot tr td th caption".split(), 0)
 BLOCKS |= dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir pre blockquote figure hr xmp".split(), 1)
+LISTS = frozenset("ul ol menu dir".split())
 CLOSES_P = frozenset(t for t in BLOCKS if t not in {"html", "body", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "optgroup", "legend", "figcaption"})
-#: A start tag closes the nearest of these elements, searched up to one of the second set.
+SCOPE = frozenset("table td th caption html button object".split())
+#: A start tag closes the nearest open element of the first set, unless one of the second stands between.
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"optgroup", "option"}, {"select"}),
-    "tr": ({"tr", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption"}, {"table"}),
+    "p": ({"p"}, SCOPE), "head": ({"head"}, set()),
+    "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"optgroup", "option"}, {"select"}),
+    "tr": ({"tr", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup", "tr"}, {"table"}),
 }
-SCOPE = frozenset("table td th caption html button object".split())
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-#: Tables inside more tables than this are laid out as plain blocks.
-MOST_NESTED = 40
+CLOSED_BY = {"dd": "dt", "th": "td", "thead": "tbody", "tfoot": "tbody", "body": "head"} | {k: k for k in IMPLIED if k not in ("p", "head")}
+COUNTED, ENTERED = defaultdict(list), defaultdict(list)
+for _group, (_tags, _until) in IMPLIED.items():
+    for _t in _tags:
+        COUNTED[_t].append(_group)
+    for _t in _until:
+        ENTERED[_t].append(_group)
+#: End tags that look beyond the scope they stand in.
+FAR_ENDS = SCOPE | {"tr", "tbody", "thead", "tfoot"}
 SPACE = re.compile(r"[ \t\n\r\f]+")
+DEEPEST = 32
+#: A column is padded to this width at most; longer cells run over it.
+WIDEST = 240
+#: The most that browsers let a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Element:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "found", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+        self.tag, self.attrs, self.children, self.found = tag, attrs, [], None
 
     def attributes(self) -> dict[str, str]:
-        return {k.lower(): unescape(v.strip("\"'")) for k, v in reversed(ATTRIBUTE.findall(self.attrs))} if self.attrs.strip() else {}
-
-    def visible(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.found is None:
+            pairs = [(k.lower(), v) for k, v in ATTRIBUTE.findall(self.attrs) if k] if self.attrs and not self.attrs.isspace() else []
+            self.found = {k: unescape(v[1:-1] if v[:1] in ("'", '"') else v) for k, v in reversed(pairs)}
+        return self.found
+
+
+class OpenElements:
+    """The stack of open elements, with counts that tell whether a search would find anything."""
+
+    def __init__(self, root: Element):
+        self.stack = [root]
+        self.in_scope: list[Counter] = [Counter()]
+        self.everywhere: Counter = Counter()
+        self.near = {group: [0] for group in IMPLIED}
+
+    def push(self, x: Element) -> None:
+        self.stack.append(x)
+        self.everywhere[x.tag] += 1
+        self.in_scope[-1][x.tag] += 1
+        for group in COUNTED.get(x.tag, ()):
+            self.near[group][-1] += 1
+        for group in ENTERED.get(x.tag, ()):
+            self.near[group].append(0)
+        if x.tag in SCOPE:
+            self.in_scope.append(Counter())
+
+    def pop(self) -> str:
+        tag = self.stack.pop().tag
+        if tag in SCOPE:
+            self.in_scope.pop()
+        for group in ENTERED.get(tag, ()):
+            self.near[group].pop()
+        for group in COUNTED.get(tag, ()):
+            self.near[group][-1] -= 1
+        self.everywhere[tag] -= 1
+        self.in_scope[-1][tag] -= 1
+        return tag
+
+    def close(self, group: str) -> None:
+        while self.near[group][-1]:  # a section ends the row and the section before it
+            tags = IMPLIED[group][0]
+            while self.pop() not in tags:
+                pass
+            if group != "tbody":
+                return
+
+    def end(self, tag: str) -> bool:
+        """Closes the nearest element ``tag``, if it is in reach."""
+        if not (self.everywhere if tag in FAR_ENDS else self.in_scope[-1])[tag]:
             return False
-        if not self.attrs or self.attrs.isspace():
-            return True
-        found = self.attributes()
-        return not ("hidden" in found or HIDDEN.search(found.get("style", "")) or self.tag == "input")
+        while self.pop() != tag:
+            pass
+        return True
 
 
-def build(html: str) -> Element:
-    """The tree of a page; every element the page leaves open is closed at its end."""
-    root = Element("html")
-    stack, at = [root], 0
+def build(html: str) -> tuple[Element, list[str]]:
+    """The tree of a page, and its style sheets; every element the page leaves open is closed at its end."""
+    root, sheets = Element("html"), []
+    open_ = OpenElements(root)
+    stack, at, look, end = open_.stack, 0, 0, len(html)
 
     def text(upto: int) -> None:
         if upto > at:
             stack[-1].children.append(unescape(html[at:upto]))
 
-    match = TOKEN.search(html)
-    while match:
-        text(match.start())
-        at = match.end()
-        tag = (match[2] or "").lower()
-        if tag and match[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if tag == "p" and not depth:
+    while (lt := html.find("<", look)) >= 0:
+        mark = html[lt + 1 : lt + 3]
+        if mark[:1] in ("!", "?") or mark[:1] == "/" and not (mark[1:].isascii() and mark[1:].isalpha()):
+            text(lt)
+            if html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    at = html.index(">", lt + 4) + 1
+                else:
+                    ends = [k for k in (html.find("-->", lt + 4),) if k >= 0]
+                    at = ends[0] + 3 if ends else end
+            else:
+                close = html.find(">", lt + 2)
+                at = close + 1 if close >= 0 else end
+            look = at
+            continue
+        if not (mark[:1] == "/" or mark[:1].isascii() and mark[:1].isalpha()):
+            look = lt + 1  # a plain character
+            continue
+        found = TAG.match(html, lt)
+        text(lt)
+        if not found:  # the page ends in this tag
+            at = end
+            break
+        at = look = found.end()
+        tag = found[2].lower()
+        if found[1]:
+            if not open_.end(tag) and tag == "p":
+                open_.close("p")
                 stack[-1].children.append(Element("p"))
-            elif depth and not any(x.tag in SCOPE for x in stack[depth + 1 :] if tag not in SCOPE and tag not in {"tr", "tbody", "thead", "tfoot"}):
-                del stack[depth:]
-        elif tag == "html":
-            root.attrs = root.attrs or match[3]
-        elif tag:
-            if tag in CLOSES_P:
-                close(stack, {"p"}, SCOPE)
-            if tag in IMPLIED:
-                close(stack, *IMPLIED[tag])
-            if tag == "body":
-                close(stack, {"head"}, set())
-            if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
-                stack.pop()
-            element = Element(tag, match[3])
-            stack[-1].children.append(element)
-            if tag in RAW_END:
-                end = RAW_END[tag].search(html, at)
-                if tag == "textarea" or tag == "xmp":
-                    element.children.append(unescape(html[at : end.start() if end else len(html)]))
-                at = end.end() if end else len(html)
-            elif tag not in VOID:
-                stack.append(element)
-        match = TOKEN.search(html, at)
-    text(len(html))
-    return root
-
-
-def close(stack: list[Element], tags: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in until:
-            return
+            continue
+        if tag == "html":
+            root.attrs = root.attrs or found[3]
+            continue
+        if tag in CLOSES_P:
+            open_.close("p")
+        if tag in CLOSED_BY:
+            open_.close(CLOSED_BY[tag])
+        if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
+            open_.pop()
+        element = Element(tag, found[3])
+        stack[-1].children.append(element)
+        if tag in RAW_END:
+            last = RAW_END[tag].search(html, at)
+            inner = html[at : last.start() if last else end]
+            if tag == "textarea" or tag == "xmp":
+                element.children.append(unescape(inner) if tag == "textarea" else inner)
+            elif tag == "style":
+                sheets.append(inner)
+            ended = TAG.match(html, last.start()) if last else None
+            at = look = ended.end() if ended else end
+        elif tag not in VOID:
+            open_.push(element)
+    text(end)
+    return root, sheets
+
+
+# visibility
+
+DECLARATION = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-zA-Z-]+)\s*(!\s*important)?", re.I)
+SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
+
+
+def without_at_rules(sheet: str) -> str:
+    """The sheet without comments and @-blocks."""
+    out, depth, skip, at = [], 0, 0, 0
+    for token in re.finditer(r"/\*.*?(?:\*/|\Z)|@[^{};]*+[{;]?|[{}]", sheet, re.S):
+        if not skip:
+            out.append(sheet[at : token.start()])
+        at = token.end()
+        mark = token[0]
+        if mark == "{":
+            depth += 1
+        elif mark == "}":
+            depth -= 1
+        if mark[0] == "@" and not skip and mark[-1] == "{":
+            skip = 1
+        elif skip and mark[-1] == "{":
+            skip += 1
+        elif skip and mark == "}":
+            skip -= 1
+        elif not skip and mark in "{}":
+            out.append(mark)
+    return "".join(out) + ("" if skip else sheet[at:])
+
+
+def rules(sheet: str) -> list[tuple[str, str]]:
+    """Selectors and body of each rule."""
+    parts = re.split(r"([{}])", without_at_rules(sheet))
+    return [(parts[k - 1], parts[k + 1]) for k in range(1, len(parts) - 2, 2) if parts[k] == "{" and parts[k + 2] == "}"]
+
+
+class Styles:
+    """What style elements and attributes say of display and visibility."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules: dict[str, list] = defaultdict(list)  # by an id, class or tag that the element must have
+        n = 0
+        for selectors, body in (r for sheet in sheets for r in rules(sheet)):
+            said = [(p.lower(), v.lower(), bool(i)) for p, v, i in DECLARATION.findall(body)]
+            for selector in selectors.split(",") if said else ():
+                simple = SIMPLE.match(selector.strip())
+                if simple and simple[0]:
+                    parts = re.findall(r"[.#][\w-]+", simple[2])
+                    weight = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), bool(simple[1]), n)
+                    tag = (simple[1] or "").lower()
+                    self.rules[parts[0] if parts else tag].append((weight, tag, frozenset(parts), said))
+                    n += 1
+
+    def of(self, x: Element) -> tuple[bool, bool | None]:
+        """Whether the element is displayed, and whether it is visible (None: as what it stands in)."""
+        if x.tag in UNSEEN:
+            return False, None
+        bare = not x.attrs or x.attrs.isspace()
+        if bare and not self.rules:
+            return True, None
+        own = {} if bare else x.attributes()
+        said = []
+        if self.rules:
+            names = {f"#{own['id']}"} if "id" in own else set()
+            names |= {f".{c}" for c in own.get("class", "").split()}
+            for name in (*names, x.tag):
+                for weight, tag, parts, what in self.rules.get(name, ()):
+                    if tag in ("", x.tag) and parts <= names:
+                        said += [((important, 0, *weight), p, v) for p, v, important in what]
+        said += [((bool(important), 1), p.lower(), v.lower()) for p, v, important in DECLARATION.findall(own.get("style", ""))]
+        value = {p: v for _, p, v in sorted(said, key=lambda s: s[0])}
+        display = value["display"] != "none" if "display" in value else "hidden" not in own
+        return display, None if "visibility" not in value or value["visibility"] == "inherit" else value["visibility"] == "visible"
+
+
+# layout
 
 
 class Lines:
@@ -138,6 +295,14 @@ class Lines:
         self.line.append(words.strip(" "))
         self.space = words[-1] == " "
 
+    def plain(self, text: str) -> None:
+        """Preformatted: white space and line ends stay."""
+        first, *more = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
+        self.line.append(first)
+        for part in more:
+            self.put("".join(self.line))
+            self.line = [part]
+
     def flush(self) -> None:
         if self.line:
             self.put("".join(self.line))
@@ -146,7 +311,7 @@ class Lines:
     def put(self, line: str) -> None:
         if self.done and self.gap:
             self.done += [""] * self.gap
-        lead = "".join(self.indent)
+        lead = "".join(self.indent[:DEEPEST])
         if self.marker:
             lead = lead[: len(lead) - len(self.marker)] + self.marker
             self.marker = ""
@@ -162,52 +327,53 @@ class Lines:
         return "\n".join(self.done)
 
 
-def render(node: Element, nesting: int = 0) -> str:
+def render(node: Element, styles: Styles, nesting: int = 0, shown: bool = True) -> str:
     out = Lines()
     lists: list[list] = []
-    stack: list[tuple] = [("open", node)]
+    stack: list[tuple] = [("open", node, shown, False)]
     while stack:
-        step, x = stack.pop()
+        step, x, shown, pre = stack.pop()
         if step == "close":
-            if x.tag == "li" or x.tag == "dd" or x.tag == "blockquote":
+            if x.tag in ("li", "dd", "blockquote"):
                 out.flush()
                 out.indent.pop()
                 out.marker = ""
-            if x.tag in ("ul", "ol", "menu", "dir"):
+            if x.tag in LISTS:
                 lists.pop()
-            out.edge(BLOCKS.get(x.tag, 0) if not (x.tag in ("ul", "ol", "menu", "dir") and lists) else 0)
+            if pre and out.line == [""]:
+                out.line = []  # the line end before the end tag
+            out.edge(BLOCKS.get(x.tag, 0) if not (x.tag in LISTS and lists) else 0)
             continue
         if isinstance(x, str):
-            out.inline(x)
+            if shown:
+                (out.plain if pre else out.inline)(x)
             continue
-        if not x.visible():
+        display, visible = styles.of(x)
+        if not display:
             continue
+        shown = shown if visible is None else visible
         tag = x.tag
         if tag == "br":
-            if out.line:
+            if shown and pre:
+                out.plain("\n")
+            elif shown and out.line:
                 out.flush()
-            else:
+            elif shown:
                 out.gap = max(out.gap, 1)
             continue
-        if tag == "pre" or tag == "xmp":
-            out.edge(1)
-            for line in text_of(x).strip("\n").split("\n"):
-                out.put(line)
-            out.edge(1)
-            continue
-        if tag == "table" and nesting < MOST_NESTED:
+        if tag == "table" and nesting < DEEPEST:
             out.edge(1)
-            for line in table_lines(x, nesting + 1):
+            for line in table_lines(x, styles, nesting + 1, shown):
                 out.put(line)
             out.edge(1)
             continue
-        block = tag in BLOCKS
-        if block:
-            nested = tag in ("ul", "ol", "menu", "dir") and lists
+        children = x.children
+        if tag in BLOCKS:
+            nested = tag in LISTS and lists
             out.edge(0 if nested else BLOCKS[tag])
-            if tag in ("ul", "ol", "menu", "dir"):
+            if tag in LISTS:
                 start = x.attributes().get("start", "1") if tag == "ol" else "1"
-                lists.append([tag, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
+                lists.append([tag, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1])
             elif tag == "li":
                 if lists and lists[-1][0] == "ol":
                     marker = f"{lists[-1][1]}. "
@@ -215,79 +381,117 @@ def render(node: Element, nesting: int = 0) -> str:
                 else:
                     marker = "- "
                 out.indent.append(" " * len(marker))
-                out.marker = marker
-            elif tag == "dd" or tag == "blockquote":
+                out.marker = marker if shown and len(out.indent) <= DEEPEST else ""
+            elif tag in ("dd", "blockquote"):
                 out.indent.append("  ")
-            stack.append(("close", x))
-        stack.extend(("open", c) for c in reversed(x.children))
+            elif tag in ("pre", "xmp"):
+                pre = True
+                if children and isinstance(children[0], str):  # a line end right after the tag does not count
+                    children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
+            stack.append(("close", x, shown, pre))
+        stack.extend(("open", c, shown, pre) for c in reversed(children))
     return out.text()
 
 
-def text_of(node: Element) -> str:
-    """Visible text with its own white space, for preformatted blocks."""
-    parts, stack = [], [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif x is node or x.visible():
-            if x.tag == "br":
-                parts.append("\n")
-            stack.extend(reversed(x.children))
-    return "".join(parts).replace("\r\n", "\n")
+def span(cell: Element, name: str, most: int) -> int:
+    value = cell.attributes().get(name, "1") if cell.attrs else "1"
+    return min(int(value[:6]), most) if re.fullmatch("[0-9]+", value) else 1
 
 
-def table_lines(table: Element, nesting: int = 0) -> list[str]:
-    """Caption, then rows with cells padded to the widths of their columns; a spanning cell takes several columns."""
-    rows: list[list[tuple[str, int]]] = []
+def table_lines(table: Element, styles: Styles, nesting: int, shown: bool) -> list[str]:
+    """Caption, loose text, then rows with cells padded to the widths of their columns."""
+    rows: list[list[tuple[int, list[str], int]]] = []  # of each row: column, lines, end of the columns spanned
     caption: list[str] = []
     loose = Element("div")
-    stack = list(reversed(table.children))
+    covered: list[tuple[int, int, int]] = []  # columns that a cell above takes, and for how many more rows
+
+    def lines_of(x: Element, seen: bool) -> list[str]:
+        return [line for line in render(x, styles, nesting, seen).split("\n") if line]
+
+    def add(cells: list, seen: bool) -> None:
+        nonlocal covered
+        out, at, new = [], 0, []
+        above = iter([*covered, (1 << 60, 0, 0)])
+        low, high, _ = next(above)
+        for c in cells:
+            display, visible = (True, None) if isinstance(c, str) else styles.of(c)
+            if not display or isinstance(c, str) and not c.strip():
+                continue
+            while low <= at:
+                at = max(at, high)
+                low, high, _ = next(above)
+            if isinstance(c, str):
+                out.append((at, [SPACE.sub(" ", c).strip(" ")] if seen else [], at + 1))
+                at += 1
+                continue
+            wide, tall = max(1, span(c, "colspan", MOST_COLUMNS)), span(c, "rowspan", MOST_ROWS) or MOST_ROWS
+            out.append((at, lines_of(c, seen), at + wide))
+            if tall > 1:
+                new.append((at, at + wide, tall - 1))
+            at += wide
+        covered = [(a, b, n - 1) for a, b, n in covered if n > 1]
+        covered = sorted(covered + new[: max(0, DEEPEST - len(covered))])
+        if out:
+            rows.append(out)
+
+    stack = [(c, shown) for c in reversed(table.children)]
     while stack:
-        x = stack.pop()
+        x, seen = stack.pop()
         if isinstance(x, str):
             if x.strip():
                 loose.children.append(x)
-        elif not x.visible():
             continue
-        elif x.tag in ("tbody", "thead", "tfoot"):
-            stack.extend(reversed(x.children))
-        elif x.tag == "tr" or x.tag in ("td", "th"):
-            cells = [c for c in (x.children if x.tag == "tr" else [x]) if not isinstance(c, str) or c.strip()]
-            row = []
-            for c in cells:
-                if isinstance(c, str):
-                    row.append((SPACE.sub(" ", c).strip(" "), 1))
-                elif c.visible():
-                    span = c.attributes().get("colspan", "1")
-                    row.append((" ".join(render(c, nesting).split()), min(int(span), 1000) if span.isdigit() and int(span) else 1))
-            if row:
-                rows.append(row)
+        display, visible = styles.of(x)
+        if not display:
+            continue
+        own = seen if visible is None else visible
+        if x.tag in ("tbody", "thead", "tfoot"):
+            covered.clear()
+            stack.append((None, seen))
+            stack.extend((c, own) for c in reversed(x.children))
+        elif x.tag == "tr":
+            add(x.children, own)
+        elif x.tag in ("td", "th"):
+            add([x], seen)
         elif x.tag == "caption":
-            caption.append(" ".join(render(x, nesting).split()))
+            caption += lines_of(x, seen)
         elif x.tag not in ("colgroup", "col"):
             loose.children.append(x)
-    widths: dict[int, int] = {}
+        while stack and stack[-1][0] is None:  # cells do not span beyond their section
+            stack.pop()
+            covered.clear()
+    # only columns that a cell begins in have a width
+    begins = sorted({at for row in rows for at, _, _ in row})
+    place = {at: k for k, at in enumerate(begins)}
+    rows = [[(place[at], lines, bisect_left(begins, end)) for at, lines, end in row] for row in rows]
+    widths = [0] * len(begins)
     for row in rows:
-        at = 0
-        for text, span in row:
-            if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    out = [line for line in [*caption, *(render(loose, nesting).split("\n") if loose.children else [])] if line]
+        for at, lines, end in row:
+            if end == at + 1:
+                widths[at] = min(WIDEST, max(widths[at], max(map(len, lines), default=0)))
+    upto = [0, *accumulate(widths)]
+
+    def room(a: int, b: int) -> int:
+        return upto[b] - upto[a] + 3 * (b - a - 1)
+
+    out = [*caption, *(lines_of(loose, shown) if loose.children else [])]
     for row in rows:
-        at, parts = 0, []
-        for text, span in row:
-            width = sum(widths.get(k, 0) for k in range(at, at + span)) + 3 * (span - 1)
-            parts.append(text.ljust(width))
-            at += span
-        if any(text for text, _ in row):
+        for k in range(max(len(lines) for _, lines, _ in row)):
+            parts, column = [], 0
+            for at, lines, end in row:
+                if column < at:  # under cells that span rows
+                    parts += ["".ljust(widths[c]) for c in range(column, at)]
+                parts.append((lines[k] if k < len(lines) else "").ljust(room(at, end)))
+                column = end
             out.append(" | ".join(parts).rstrip(" "))
     return out
 
 
 def extract_text(html: str | None) -> str:
-    return render(build(html)) if html else ""
+    if not html:
+        return ""
+    root, sheets = build(html)
+    return render(root, Styles(sheets))
 
 
 @F.pandas_udf(StringType())

@@ -4,7 +4,9 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -114,8 +116,13 @@ def test_archive(spark):
         ("<table><tr><th>Name<th>Q<tr><td>long name<td>1</table>", "Name      | Q\nlong name | 1"),
         ("<div hidden>no</div><div style='display: none'>no</div><input type=hidden value=v>yes<script>if (a<b) x='</p>'</script>", "yes"),
         ("<head><title>t</title></head><body>b &amp; &lt;c&gt; &eacute;", "b & <c> é"), ("<pre> a\n  b</pre>", " a\n  b"), ("one <b>two</b>three", "one twothree"),
-        ("x </zz> <!-- open", "x"), ("<p>a</div>b</p>", "ab"), ("<table><tr><td>a<table><tr><td>n</table><td>b</table>", "a n | b"), ("<dl><dt>t<dd>d</dl>", "t\n  d"),
-        ("<table><tr><td>a<td>b<tr><td colspan=2>wide", "a | b\nwide"), ("<select><option>o<option>p</select>", "o\np"),
+        ("x </zz> <!-- open", "x"), ("<p>a</div>b</p>", "ab"), ("<table><tr><td>a<table><tr><td>n</table><td>b</table>", "a | b\nn |"), ("<dl><dt>t<dd>d</dl>", "t\n  d"),
+        ("<table><tr><td>a<td>b<tr><td colspan=2>wide", "a | b\nwide"), ("<a title=it's>hello</a> world it's <b>x</b> end", "hello world it's x end"), ("<p title=it's>hello</p>", "hello"),
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A | b\n  | c\nd | e"), ("<table><tr><td rowspan=0>A<td>b<tr><td>c<tbody><tr><td>d</table>", "A | b\n  | c\nd"),
+        ("<style>.x,#z{color:red;display:none} /* } */ @media print{p{display:none}} #i{visibility:hidden} p.y{display:block!important}</style><p class='a x'>no</p><p>yes<p class='x y'>y<p id=z>no</p><p id=i>no <b style='visibility:visible'>seen</b> no</p>", "yes\n\ny\n\nseen"),
+        ("<p class=x>no</p>b<style>p.x { DISPLAY : none }</style>", "b"), ("<div style='visibility:hidden'>a<div style='visibility:visible'>b</div></div>c", "b\nc"), ("<div hidden><p style='visibility:visible;display:block'>no</div>c", "c"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>c<tr><td>d<td>e</table>", "- a | c\n- b |\nd   | e"), ("<pre>x\n<table><tr><td>a<td>b</table>y</pre>", "x\n\n\na | b\n\ny"), ("<object>seen</object><video>not</video>", "seen"),
+        ("a<!-->b<!--->c<!-- x -->d<? y >e<!doctype html>f</3>g", "abcdefg"), ("1 < 2 <3 <a", "1 < 2 <3"), ("<a href=x/y title = 'q > r' checked>t</a >u", "tu"), ("<p/>a<br/>b", "a\nb"), ("<b>a<table><tr><td></b>c</table>", "a\n\nc"), ("<select><option>o<option>p</select>", "o\np"),
     ],
 )
 def test_html(page, text):
@@ -128,6 +135,83 @@ def test_html_deep_and_long():
     assert len(html.extract_text("<p>word " * 100_000).split("\n\n")) == 100_000
 
 
+@pytest.mark.parametrize("page", ["<a ", "<a '", '<a "', "<a =", "<", "<!-- ", "&", "<ul><li>", "<dl><dd>x", "<table><tr><td>a<td>b", "<option>", "<style>@{", "<style>a{", "<style>/*", "<tr><td rowspan=65534 colspan=1000>a", "<a b c d=1 e='2' ", "</p>", "<h1>", "<title>"])
+def test_html_takes_time_in_proportion(page):
+    began = time.process_time()
+    n = 1_000_000 // len(page)
+    out = html.extract_text("<table>" * page.startswith("<tr>") + page * n)
+    assert time.process_time() - began < 20
+    assert out.count("a") >= (n if "td>a" in page or "=1000>a" in page else 0)
+
+
+@pytest.mark.parametrize("start", ["<b><table><td>", "<ul><li><ul>", ""])
+def test_html_stray_ends_below_deep_stacks(start):
+    began = time.process_time()
+    for end in ("</b>", "</p>", "<li></li>", "</ul>", "</zz>"):
+        html.extract_text(start + "<div>" * 20_000 + end * 20_000)
+    assert time.process_time() - began < 10
+
+
+class Plain(HTMLParser):
+    """Visible words in order, the slow and simple way: by the parser of the standard library, without layout."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.hidden, self.stack = [], 0, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in html.VOID:
+            gone = tag in html.UNSEEN or "hidden" in dict(attrs) or "display:none" in (dict(attrs).get("style") or "").replace(" ", "")
+            self.stack.append((tag, gone))
+            self.hidden += gone
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _ in self.stack]:
+            while True:
+                t, gone = self.stack.pop()
+                self.hidden -= gone
+                if t == tag:
+                    return
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.words += data.split()
+
+
+def page_of(rng, depth=0):
+    """A well-formed page at random."""
+    def words():
+        return " ".join(rng.choice(["one", "two", "3 &lt; 4", "&amp;", "fünf", "it's", "x"]) for _ in range(rng.randrange(1, 6)))
+
+    def inner():
+        return "".join(page_of(rng, depth + 1) for _ in range(rng.randrange(1, 4)))
+
+    kind = rng.randrange(9) if depth < 4 else 0
+    if kind < 2:
+        return f" {words()} "
+    if kind == 2:
+        return f"<ul class=\"a\">{''.join(f'<li>{inner()}</li>' for _ in range(rng.randrange(1, 4)))}</ul>"
+    if kind == 3:
+        return f"<table border=1>{''.join('<tr>' + ''.join(f'<td>{words()}</td>' for _ in range(rng.randrange(1, 4))) + '</tr>' for _ in range(3))}</table>"
+    if kind == 4:
+        return f"<div {rng.choice(['hidden', 'style=\"display: none\"', 'title=no', ''])}>{inner()}</div>"
+    if kind == 5:
+        return rng.choice(["<script>var a = '<p>no</p>';</script>", "<!-- no <p> -->", "<style>b{color:red}</style>", "<br>", "<hr/>", "<img alt='no'>"])
+    if kind == 6:
+        return f" <b>{words()}</b> <a href='x?a=1&b=2'>{words()}</a> "
+    return f"<{(t := rng.choice(['section', 'blockquote', 'dl', 'article']))}>{inner()}</{t}>"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_html_has_the_words_of_a_plain_renderer(seed):
+    page = page_of(random.Random(seed)) + page_of(random.Random(seed + 1000))
+    plain = Plain()
+    plain.feed(page)
+    plain.close()
+    out = html.extract_text(page)
+    assert [w for w in out.split() if w not in ("-", "|")] == plain.words
+
+
 def test_html_frame(spark):
     out = html.extract(spark.createDataFrame([(1, "u", "<p>a<p>b", "t"), (2, None, None, None)], "page_id long, url string, html string, text string")).collect()
     assert sorted(map(tuple, out)) == [(1, "a\n\nb", 4, 3), (2, "", 0, 0)]
