@@ -5,9 +5,12 @@ with the seek table (compressed and plain size of each frame), so any frame can
 of the file and decompressed alone.  The index maps a record's identifier to bundle, frame, and the
 offset and length inside the decompressed frame.
 
+Records are read back by seeking: of a bundle its last bytes, which hold the seek table, and then the frames that are
+asked for, each by its range; a frame is opened once for all records wanted from it.
+
 Equal payloads of at least ``min_bytes`` are stored once, under the largest page_id; the other records
-are revisits that name it.  Which payloads repeat comes from a grouped count of digests; only repeated
-digests are joined back, salted, so a payload that a third of all pages share is spread over tasks.
+are revisits that name it.  Which payloads repeat comes from a grouped count of digests.  Digests that more than one page
+in ``FEW`` shares are ``FEW`` at most, so they are broadcast; the others are joined by digest, each a small share of the rows.
 
 Defined cases: a null payload is empty; a null url leaves the header out; a null page_id is smaller than
 all others and is written as ``null``; rows that agree in page_id and payload are each a response;
@@ -27,11 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize_with_path, scratch_path
+from lodestone.llm.common import materialize, materialize_with_path, scratch_path
 
 FRAME = 256 << 10
 BUNDLE = 8 << 20
-SALTS = 16
+FEW = 1000
 SEEK_MAGIC, SKIPPABLE = 0x8F92EAB1, 0x184D2A5E
 PREFIX = "urn:lodestone:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,9 +49,15 @@ def roles(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
     rows = rows.withColumns({"payload_bytes": F.length("payload").cast("long"), "payload_digest": F.sha1("payload")})
     large = rows.where(F.col("payload_bytes") >= min_bytes)
     repeated = large.groupBy(F.col("payload_digest").alias("d"), F.col("payload_bytes").alias("b")).agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1")
-    repeated = repeated.select("d", "b", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = rows.join(repeated, (rows.payload_digest == repeated.d) & (rows.payload_bytes == repeated.b) & (rows.salt == repeated.s), "left")
+    repeated = materialize(repeated, "warc-digests")
+    common = F.col("n") > F.lit(pages.count()) / FEW
+    hot = repeated.where(common).select(F.col("d").alias("hot_d"), F.col("b").alias("hot_b"), F.col("keeper").alias("hot_keeper"))
+    rows = rows.join(F.broadcast(hot), (rows.payload_digest == F.col("hot_d")) & (rows.payload_bytes == F.col("hot_b")), "left")  # fewer than FEW rows
+    # a row that has its keeper, or needs none, looks for a digest of its own, so that it is dealt out evenly
+    sought = F.when((F.col("payload_bytes") >= min_bytes) & F.col("hot_d").isNull(), F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "payload_digest").cast("string")))
+    cold = repeated.where(~common).select("d", "b", "keeper")
+    rows = rows.withColumn("sought", sought)
+    joined = rows.join(cold, (rows.sought == cold.d) & (rows.payload_bytes == cold.b), "left").withColumn("keeper", F.coalesce("hot_keeper", "keeper"))
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
@@ -105,23 +114,26 @@ class BundleWriter:
         return b"".join(self.frames) + struct.pack("<II", SKIPPABLE, len(table)) + table
 
 
-def seek_table(bundle: bytes) -> list[tuple[int, int, int]]:
-    """Of each frame: where it starts, its compressed and its plain size."""
-    count, flags, magic = struct.unpack("<IBI", bundle[-9:])
+def seek_table(file) -> list[tuple[int, int, int]]:
+    """Of each frame: where it starts, its compressed and its plain size; from the end of an open file."""
+    size = file.size()
+    count, flags, magic = struct.unpack("<IBI", file.read_at(9, size - 9))
     if magic != SEEK_MAGIC:
         raise ValueError("no seek table at the end of the bundle")
     width = 12 if flags & 0x80 else 8
-    at, start, out = len(bundle) - 9 - count * width, 0, []
+    table = file.read_at(count * width, size - 9 - count * width)
+    start, out = 0, []
     for k in range(count):
-        packed, plain = struct.unpack_from("<II", bundle, at + k * width)
+        packed, plain = struct.unpack_from("<II", table, k * width)
         out.append((start, packed, plain))
         start += packed
     return out
 
 
-def read_frame(bundle: bytes, frame: int) -> bytes:
-    start, packed, plain = seek_table(bundle)[frame]
-    return zstandard.ZstdDecompressor().decompress(bundle[start : start + packed], max_output_size=plain)
+def read_frame(file, table: list[tuple[int, int, int]], frame: int) -> bytes:
+    """One frame, by its range."""
+    start, packed, plain = table[frame]
+    return zstandard.ZstdDecompressor().decompress(file.read_at(packed, start), max_output_size=plain)
 
 
 def parse(frame: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -191,25 +203,36 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
     return records.sortWithinPartitions("page_id", "payload_digest").mapInPandas(run, INDEX)
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """A row a record, from the bundles alone; digests of stored payloads are computed again and checked."""
+def read_records(index: DataFrame, folder: str) -> DataFrame:
+    """The records that ``index`` (all of it, or the rows wanted) points to, sought in the bundles; stored payloads are digested again and checked."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = filesystem(folder)
+        bundle, file, table, frame, data = None, None, None, None, b""
         for batch in batches:
-            for content in batch["content"]:
-                bundle, rows = bytes(content), []
-                for k in range(len(seek_table(bundle))):
-                    for head, block in parse(read_frame(bundle, k)):
-                        kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(re.search(rb"Content-Length: (\d+)", http)[1])
-                        if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
-                            raise ValueError(f"damaged payload in record {head['WARC-Record-ID']}")
-                        rows.append((page_of(head["WARC-Record-ID"]), size, digest, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInPandas(run, ROWS)
+            rows = []
+            for page, name, k, offset, length in zip(batch["page_id"].astype("Int64"), batch["bundle"], batch["frame"], batch["offset"], batch["length"]):
+                if name != bundle:
+                    if file is not None:
+                        file.close()
+                    file = store.open_input_file(f"{root}/{name}")
+                    bundle, table, frame = name, seek_table(file), None
+                if k != frame:
+                    frame, data = k, read_frame(file, table, k)
+                head, block = next(parse(data[offset : offset + length]))
+                kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
+                http, _, payload = block.partition(b"\r\n\r\n")
+                size, own = int(re.search(rb"Content-Length: (\d+)", http)[1]), page_of(head["WARC-Record-ID"])
+                if own != (None if page is pd.NA else page):
+                    raise ValueError(f"the index has page {page} where {bundle} has {own}")
+                if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != size):
+                    raise ValueError(f"damaged payload in record {head['WARC-Record-ID']}")
+                rows.append((own, size, digest, kind, page_of(head["WARC-Refers-To"]) if kind == "revisit" else None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64"})
+        if file is not None:
+            file.close()
+
+    return index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset").select("page_id", "bundle", "frame", "offset", "length").mapInPandas(run, ROWS)
 
 
 def archive(pages: DataFrame, min_bytes: int = 1000) -> tuple[DataFrame, DataFrame, str]:
@@ -219,4 +242,4 @@ def archive(pages: DataFrame, min_bytes: int = 1000) -> tuple[DataFrame, DataFra
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(jvm_path)
     index, _ = materialize_with_path(write_archives(roles(pages, min_bytes), folder), "warc-index")
-    return index, read_archives(spark, folder), folder
+    return index, read_records(index, folder), folder
