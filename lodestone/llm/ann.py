@@ -6,17 +6,22 @@ vector; it puts every row in its most probable partition and routes a query to s
 probable ones, as many as the sample needs for the wanted recall.  There, all vectors are ranked by
 exact distances in double precision.
 
-Partitions are cut into blocks by a hash of vec_id, so one vector that a third of all rows share is many
-blocks; each block keeps a query's best few, and only those meet.
+There are as many partitions as the square root of the rows, as long as each has ``SAMPLE_ROWS`` of the sample: 256 with the sample
+of 8192, from 65,000 rows on.  Beyond, partitions grow with the rows; a larger ``sample`` gives more.  Partitions are cut into blocks by a hash of vec_id,
+and their queries likewise, so no task has more than a block of each, whatever a partition or a vector that a third
+of all rows share; each pair of blocks keeps a query's best few, and only those meet.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do
-rows with a null vec_id or of another than the most common dimension; rows with the query's vec_id are not its
-candidates; of several query rows with one vec_id one is taken; ties go to the smaller vec_id; with fewer
-candidates than ``k`` all are found; an empty table gives no rows.
+rows with a null vec_id; vectors of another than the most common dimension are compared with those of their own dimension,
+all of them; rows with the query's vec_id are not its candidates; of several query rows with one vec_id one is
+taken; ties go to the smaller vec_id; with fewer candidates than ``k`` all are found; an empty table gives no rows; below
+``LEAST`` rows there is one partition.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,11 +32,12 @@ from pyspark.sql.types import ArrayType, IntegerType
 from lodestone.llm.common import materialize
 
 SAMPLE = 8192
-PARTITION_ROWS = 2048
-MOST_PARTITIONS = 256
+SAMPLE_ROWS = 32
+LEAST = 128
 BLOCK_ROWS = 4096
+BLOCK_QUERIES = 1024
 NEIGHBOURS = 12
-RECALL = 0.95
+RECALL = 0.97
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -150,57 +156,85 @@ def ranked(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> t
     return ids[at][best], score[best]
 
 
+def router_for(rows: DataFrame, n: int, k: int, sample: int) -> tuple[dict | None, int, int]:
+    """Router, partitions, and partitions a query needs, from at most ``sample`` of ``n`` vectors chosen by a hash of vec_id."""
+    if n < LEAST:
+        return None, 1, 1
+    some = rows.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    x = np.unique(np.stack(some["embedding"].to_numpy()), axis=0)  # copies would fill the graph
+    x = x[np.random.default_rng(0).permutation(len(x))]
+    parts = min(math.isqrt(n), len(x) // SAMPLE_ROWS)
+    if parts < 2:
+        return None, 1, 1
+    router, probes = learn(x, parts, k=k)
+    return router, parts, probes
+
+
 def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row whose vec_id is divisible by ``every``."""
+    return with_share(vectors, every, k, sample)[0]
+
+
+def with_share(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMPLE) -> tuple[DataFrame, int, int]:
+    """The result of ``search``, the number of partitions, and how many of them a query is routed to at least."""
     rows = usable(vectors)
     common = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0), 0, 0
     dim, n = common["d"], common["count"]
-    rows = rows.where(F.size("embedding") == dim)
-    parts = int(min(MOST_PARTITIONS, max(1, n // PARTITION_ROWS)))
-    router, probes = None, 1
-    if parts > 1:
-        # at most `sample` vectors, whatever the input; distinct, so that copies do not fill the graph
-        some = rows.groupBy("embedding").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id")).limit(sample).toPandas()
-        x = np.stack(some["embedding"].to_numpy())
-        if len(x) >= 8 * parts:
-            router, probes = learn(x, parts, k=k)
-        else:
-            parts = 1
+    router, parts, probes = router_for(rows.where(F.size("embedding") == dim), n, k, sample)
+
+    def likely(v: pd.Series) -> np.ndarray:
+        return logits(router, np.stack(v.to_numpy())) if router else np.zeros((len(v), 1))
 
     @F.pandas_udf(IntegerType())
     def partition(v: pd.Series) -> pd.Series:
-        return pd.Series(logits(router, np.stack(v.to_numpy())).argmax(1).astype(np.int32) if router else np.zeros(len(v), np.int32))
+        """The most probable partition; vectors of another dimension have one of their own, below zero."""
+        size = v.map(len)
+        out = -size.astype(np.int32)
+        main = size == dim
+        if main.any():
+            out[main] = likely(v[main]).argmax(1).astype(np.int32)
+        return out
 
     placed = materialize(rows.withColumn("part", partition("embedding")), "ann-rows")
-    sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}  # at most MOST_PARTITIONS rows
-    held = np.array([sizes.get(p, 0) for p in range(parts)])
-    cut = np.maximum(1, -(-held // BLOCK_ROWS))
-    block = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*(F.lit(int(c)) for c in cut)), F.col("part") + 1)).cast("int")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("rows"))
+    sizes = materialize(sizes.withColumn("cut", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")), "ann-sizes")
+    known = {r["part"]: r["rows"] for r in sizes.where("part >= 0").collect()}  # a row a partition
+    held = np.array([known.get(p, 0) for p in range(parts)])
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def routes(v: pd.Series) -> pd.Series:
         """The most probable partitions: ``probes`` of them, and on until they hold k candidates."""
-        if router is None:
-            return pd.Series([list(range(parts))] * len(v))
-        order = np.argsort(-logits(router, np.stack(v.to_numpy())), axis=1)
-        need = np.maximum(probes, (np.cumsum(held[order], axis=1) < k + 1).sum(1) + 1)
-        return pd.Series([o[:m].astype(np.int32).tolist() for o, m in zip(order, need)])
+        size = v.map(len)
+        out = (-size).map(lambda p: [p])
+        main = np.flatnonzero(size == dim)
+        if len(main):
+            order = np.argsort(-likely(v.iloc[main]), axis=1)
+            need = np.maximum(probes, (np.cumsum(held[order], axis=1) < k + 1).sum(1) + 1)
+            for i, o, m in zip(main, order, need):
+                out.iloc[i] = o[:m].astype(np.int32).tolist()
+        return out
 
     asked = placed.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = asked.select("vec_id", "embedding", F.explode(routes("embedding")).alias("part"))
-    blocks = F.sequence(F.lit(0), F.element_at(F.array(*(F.lit(int(c)) for c in cut)), F.col("part") + 1) - 1)
-    asked = asked.select("vec_id", "embedding", "part", F.explode(blocks).alias("block"))
+    asked = materialize(asked.select("vec_id", "embedding", F.explode(routes("embedding")).alias("part")), "ann-asked")
+    wanted = asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("turns"))
+    cuts = materialize(sizes.select("part", "cut").join(wanted, "part"), "ann-cuts")
+
+    def dealt(frame: DataFrame, own: str, mine: str, other: str, every_: str) -> DataFrame:
+        """Each row in its own block by a hash, beside every block of the other side."""
+        joined = frame.join(cuts, "part")
+        block = F.pmod(F.xxhash64("vec_id", F.lit(own)), F.col(mine)).cast("int")
+        return joined.select("vec_id", "embedding", "part", block.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(every_))
 
     def rank(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if len(candidates) and len(queries):
             ids = candidates.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            x = candidates.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), dim)[order]
+            x = candidates.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
             ids = ids[order]
-            qs = queries.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(queries), dim)
+            qs = queries.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(queries), -1)
             for own, q in zip(queries.column("vec_id").to_pylist(), qs):
                 found, score = ranked(x, ids, q, own, k)
                 out[0].append(np.full(len(found), own))
@@ -209,6 +243,8 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, sample: int = SAMP
         merged = [np.concatenate(c) if c else [] for c in out]
         return pa.table([pa.array(merged[0], pa.int64()), pa.array(merged[1], pa.int64()), pa.array(merged[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    near = placed.withColumn("block", block).groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(rank, FOUND)
+    keys = ["part", "block", "turn"]
+    near = dealt(placed, "block", "cut", "turns", "turn").groupBy(*keys).cogroup(dealt(asked, "turn", "turns", "cut", "block").groupBy(*keys)).applyInArrow(rank, FOUND)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out, parts, probes

@@ -11,7 +11,9 @@ minimum, aggregated in fixed-width hash maps.  Texts are shuffled once, by range
 reuse that partitioning.
 
 The next document (descending doc_id, after the last the first) may lie in another range; each range's first
-document is copied to the range that precedes it.  Bounds come from approximate quantiles of doc_id.
+document is copied to the range that precedes it.  Bounds come from approximate quantiles of doc_id; a range has about
+``RANGE_ROWS`` documents, and more only beyond ``MOST_RANGES`` ranges (65 million documents), where Spark's sorts spill.
+With 64 samples the standard deviation of a likeness is 0.0625 at a half, and less elsewhere.
 
 Defined cases: a null text is empty; an empty text or one without words has the fingerprint '' and is like another
 such text (1) and unlike all others (0); a null doc_id comes last; rows with equal doc_id follow each other by a hash of the
@@ -20,14 +22,17 @@ text; a lone document is its own next one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples that one row carries through the aggregation.
 LANES = 4
 RANGE_ROWS = 1000
-MOST_RANGES = 4096
+MOST_RANGES = 1 << 16
 LAST = -(1 << 63)
 ABOUT = "struct<doc_id: bigint, copy: int, n_chars: bigint, edited_sha256: string>"
 
@@ -49,6 +54,17 @@ def arrival(word: Column, log_weight: Column, sample: Column) -> Column:
     return F.shiftleft(order.cast("long"), 31).bitwiseOR(F.xxhash64(word, t, sample).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
+def range_of(ord_: Column, bounds: list[int]) -> Column:
+    """How many of the sorted ``bounds`` are below: first among every so manieth of them, then among those that follow it."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    heads, nested = (F.from_json(F.lit(json.dumps(x)), kind) for x, kind in (([g[0] for g in groups], "array<bigint>"), (groups, "array<array<bigint>>")))
+    n = F.size(F.filter(heads, lambda b: b < ord_))
+    return F.when(n == 0, 0).otherwise((n - 1) * step + F.size(F.filter(F.element_at(nested, n), lambda b: b < ord_)))
+
+
 def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """doc_id, text, ord, tie, range of every row; of each range's first document: ord, and the range before; the number of ranges."""
     ord_ = F.coalesce(F.col("doc_id"), F.lit(LAST))
@@ -58,8 +74,8 @@ def with_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     if parts > 1:
         at = [k / parts for k in range(1, parts)]
         # one number a range, whatever the input
-        bounds = sorted(set(docs.agg(F.percentile_approx(ord_, at, 20 * parts).alias("q")).first()["q"]))
-    number = F.size(F.filter(F.array(*(F.lit(int(b)) for b in bounds)).cast("array<long>"), lambda b: b < F.col("ord"))) if bounds else F.lit(0)
+        bounds = sorted({int(b) for b in docs.agg(F.percentile_approx(ord_, at, max(10_000, 2 * parts)).alias("q")).first()["q"]})
+    number = range_of(F.col("ord"), bounds)
     ids = docs.select(ord_.alias("ord")).withColumn("range", number)
     firsts = ids.groupBy("range").agg(F.max("ord").alias("ord"))
     order = Window.orderBy("range")  # one row a range
