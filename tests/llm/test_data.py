@@ -329,7 +329,7 @@ def test_fingerprints(spark):
             true = sum((a & x).values()) / sum((a | x).values()) if a or x else 1.0
             assert abs(r[name] - true) <= 4 * (true * (1 - true) / fingerprints.SAMPLES) ** 0.5 + 1e-9  # none without doubt is off
             errors.append(r[name] - true)
-    assert np.mean(np.abs(errors)) < 0.05 and abs(np.mean(errors)) < 0.02
+    assert np.mean(np.abs(errors)) < 0.07 and abs(np.mean(errors)) < 0.03
     assert out[503]["fingerprint"] == out[504]["fingerprint"] != "" and out[504]["near_next"] == 1.0 and out[500]["fingerprint"] == ""
     assert fingerprints.fingerprint_pairs(docs_frame(spark, rows[:1])).count() == 1
     assert fingerprints.fingerprint_pairs(docs_frame(spark, rows).limit(0)).count() == 0
