@@ -15,32 +15,33 @@ SIM = "list_cosine_similarity(q.embedding::double[], v.embedding::double[])"
 TOK = "regexp_extract_all(lower({}), '[a-z0-9][a-z0-9&./-]*')"
 
 
-def questions(spark, d, most=5):
-    return read(spark, d, "embeddings").where(F.col("vec_id") < most).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"))
+def questions(spark, d):
+    """Every fiftieth vector, against all."""
+    return read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"))
 
 
-@query("knn_cosine_topk", f"SELECT qid, vec_id, rank, round(score, 6) AS vector_score FROM (SELECT q.vec_id AS qid, v.vec_id, greatest(0, {SIM}) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE rank <= 10")
+@query("knn_cosine_topk", f"SELECT qid, vec_id, rank, round(score, 6) AS vector_score FROM (SELECT q.vec_id AS qid, v.vec_id, greatest(0, {SIM}) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 10")
 def _(spark, d):
     """J5, S1, W3."""
-    return plan.knn(questions(spark, d, 20), read(spark, d, "embeddings").select("vec_id", "embedding"), 10).select("qid", "vec_id", "rank", F.round("vector_score", 6).alias("vector_score"))
+    return plan.knn(questions(spark, d), read(spark, d, "embeddings").select("vec_id", "embedding"), 10).select("qid", "vec_id", "rank", F.round("vector_score", 6).alias("vector_score"))
 
 
-@query("knn_filtered_topk", f"SELECT qid, vec_id, rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND v.label IN (1, 2)) WHERE rank <= 3")
+@query("knn_filtered_topk", f"SELECT qid, vec_id, rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.label IN (1, 2)) WHERE rank <= 3")
 def _(spark, d):
     """Filtered before the search."""
-    return plan.knn(questions(spark, d, 20), read(spark, d, "embeddings"), 3, keep=F.col("label").isin(1, 2)).select("qid", "vec_id", "rank")
+    return plan.knn(questions(spark, d), read(spark, d, "embeddings"), 3, keep=F.col("label").isin(1, 2)).select("qid", "vec_id", "rank")
 
 
-@query("knn_planned_targets", f"SELECT qid, vec_id, rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND (q.vec_id % 2 = 0 OR q.label = v.label)) WHERE rank <= 3")
+@query("knn_planned_targets", f"SELECT qid, vec_id, rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND (q.vec_id % 100 = 0 OR q.label = v.label)) WHERE rank <= 3")
 def _(spark, d):
     """Plan rows with and without a target."""
-    q = read(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"), F.when(F.col("vec_id") % 2 == 1, F.col("label")).alias("target"))
+    q = read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"), F.when(F.col("vec_id") % 100 != 0, F.col("label")).alias("target"))
     return plan.knn(q, read(spark, d, "embeddings").withColumnRenamed("label", "filename"), 3).select("qid", "vec_id", "rank")
 
 
 @query(
     "hybrid_topk",
-    f"""WITH q AS (SELECT e.vec_id AS qid, e.embedding, list_sort(list_distinct(list_filter({TOK.format('d.text')}, lambda x: length(x) > 2)))[1:8] AS toks FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id < 5),
+    f"""WITH q AS (SELECT e.vec_id AS qid, e.embedding, list_sort(list_distinct(list_filter({TOK.format('d.text')}, lambda x: length(x) > 2)))[1:8] AS toks FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 0),
     cand AS (SELECT q.qid, v.vec_id, d.source, d.text, q.toks, greatest(0, {SIM}) AS sim FROM q, embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) >= 40),
     near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS n FROM cand) WHERE n <= 40),
     sc AS (SELECT *, round(sim + 0.45 * len(list_filter(toks, lambda t: contains(lower(text), t))) / greatest(len(toks), 1), 6) AS score FROM near),
@@ -49,14 +50,16 @@ def _(spark, d):
     SELECT qid, vec_id, score, rk AS rank, '[Source: ' || source || ' | Section: Root]' || chr(10) || text[1:80] AS passage FROM r WHERE rk <= 5""",
 )
 def hybrid_topk(spark, d):
-    """Flagship: nearest vectors, noise filter, hybrid score, dedupe, top five, envelope."""
+    """Flagship: nearest vectors, noise filter, hybrid score, dedupe, top five, envelope.
+
+    The search goes over ids and vectors, with a flag for texts that are long enough; only texts found are joined.
+    """
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
     vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = vectors.where("vec_id < 5").join(docs, "vec_id")
     words = F.slice(F.array_sort(F.array_distinct(fn.tokens("text", 2))), 1, 8)
-    asked = asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"), words.alias("words"))
-    corpus = vectors.join(docs.where(F.length(fn.strip("text")) >= 40), "vec_id")
-    near = plan.knn(asked, corpus, 40).drop("rank")
+    asked = vectors.where("vec_id % 50 = 0").join(docs, "vec_id").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"), words.alias("words"))
+    corpus = vectors.join(docs.where(F.length(fn.strip("text")) >= 40).select("vec_id"), "vec_id")
+    near = plan.knn(asked.select("qid", "q_vector"), corpus, 40).drop("rank").join(docs, "vec_id").join(asked.select("qid", "words"), "qid")
     scored = near.withColumn("score", F.round(F.col("vector_score") + 0.45 * sc.share_contained(F.col("words"), F.lower("text")), 6))
     best = op.keep_best(scored.withColumn("_head", F.substring("text", 1, 160)), ["qid", "source", "_head"], ["score", "vector_score"], "vec_id")
     top = op.top_per_group(best, ["qid"], [F.desc("score"), F.asc("vec_id")], 5)
@@ -65,7 +68,7 @@ def hybrid_topk(spark, d):
 
 @query(
     "probe_rerank",
-    f"""SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY final DESC, vec_id) AS rerank_rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank, round(greatest(0, {SIM}), 6) + 0.1 * (v.vec_id % 3) AS final FROM embeddings q, embeddings v WHERE q.vec_id < 5) WHERE rank <= 12
+    f"""SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY final DESC, vec_id) AS rerank_rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank, round(greatest(0, {SIM}), 6) + 0.1 * (v.vec_id % 3) AS final FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 12
     QUALIFY rerank_rank <= 5""",
 )
 def _(spark, d):
@@ -75,23 +78,24 @@ def _(spark, d):
     return op.top_per_group(final, ["qid"], [F.desc("final"), F.asc("vec_id")], 5, "rerank_rank").select("qid", "vec_id", "rerank_rank")
 
 
-@query("intro_lookup", "SELECT l.label AS target, v.vec_id, v.i AS chunk_index, 0.35::double AS score FROM (SELECT DISTINCT label FROM embeddings WHERE label < 4) l JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings) v ON v.label = l.label AND v.i < 2")
+@query("intro_lookup", "SELECT l.label AS target, v.vec_id, v.i AS chunk_index, 0.35::double AS score FROM (SELECT DISTINCT label FROM embeddings) l JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings) v ON v.label = l.label AND v.i < 2")
 def _(spark, d):
     """J9."""
     chunks = op.link_indices(read(spark, d, "embeddings").select("vec_id", F.col("label").alias("filename")), ["filename"], ["vec_id"]).select("vec_id", "filename", "chunk_index")
-    targets = chunks.where("filename < 4").select(F.col("filename").alias("target")).distinct()
+    targets = chunks.select(F.col("filename").alias("target")).distinct()
     return plan.intro_rows(targets, chunks).select("target", "vec_id", "chunk_index", "score")
 
 
 @query(
     "stitch_adjacent",
-    """WITH r AS (SELECT source, i, t, i - row_number() OVER (PARTITION BY source ORDER BY i) AS isl FROM (SELECT source, text[1:50] AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i % 4 <> 3)
-    SELECT source AS filename, min(i) AS chunk_index, count(*) AS stitched_from, string_agg(t, chr(10) ORDER BY i) AS text FROM r GROUP BY source, isl""",
+    """WITH r AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY source, isl ORDER BY i) // 12000 AS part FROM (SELECT source, i, t, i - row_number() OVER (PARTITION BY source ORDER BY i) AS isl FROM (SELECT source, t, i + i // 3 AS i FROM (SELECT source, text AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents))))
+    SELECT source AS filename, min(i) AS chunk_index, count(*) AS stitched_from, string_agg(t, chr(10) ORDER BY i) AS text FROM r GROUP BY source, isl, part""",
 )
 def _(spark, d):
     """T22."""
-    chunks = op.link_indices(read(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), F.substring("text", 1, 50).alias("text")), ["filename"], ["doc_id"])
-    return plan.stitch(chunks.where("chunk_index % 4 <> 3").withColumn("qid", F.lit(0))).select("filename", "chunk_index", "stitched_from", "text")
+    chunks = op.link_indices(read(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), "text"), ["filename"], ["doc_id"])
+    gaps = chunks.withColumns({"chunk_index": F.col("chunk_index") + F.floor(F.col("chunk_index") / 3).cast("int"), "qid": F.lit(0)})
+    return plan.stitch(gaps).select("filename", "chunk_index", "stitched_from", "text")
 
 
 @query("stitch_qna", "SELECT conv_id AS qa_pair_id, count(*) AS stitched_from, string_agg(text, chr(10) || chr(10) ORDER BY turn, text) AS text FROM conversations GROUP BY conv_id")
@@ -103,23 +107,23 @@ def _(spark, d):
 @query(
     "mention_join",
     """SELECT qid, filename, tier, row_number() OVER (PARTITION BY qid ORDER BY tier, length(filename) DESC, filename) AS rank FROM (SELECT qid, filename, CASE WHEN contains(q, '@' || lower(filename)) THEN 1 WHEN contains(q, lower(filename)) THEN 2 END AS tier
-    FROM (SELECT DISTINCT source || '.md' AS filename FROM documents), (SELECT doc_id AS qid, lower('compare @' || source || '.md and src' || doc_id % 25 || '.md') AS q FROM documents WHERE doc_id < 60)) WHERE tier IS NOT NULL""",
+    FROM (SELECT DISTINCT source || '.md' AS filename FROM documents), (SELECT doc_id AS qid, lower('compare @' || source || '.md and src' || doc_id % 25 || '.md') AS q FROM documents)) WHERE tier IS NOT NULL""",
 )
 def _(spark, d):
     """J10, L11."""
     docs = read(spark, d, "documents")
-    asked = docs.where("doc_id < 60").select(F.col("doc_id").alias("qid"), F.concat(F.lit("compare @"), "source", F.lit(".md and src"), (F.col("doc_id") % 25).cast("string"), F.lit(".md")).alias("question"))
+    asked = docs.select(F.col("doc_id").alias("qid"), F.concat(F.lit("compare @"), "source", F.lit(".md and src"), (F.col("doc_id") % 25).cast("string"), F.lit(".md")).alias("question"))
     return know.mentions(asked, docs.select(F.concat("source", F.lit(".md")).alias("filename"))).where("tier < 3").select("qid", "filename", "tier", "rank")
 
 
 @query(
     "named_doc_join",
-    "SELECT qid, filename FROM (SELECT DISTINCT source || '.md' AS filename, source AS stem FROM documents), (SELECT doc_id AS qid, 'what does ' || source || ' say' AS q FROM documents WHERE doc_id < 60) WHERE contains(' ' || regexp_replace(q, '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || stem || ' ')",
+    "SELECT qid, filename FROM (SELECT DISTINCT source || '.md' AS filename, source AS stem FROM documents), (SELECT doc_id AS qid, 'what does ' || source || ' say' AS q FROM documents) WHERE contains(' ' || regexp_replace(q, '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || stem || ' ')",
 )
 def _(spark, d):
     """By stem."""
     docs = read(spark, d, "documents")
-    asked = docs.where("doc_id < 60").select(F.col("doc_id").alias("qid"), F.concat(F.lit("what does "), "source", F.lit(" say")).alias("question"))
+    asked = docs.select(F.col("doc_id").alias("qid"), F.concat(F.lit("what does "), "source", F.lit(" say")).alias("question"))
     return know.mentions(asked, docs.select(F.concat("source", F.lit(".md")).alias("filename"))).select("qid", "filename")
 
 
@@ -145,13 +149,13 @@ def _(spark, d):
 
 @query(
     "follow_up_queries",
-    rf"""SELECT conv_id, turn, CASE WHEN (regexp_matches(lower(q), '\b(it|this|that|they|them|those|these|he|she|above|same|more)\b') OR len({TOK.format('q')}) < 4) AND p IS NOT NULL THEN p || ' ' || q ELSE q END AS asked FROM (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g')[1:40] AS q FROM conversations WHERE role = 'user'))""",
+    rf"""SELECT conv_id, turn, CASE WHEN (regexp_matches(lower(q), '\b(it|this|that|they|them|those|these|he|she|above|same|more)\b') OR len({TOK.format('q')}) < 4) AND p IS NOT NULL THEN p || ' ' || q ELSE q END AS asked FROM (SELECT *, lag(q) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS q FROM conversations WHERE role = 'user'))""",
 )
 def _(spark, d):
     """X11, J15."""
     from pyspark.sql import Window
 
-    said = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 40).alias("q"))
+    said = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("q"))
     return said.select("conv_id", "turn", know.follow_up(F.col("q"), F.lag("q").over(Window.partitionBy("conv_id").orderBy("turn"))).alias("asked"))
 
 

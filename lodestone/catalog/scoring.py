@@ -12,13 +12,13 @@ TOK = "list_filter(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9&./-]*'), lambd
 
 
 def questions(spark, d):
-    """A batch of questions: the benchmark items' first 60 characters, each beside the documents of its turn."""
-    q = read(spark, d, "benchmark").where("item_id < 20").select("item_id", F.substring("text", 1, 60).alias("q"))
-    docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source").withColumn("item_id", F.col("doc_id") % 20)
-    return docs.join(F.broadcast(q), "item_id")  # twenty rows
+    """All benchmark items, whole; documents are dealt among them by doc_id."""
+    q = read(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.col("text").alias("q"))
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source").withColumn("item", F.pmod("doc_id", F.lit(q.count())))
+    return docs.join(q, "item")
 
 
-PAIRS_SQL = "(SELECT doc_id, d.text, lang, source, item_id, b.text[1:60] AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 20 AND b.item_id < 20)"
+PAIRS_SQL = "(SELECT doc_id, d.text, lang, source, item_id, b.text AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 NORM = "(' ' || regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g') || ' ')"
 
 

@@ -10,10 +10,10 @@ from lodestone.functions import text as fn
 STOP_SQL = "[" + ", ".join(f"'{x}'" for x in fn.STOP) + "]"
 
 
-@query("tokenize", "SELECT doc_id, len(t) AS n, list_aggregate(t, 'string_agg', ' ')[1:200] AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9&./-]*') AS t FROM documents) WHERE len(t) > 0")
+@query("tokenize", "SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9&./-]*') AS t FROM documents) WHERE len(t) > 0")
 def _(spark, d):
     """X1."""
-    return read(spark, d, "documents").select("doc_id", fn.tokens("text").alias("t")).where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n"), F.substring(F.array_join("t", " "), 1, 200).alias("head"))
+    return read(spark, d, "documents").select("doc_id", fn.tokens("text").alias("t")).where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens"))
 
 
 @query("keyword_query", f"SELECT item_id, list_aggregate(list_filter(t, lambda x, i: list_position(t, x) = i)[1:12], 'string_agg', ' ') AS q FROM (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9&./-]*'), lambda x: length(x) > 2 AND NOT list_contains({STOP_SQL}, x)) AS t FROM benchmark)")
@@ -46,10 +46,10 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", fn.safe_name("url").alias("name"))
 
 
-@query("toc_slug", r"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(text[1:60]), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g') AS anchor FROM benchmark")
+@query("toc_slug", r"SELECT item_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s-]', '', 'g'), '^\s+|\s+$', '', 'g'), '\s+', '-', 'g') AS anchor FROM benchmark")
 def _(spark, d):
     """X7."""
-    return read(spark, d, "benchmark").select("item_id", fn.anchor_slug(F.substring("text", 1, 60)).alias("anchor"))
+    return read(spark, d, "benchmark").select("item_id", fn.anchor_slug("text").alias("anchor"))
 
 
 @query(
@@ -93,10 +93,10 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(fn.envelope(F.col("source"), F.when(F.col("lang") == "en", F.col("lang")), F.col("text"))).alias("env"))
 
 
-@query("rewrite_label", "SELECT doc_id, '[Doc: final.md | ' || source || '] ' || text[1:30] AS label FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text[1:30] FROM documents WHERE doc_id % 2 = 1")
+@query("rewrite_label", "SELECT doc_id, '[Doc: final.md | ' || source || '] ' || text AS label FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text FROM documents WHERE doc_id % 2 = 1")
 def _(spark, d):
     """X9."""
-    old = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[Doc: old.md | "), F.col("source"), F.lit("] "), F.substring("text", 1, 30))).otherwise(F.substring("text", 1, 30))
+    old = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("[Doc: old.md | "), F.col("source"), F.lit("] "), F.col("text"))).otherwise(F.col("text"))
     return read(spark, d, "documents").select("doc_id", fn.relabelled(old, F.lit("final.md")).alias("label"))
 
 

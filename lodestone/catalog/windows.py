@@ -66,10 +66,10 @@ def _(spark, d):
     return events.where("best >= 60 OR user_id % 2 = 0").select("user_id", "event_id")
 
 
-@query("dedupe_keep_max", "SELECT source, doc_id, pos AS position FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, text[1:20]) AS pos, row_number() OVER (PARTITION BY source, text[1:20] ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS n FROM documents) WHERE n = 1")
+@query("dedupe_keep_max", "SELECT source, doc_id, pos AS position FROM (SELECT source, doc_id, min(doc_id) OVER (PARTITION BY source, text[1:160]) AS pos, row_number() OVER (PARTITION BY source, text[1:160] ORDER BY coalesce(n_chars, 0) DESC, doc_id) AS n FROM documents) WHERE n = 1")
 def _(spark, d):
     """D1."""
-    docs = read(spark, d, "documents").select("source", "doc_id", "n_chars", F.substring("text", 1, 20).alias("head"))
+    docs = read(spark, d, "documents").select("source", "doc_id", "n_chars", F.substring("text", 1, 160).alias("head"))
     return op.keep_best(docs, ["source", "head"], ["n_chars"], "doc_id").select("source", "doc_id", "position")
 
 

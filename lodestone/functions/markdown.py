@@ -113,30 +113,39 @@ def packed(items: Column, limit: int, extra: int = 0, separator: str = "\n") ->
 
 
 def diagnosis(c: Column | str) -> Column:
-    """Counts, the share of broken table rows, and warnings, as a struct."""
-    rows = F.filter(F.transform(lines(c), fn.strip), lambda x: x.startswith("|"))
-    all_lines = F.transform(lines(c), fn.strip)
-    tables = F.aggregate(all_lines, F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside")), lambda s, x: F.struct((s["n"] + F.when(x.startswith("|") & ~s["inside"], 1).otherwise(0)).alias("n"), x.startswith("|").alias("inside")))["n"]
+    """Counts, the share of broken table rows, and warnings, as a struct. Lines, rows and faults are each taken once."""
 
     def faults(row: Column) -> Column:
-        parts = F.transform(F.split(F.regexp_replace(row, r"^\|+|\|+$", ""), r"\|"), fn.strip)
-        first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-        return (
-            F.when(F.size(parts) <= 1, 1).otherwise(0) + F.when(F.exists(parts, lambda p: F.lower(p).isin("col2", "col3", "col4")), 1).otherwise(0)
-            + F.when((F.size(parts) >= 2) & (first != "") & (first == second), 1).otherwise(0)
+        def count(s: Column) -> Column:
+            parts = s["parts"]
+            first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+            return (
+                F.when(F.size(parts) <= 1, 1).otherwise(0) + F.when(F.exists(parts, lambda p: F.lower(p).isin("col2", "col3", "col4")), 1).otherwise(0)
+                + F.when((F.size(parts) >= 2) & (first != "") & (first == second), 1).otherwise(0)
+            )
+
+        return fn.bound(count, parts=F.transform(F.split(F.btrim(row, F.lit("|")), r"\|"), fn.strip))
+
+    def counted(s: Column) -> dict[str, Column]:
+        all_lines = s["lines"]
+        rows = F.filter(all_lines, lambda x: x.startswith("|"))
+        tables = F.aggregate(all_lines, F.struct(F.lit(0).alias("n"), F.lit(False).alias("inside")), lambda t, x: F.struct((t["n"] + F.when(x.startswith("|") & ~t["inside"], 1).otherwise(0)).alias("n"), x.startswith("|").alias("inside")))["n"]
+        numbers = F.array_sort(F.array_distinct(F.transform(F.filter(all_lines, lambda x: x.rlike(r"^\|?\s*\d{1,2}[.)|\s]")), lambda x: F.regexp_extract(x, r"^\|?\s*(\d{1,2})", 1).cast("int"))))
+        return {"n_rows": F.size(rows), "bad": F.aggregate(rows, F.lit(0), lambda n, r: n + faults(r)), "tables": tables, "numbers": numbers, "headings": F.size(F.filter(all_lines, lambda x: level(x) > 0))}
+
+    def judged(s: Column) -> Column:
+        share = F.coalesce(F.try_divide(s["bad"].cast("double"), s["n_rows"]), F.lit(0.0))
+        numbers = s["numbers"]
+        gaps = (F.size(numbers) >= 6) & F.array_min(numbers).isin(1, 2) & (F.array_max(numbers) - F.array_min(numbers) >= 5) & (F.size(numbers) < F.array_max(numbers) - F.array_min(numbers) + 1)
+        gaps = F.coalesce(gaps, F.lit(False))
+        warnings = F.array_compact(F.array(F.when(share > 0.25, "table_structure_suspect"), F.when(F.length(fn.strip(c)) < 100, "very_low_text"), F.when(gaps, "numbered_row_gaps")))
+        return F.struct(
+            F.length(fn.col(c)).cast("long").alias("chars"), fn.word_count(c).cast("long").alias("words"), s["headings"].cast("long").alias("headings"),
+            s["tables"].cast("long").alias("tables"), s["n_rows"].cast("long").alias("table_rows"), F.bround(share, 3).alias("broken"), warnings.alias("warnings"),
+            ((F.length(fn.col(c)) < 100) | ((s["n_rows"] >= 5) & ((share > 0.45) | gaps))).alias("fallback"),
         )
 
-    bad = F.aggregate(rows, F.lit(0), lambda s, r: s + faults(r))
-    share = F.coalesce(F.try_divide(bad.cast("double"), F.size(rows)), F.lit(0.0))
-    numbers = F.array_sort(F.array_distinct(F.transform(F.filter(all_lines, lambda x: x.rlike(r"^\|?\s*\d{1,2}[.)|\s]")), lambda x: F.regexp_extract(x, r"^\|?\s*(\d{1,2})", 1).cast("int"))))
-    gaps = (F.size(numbers) >= 6) & F.array_min(numbers).isin(1, 2) & (F.array_max(numbers) - F.array_min(numbers) >= 5) & (F.size(numbers) < F.array_max(numbers) - F.array_min(numbers) + 1)
-    gaps = F.coalesce(gaps, F.lit(False))
-    warnings = F.array_compact(F.array(F.when(share > 0.25, "table_structure_suspect"), F.when(F.length(fn.strip(c)) < 100, "very_low_text"), F.when(gaps, "numbered_row_gaps")))
-    return F.struct(
-        F.length(fn.col(c)).cast("long").alias("chars"), fn.word_count(c).cast("long").alias("words"), F.size(F.filter(all_lines, lambda x: level(x) > 0)).cast("long").alias("headings"),
-        tables.cast("long").alias("tables"), F.size(rows).cast("long").alias("table_rows"), F.bround(share, 3).alias("broken"), warnings.alias("warnings"),
-        ((F.length(fn.col(c)) < 100) | ((F.size(rows) >= 5) & ((share > 0.45) | gaps))).alias("fallback"),
-    )
+    return fn.bound(lambda s: fn.bound(judged, **counted(s)), lines=F.transform(lines(c), fn.strip))
 
 
 QUESTION = r"(?i)^\s*(?:\*\*|#+\s*|[-*]\s+)?Q(?:uestion)?\s*\d*\s*[:.)]\s*(.*?)(?:\*\*)?\s*$"

@@ -23,31 +23,34 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def share_contained(words: Column, hay: Column) -> Column:
     """The share of words that the text contains."""
-    return F.size(F.filter(words, lambda t: F.contains(hay, t))) / F.greatest(F.size(words), F.lit(1))
+    return fn.bound(lambda s: F.size(F.filter(s["words"], lambda t: F.contains(s["hay"], t))) / F.greatest(F.size(s["words"]), F.lit(1)), words=words, hay=hay)
 
 
 def hits(words: Column, hay: Column) -> Column:
-    return F.size(F.filter(words, lambda t: F.contains(hay, t)))
+    return fn.bound(lambda s: F.size(F.filter(s["words"], lambda t: F.contains(s["hay"], t))), words=words, hay=hay)
 
 
 def hybrid(question: Column, vector: Column, text: Column, title: Column, doc_type: Column, kind: Column, chunk_index: Column, has_table: Column, lexical: Column) -> Column:
     """The vector score with the boosts that words, titles, acronyms and structure give."""
-    words = F.array_distinct(fn.tokens(question, 2, fn.STOP))
-    title = F.lower(title)
-    hay = F.concat_ws(" ", F.lower(text), title)
-    matched, in_title = hits(words, hay), hits(words, title)
-    acronyms = F.size(F.filter(fn.acronyms(question), lambda a: fn.has_word(title, a)))
-    technical = F.arrays_overlap(words, F.array(*(F.lit(x) for x in ("technology", "technologies", "stack", "component", "framework", "tool"))))
-    score = (
-        vector + 0.45 * matched / F.greatest(F.size(words), F.lit(1)) + 0.06 * in_title + 0.22 * acronyms
-        + F.when((doc_type == "qna") & (matched > 0), 0.08).otherwise(0.0)
-        + F.when(kind.startswith("table_row") & (matched > 0), 0.18).otherwise(0.0)
-        - F.when(has_table & (matched == 0), 0.04).otherwise(0.0)
-        + F.when(technical & (F.contains(title, F.lit("component breakdown")) | hay.rlike(r"\bcomponent:\s+")), 0.42).otherwise(0.0)
-        + F.when(F.lower(question).rlike(fn.OVERVIEW) & ((kind == "doc_summary") | (chunk_index < 2)), 0.55).otherwise(0.0)
-        + F.least(0.45 * F.coalesce(lexical, F.lit(0.0)), F.lit(0.95))
-    )
-    return F.when(F.size(words) == 0, vector).otherwise(score)
+
+    def score(s: Column) -> Column:
+        words, title, hay, matched = s["words"], s["title"], s["hay"], s["matched"]
+        acronyms = F.size(F.filter(s["acronyms"], lambda a: F.contains(s["padded"], F.concat(F.lit(" "), a, F.lit(" ")))))
+        technical = F.arrays_overlap(words, F.array(*(F.lit(x) for x in ("technology", "technologies", "stack", "component", "framework", "tool"))))
+        score = (
+            vector + 0.45 * matched / F.greatest(F.size(words), F.lit(1)) + 0.06 * hits(words, title) + 0.22 * acronyms
+            + F.when((doc_type == "qna") & (matched > 0), 0.08).otherwise(0.0)
+            + F.when(kind.startswith("table_row") & (matched > 0), 0.18).otherwise(0.0)
+            - F.when(has_table & (matched == 0), 0.04).otherwise(0.0)
+            + F.when(technical & (F.contains(title, F.lit("component breakdown")) | hay.rlike(r"\bcomponent:\s+")), 0.42).otherwise(0.0)
+            + F.when(F.lower(question).rlike(fn.OVERVIEW) & ((kind == "doc_summary") | (chunk_index < 2)), 0.55).otherwise(0.0)
+            + F.least(0.45 * F.coalesce(lexical, F.lit(0.0)), F.lit(0.95))
+        )
+        return F.when(F.size(words) == 0, vector).otherwise(score)
+
+    names = {"words": F.array_distinct(fn.tokens(question, 2, fn.STOP)), "title": F.lower(title), "hay": F.concat_ws(" ", F.lower(text), F.lower(title)), "acronyms": fn.acronyms(question), "padded": normal(title)}
+    # once for the texts, once more for the words that match
+    return fn.bound(lambda s: fn.bound(score, matched=hits(s["words"], s["hay"]), **{n: s[n] for n in names}), **names)
 
 
 def forms(word: Column) -> Column:
@@ -65,28 +68,39 @@ def normal(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
 
 
-def has_form(word: Column, padded: Column) -> Column:
-    return F.exists(forms(word), lambda f: F.contains(padded, F.concat(F.lit(" "), F.regexp_replace(f, "[^a-z0-9]+", " "), F.lit(" "))))
+def padded_forms(word: Column) -> Column:
+    """S3: a word and its variants, padded as in ``normal``."""
+    return F.transform(forms(word), lambda f: F.concat(F.lit(" "), F.regexp_replace(f, "[^a-z0-9]+", " "), F.lit(" ")))
 
 
 def lexical(question: Column, title: Column, body: Column) -> Column:
-    """S3: words (repeats count), adjacent pairs, long words and acronyms of the question in title and body."""
-    words = fn.tokens(question, 2, fn.STOP)
-    head, hay = normal(title), normal(F.concat_ws("\n", title, body))
-    found = F.size(F.filter(words, lambda t: has_form(t, hay)))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    paired = F.aggregate(F.filter(pairs, lambda p: F.contains(p, F.lit(" "))), F.lit(0.0), lambda s, p: s + F.when(F.contains(head, normal(p)), 1.3).when(F.contains(hay, normal(p)), 0.7).otherwise(0.0))
-    long_words = F.size(F.filter(words, lambda t: (F.length(t) >= 5) & has_form(t, hay)))
-    capital = F.aggregate(fn.acronyms(question), F.lit(0.0), lambda s, a: s + F.when(F.contains(head, normal(a)), 1.0).when(F.contains(hay, normal(a)), 0.5).otherwise(0.0))
-    return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(found / F.greatest(F.size(words), F.lit(1)) + paired + 0.55 * long_words + capital)
+    """S3: words (repeats count), adjacent pairs, long words and acronyms of the question in title and body.
+
+    Title and body are normalised once; each word's forms are looked for once.
+    """
+
+    def words_of(s: Column) -> Column:
+        return F.transform(s["words"], lambda t: F.struct((F.length(t) >= 5).alias("long"), F.exists(padded_forms(t), lambda f: F.contains(s["hay"], f)).alias("found")))
+
+    def points(s: Column, given: Column, in_title: float, in_body: float) -> Column:
+        return F.aggregate(F.transform(given, normal), F.lit(0.0), lambda sum_, p: sum_ + F.when(F.contains(s["head"], p), in_title).when(F.contains(s["hay"], p), in_body).otherwise(0.0))
+
+    def score(s: Column) -> Column:
+        words = s["words"]
+        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+        found, long_words = F.size(F.filter(s["seen"], lambda x: x["found"])), F.size(F.filter(s["seen"], lambda x: x["found"] & x["long"]))
+        total = found / F.greatest(F.size(words), F.lit(1)) + points(s, F.filter(pairs, lambda p: F.contains(p, F.lit(" "))), 1.3, 0.7) + 0.55 * long_words + points(s, s["acronyms"], 1.0, 0.5)
+        return F.when(F.size(words) == 0, F.lit(0.0)).otherwise(total)
+
+    names = {"words": fn.tokens(question, 2, fn.STOP), "acronyms": fn.acronyms(question), "head": normal(title), "hay": normal(F.concat_ws("\n", title, body))}
+    return fn.bound(lambda s: fn.bound(score, seen=words_of(s), **{n: s[n] for n in names}), **names)
 
 
 def rerank(model: Column, question: Column, text: Column) -> Column:
     """The model's score with the share and density of the question's words."""
     words = F.filter(F.split(F.lower(question), r"\s+"), lambda w: F.length(w) > 2)
-    n = hits(words, F.lower(text))
     length = F.greatest(F.size(F.split(fn.strip(text), r"\s+")), F.lit(1))
-    return model + 0.15 * n / F.greatest(F.size(words), F.lit(1)) + 5.0 * n / length
+    return fn.bound(lambda s: model + 0.15 * s["n"] / F.greatest(s["words"], F.lit(1)) + 5.0 * s["n"] / s["length"], n=hits(words, F.lower(text)), words=F.size(words), length=length)
 
 
 def route(distance: Column, boundary: float = 0.85) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,8 +23,13 @@ def col(c: Column | str) -> Column:
 
 
 def strip(c: Column | str) -> Column:
-    """All white space off both ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """All white space off both ends; Spark's trim takes spaces only unless told."""
+    return F.btrim(col(c), F.lit(" \t\n\u000b\f\r"))
+
+
+def bound(f: Callable[[Column], Column], **columns: Column) -> Column:
+    """``f`` of a struct of ``columns`` that is evaluated once; an expression used in a lambda is evaluated at each call of it."""
+    return F.transform(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))), f)[0]
 
 
 def collapse(c: Column | str) -> Column:
