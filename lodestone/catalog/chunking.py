@@ -8,6 +8,7 @@ from lodestone.catalog.base import query, read
 from lodestone.functions import markdown as md
 from lodestone.functions import models
 from lodestone.operators import windows as op
+from lodestone.plans import chunking as plan
 
 #: The corpus has no markdown, so documents are given some, the same way in both engines.
 MD_SQL = "'# ' || lang || chr(10) || 'intro ' || doc_id || chr(10) || '### ' || source || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || n_chars || ' |' || chr(10) || '### deep' || chr(10) || text || chr(10) || '## end' || chr(10) || 'Q1: what is ' || lang || chr(10) || 'A: it is' || chr(10) || source || chr(10) || 'Q2: none' || chr(10) || '1. a' || chr(10) || '2. b'"
@@ -147,3 +148,73 @@ def _(spark, d):
 def _(spark, d):
     """A gate that only looks at lines."""
     return read(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("license")))).cast("long").alias("n")).where("n > 0")
+
+
+#: Documents of four kinds by turn: tables, questions and answers, text with a small table, plain text.
+KINDS_SQL = """CASE doc_id % 4
+WHEN 0 THEN '# ' || source || chr(10) || '| item | lang |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || lang || ' |' || chr(10) || '| ' || doc_id % 90 || ' Casual Leave | ' || n_chars || ' |'
+WHEN 1 THEN 'Q0: zero' || chr(10) || 'A: z' || chr(10) || '# ' || lang || chr(10) || 'Q1: one' || chr(10) || 'A: ' || source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '### deep' ELSE '## mid' END || chr(10) || '**Question 2: two**' || chr(10) || '- A: two' || chr(10) || 'and more' || chr(10) || '# ' || source || chr(10) || '## Q3: three' || chr(10) || 'A: three'
+WHEN 2 THEN '# ' || lang || chr(10) || text || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' ELSE text END"""
+
+
+def of_kinds(spark, d):
+    return read(spark, d, "documents").withColumn("md", F.expr(KINDS_SQL.replace("chr(10)", "'\\n'")))
+
+
+@query(
+    "chunk_routes",
+    rf"""WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, list_transform(string_split({KINDS_SQL}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM documents)),
+    t AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, line LIKE '|%' ORDER BY no) AS island FROM l),
+    u AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line LIKE '|%', island) AS run FROM t),
+    s AS (SELECT doc_id, count(*) FILTER (WHERE line LIKE '|%' AND run > 1 AND NOT regexp_matches(line, '^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$')) AS n_rows, count(*) FILTER (WHERE line LIKE '|%') / greatest(count(*) FILTER (WHERE line <> ''), 1) AS ratio, count(*) FILTER (WHERE line LIKE '#%') AS headings FROM u GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'qna' WHEN n_rows >= 2 AND ratio >= 0.45 AND headings <= 8 THEN 'table_rows' ELSE 'body' END AS route FROM s""",
+)
+def _(spark, d):
+    """T18, T2."""
+    return of_kinds(spark, d).select("doc_id", plan.route("md").alias("route"))
+
+
+_ROWS = "SELECT doc_id, source, 1 AS table_index, row_index, cells[1] AS a, cells[2] AS b FROM (SELECT doc_id, source, unnest([[ 'item', 'lang'], [source, lang], [doc_id % 90 || ' Casual Leave', n_chars::varchar]]) AS cells, unnest([1, 2, 3]) AS row_index FROM documents WHERE doc_id % 4 = 0)"
+
+
+@query(
+    "table_row_chunks",
+    f"SELECT doc_id, table_index, row_index, '[Doc: ' || source || ' | Section: Table 1 > ' || title || ' | Table Row: ' || row_index || ']' || chr(10) || '# ' || title || chr(10) || 'Column 1: ' || a || chr(10) || 'Column 2: ' || b AS text FROM (SELECT *, CASE WHEN row_index = 3 THEN doc_id % 90 || '. Casual Leave' ELSE a || ' ' || b END AS title FROM ({_ROWS}))",
+)
+def _(spark, d):
+    """Documents that are mostly a table."""
+    docs = of_kinds(spark, d).where("doc_id % 4 = 0")
+    return plan.row_chunks(docs, "doc_id", "md", "source").select("doc_id", "table_index", "row_index", "text")
+
+
+_PAIRS = "SELECT doc_id, source, unnest([1, 2, 3, 4]) AS pair_index, unnest(['Root', lang, lang || CASE WHEN doc_id % 3 = 0 THEN ' > deep' ELSE ' > mid' END, source]) AS section_path, unnest(['zero', 'one', 'two', 'three']) AS q, unnest(['z', source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '### deep' ELSE '## mid' END, 'two' || chr(10) || 'and more' || chr(10) || '# ' || source, 'three']) AS a FROM documents WHERE doc_id % 4 = 1"
+
+
+@query("question_sections", f"SELECT doc_id, pair_index, section_path FROM ({_PAIRS})")
+def _(spark, d):
+    """The headings before the question's line."""
+    return plan.pair_sections(of_kinds(spark, d).where("doc_id % 4 = 1"), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "section_path")
+
+
+@query("qna_chunks", f"SELECT doc_id, pair_index, '[Doc: ' || source || ' | Section: ' || section_path || ' | Q&A: q' || pair_index || ' | Part 1/1]' || chr(10) || 'Q: ' || q || chr(10) || chr(10) || 'A: ' || CASE WHEN pair_index = 1 THEN 'z' || chr(10) || '# ' || (SELECT lang FROM documents x WHERE x.doc_id = p.doc_id) ELSE a END AS text FROM ({_PAIRS}) p")
+def _(spark, d):
+    """T13."""
+    return plan.qna_chunks(of_kinds(spark, d).where("doc_id % 4 = 1"), "doc_id", "md", "source").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "text")
+
+
+#: Numbered rows over two pages, and a described figure.
+PAGED_SQL = "'# t' || chr(10) || 'before' || chr(10) || '1. ' || lang || chr(10) || 'more ' || source || chr(10) || chr(10) || '2) two' || chr(10) || '<!-- page:' || (doc_id % 9 + 2) || ' -->' || chr(10) || 'lost' || chr(10) || '3. three' || chr(10) || '[Visual: Chart | page ' || (doc_id % 9 + 2) || ']' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || source || chr(10) ELSE '' END || 'bars' || chr(10) || '[/Visual]' || chr(10)"
+
+
+@query("numbered_rows", "SELECT doc_id, unnest([1, 2, 3]) AS row_index, unnest([1, 1, doc_id % 9 + 2])::int AS page, unnest(['1. ' || lang || chr(10) || 'more ' || source, '2) two', '3. three' || chr(10) || '[Visual: Chart | page ' || (doc_id % 9 + 2) || ']' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || source || chr(10) ELSE '' END || 'bars' || chr(10) || '[/Visual]']) AS text FROM documents")
+def _(spark, d):
+    """T10."""
+    docs = read(spark, d, "documents").select("doc_id", F.expr(PAGED_SQL.replace("chr(10)", "'\\n'")).alias("md"))
+    return plan.numbered_rows(docs, "doc_id", "md").select("doc_id", "row_index", "page", "text")
+
+
+@query("visual_chunks", "SELECT doc_id, page, title, '[Doc: ' || source || ' | Section: Page ' || page || ' > ' || title || ' | Visual]' || chr(10) || '# ' || title || chr(10) || '[Visual: chart | page ' || page || ']' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Title: ' || source || chr(10) ELSE '' END || 'bars' || chr(10) || '[/Visual]' AS text FROM (SELECT *, (doc_id % 9 + 2)::int AS page, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Chart on page ' || (doc_id % 9 + 2) END AS title FROM documents)")
+def _(spark, d):
+    """T10."""
+    docs = read(spark, d, "documents").select("doc_id", "source", F.expr(PAGED_SQL.replace("chr(10)", "'\\n'")).alias("md"))
+    return plan.visual_chunks(docs, "doc_id", "md", "source").select("doc_id", "page", "title", "text")

@@ -248,3 +248,62 @@ def _(spark, d):
     """Parallel arrays by position."""
     part = F.slice("embedding", 1, 4)
     return read(spark, d, "embeddings").select("vec_id", F.inline(F.arrays_zip(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")).alias("position"), F.transform(part, lambda x: x.cast("double")).alias("value"))))
+
+
+@query("list_capped", "SELECT *, count(*) OVER () AS total FROM (SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200)")
+def _(spark, d):
+    """L2: the total is that of the rows returned."""
+    return op.capped(read(spark, d, "events").where("event_type = 'error'"), [F.desc("ts"), F.asc("event_id")], 200).select("event_id", "user_id", "total")
+
+
+@query(
+    "partial_update",
+    r"""SELECT doc_id, CASE WHEN n IS NULL THEN 'PENDING' ELSE n END AS status, CASE WHEN n IS NULL OR (n LIKE '%\_FAILED' ESCAPE '\' AND doc_id % 4 <> 1) THEN 'e' || doc_id WHEN doc_id % 4 = 1 THEN 'new' END AS error_summary, CASE WHEN n IS NOT NULL AND doc_id % 5 = 0 THEN 7 ELSE n_chars END AS chunk_count
+    FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 'PARSE_FAILED' ELSE 'INDEXED' END END AS n FROM documents)""",
+)
+def _(spark, d):
+    """SK8."""
+    docs = read(spark, d, "documents")
+    rows = docs.select("doc_id", F.lit("PENDING").alias("status"), F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("error_summary"), F.col("n_chars").alias("chunk_count"))
+    status = F.when(F.col("doc_id") % 2 == 0, "PARSE_FAILED").otherwise("INDEXED")
+    changes = docs.where("doc_id % 3 = 0").select("doc_id", status.alias("status"), F.when(F.col("doc_id") % 4 == 1, "new").alias("error_summary"), F.when(F.col("doc_id") % 5 == 0, F.lit(7).cast("long")).alias("chunk_count"))
+    return op.set_status(rows, changes, "doc_id")
+
+
+MESSAGES = "SELECT row_number() OVER (ORDER BY conv_id, turn, role) AS id, conv_id AS session_id, conv_id % 7 AS owner, role FROM conversations"
+
+
+def messages(spark, d):
+    from pyspark.sql import Window
+
+    rows = read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), (F.col("conv_id") % 7).alias("owner"), "turn", "role")
+    return rows.withColumn("id", F.col("session_id") * 1000 + F.row_number().over(Window.partitionBy("session_id").orderBy("turn", "role")))
+
+
+@query("session_list", f"SELECT *, row_number() OVER (PARTITION BY owner ORDER BY session_id DESC) AS position FROM (SELECT owner, session_id, count(*) AS messages FROM ({MESSAGES}) GROUP BY owner, session_id)")
+def _(spark, d):
+    """SC13."""
+    return op.sessions(messages(spark, d), "owner").select("owner", "session_id", "messages", "position")
+
+
+@query("session_history", "SELECT event_id, user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS position, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract_string(props, '$.page') END AS page FROM events")
+def _(spark, d):
+    """SC13: every third message's JSON is broken off."""
+    broken = F.when(F.col("event_id") % 3 == 0, F.substring("props", 1, 3)).otherwise(F.col("props"))
+    rows = read(spark, d, "events").select("event_id", F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), broken.alias("thoughts"))
+    return op.history(rows, "thoughts", "page string").select("event_id", "session_id", "position", F.col("thoughts.page").alias("page"))
+
+
+@query("include_projection", "SELECT vec_id, label FROM embeddings")
+def _(spark, d):
+    """SC8: vectors are not read."""
+    return op.including(read(spark, d, "embeddings"), "vec_id", ["label", "documents"])
+
+
+@query("map_overlay", "SELECT doc_id, 'chunk=' || (doc_id % 5) || ',lang=' || CASE WHEN doc_id % 2 = 0 THEN 'over' ELSE lang END || ',source=' || source AS config FROM documents")
+def _(spark, d):
+    """The overlay wins, and markdown is left out."""
+    base = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"), F.lit("markdown"), F.col("text"))
+    over = F.map_filter(F.create_map(F.lit("lang"), F.when(F.col("doc_id") % 2 == 0, "over"), F.lit("chunk"), (F.col("doc_id") % 5).cast("string")), lambda k, v: v.isNotNull())
+    pairs = F.array_sort(F.transform(F.map_entries(op.overlaid(base, over, ["markdown"])), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return read(spark, d, "documents").select("doc_id", F.array_join(pairs, ",").alias("config"))

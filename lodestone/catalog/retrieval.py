@@ -86,13 +86,9 @@ def _(spark, d):
     return plan.intro_rows(targets, chunks).select("target", "vec_id", "chunk_index", "score")
 
 
-@query(
-    "stitch_adjacent",
-    """WITH r AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY source, isl ORDER BY i) // 12000 AS part FROM (SELECT source, i, t, i - row_number() OVER (PARTITION BY source ORDER BY i) AS isl FROM (SELECT source, t, i + i // 3 AS i FROM (SELECT source, text AS t, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents))))
-    SELECT source AS filename, min(i) AS chunk_index, count(*) AS stitched_from, string_agg(t, chr(10) ORDER BY i) AS text FROM r GROUP BY source, isl, part""",
-)
+@query("stitch_adjacent")
 def _(spark, d):
-    """T22."""
+    """Whole texts of each source, with a gap after every third."""
     chunks = op.link_indices(read(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), "text"), ["filename"], ["doc_id"])
     gaps = chunks.withColumns({"chunk_index": F.col("chunk_index") + F.floor(F.col("chunk_index") / 3).cast("int"), "qid": F.lit(0)})
     return plan.stitch(gaps).select("filename", "chunk_index", "stitched_from", "text")

@@ -91,7 +91,7 @@ def linear_row(headers: Column, row: Column) -> Column:
     return F.concat(F.lit("- "), F.when((F.size(headers) == F.size(row)) & (F.size(row) > 1), named).otherwise(alone))
 
 
-def packed(items: Column, limit: int, extra: int = 0, separator: str = "\n") -> Column:
+def packed(items: Column, limit: int | Column, extra: int = 0, separator: str = "\n") -> Column:
     """Consecutive items as chunks of at most ``limit`` characters; an oversize item is a chunk of its own.
 
     A chunk closes when it holds something and the next item would go beyond the limit; ``extra`` counts for each item.
@@ -208,6 +208,32 @@ def merged(a: Column, b: Column, most: int = 500) -> Column:
     return F.when(overlap > 0, F.concat(a, F.substring(b, overlap + 1, F.length(b)))).otherwise(F.concat(a, F.lit("\n"), b))
 
 
+def joined_smartly(a: Column, b: Column, most: int = 500) -> Column:
+    """``b`` after ``a``: a table header that both start with stands once, and text that ends ``a`` and starts ``b`` is taken once.
+
+    The overlap is sought by the first 100 characters of the last ``most`` of ``a``; without one, a line end goes between.
+    """
+
+    def headed(s: Column) -> Column:
+        la, lb = lines(s["a"]), lines(s["b"])
+        same = F.contains(s["a"], F.lit("|")) & F.contains(s["b"], F.lit("|")) & (F.size(la) >= 2) & (F.size(lb) >= 2) & (F.slice(la, 1, 2) == F.slice(lb, 1, 2))
+        rest = F.array_join(F.slice(lb, F.lit(3), F.greatest(F.size(lb) - 2, F.lit(0))), "\n")
+        return F.struct(s["a"].alias("a"), F.when(same, F.ltrim(rest)).otherwise(s["b"]).alias("b"), F.substring(s["a"], F.greatest(F.length(s["a"]) - most, F.lit(0)) + 1, F.lit(most)).alias("tail"))
+
+    def placed(s: Column) -> Column:
+        x = s["x"]
+        sought = fn.strip(F.substring(x["tail"], 1, 100))
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), x["tail"].alias("tail"), sought.alias("sought"), F.instr(x["b"], sought).alias("at"))
+
+    def put(s: Column) -> Column:
+        x = s["x"]
+        overlap = F.substring(x["b"], x["at"], F.greatest(F.length(x["tail"]) - x["at"] + 1, F.lit(0)))
+        fits = (x["sought"] != "") & (x["at"] > 0) & F.endswith(x["a"], overlap)
+        return F.when(fits, F.concat(x["a"], F.substring(x["b"], F.length(overlap) + 1, F.length(x["b"])))).otherwise(F.concat(x["a"], F.lit("\n"), x["b"]))
+
+    return fn.bound(lambda s: fn.bound(lambda t: fn.bound(put, x=placed(t)), x=headed(s)), a=a, b=b)
+
+
 def overlapping(c: Column | str, size: int, overlap: int) -> Column:
     """Pieces of ``size`` characters that share ``overlap`` with the one before."""
     c = fn.col(c)

@@ -131,3 +131,48 @@ def resolve_by_rank(rows: DataFrame, keys: Sequence[str], rank: Column, *tie: Co
     """Of each key the row of the lowest rank (ranks above zero only)."""
     best = Window.partitionBy(*keys).orderBy("_rank", *tie)
     return rows.withColumn("_rank", rank).where("_rank > 0").withColumn("_nth", F.row_number().over(best)).where("_nth = 1").drop("_nth", "_rank")
+
+
+def capped(df: DataFrame, order: Sequence[Column], most: int) -> DataFrame:
+    """L2: the first rows of a list, with the number of rows returned as the total."""
+    rows = df.orderBy(*order).limit(most)
+    return rows.withColumn("total", F.count("*").over(Window.partitionBy(F.lit(1))))  # at most ``most`` rows
+
+
+def partial_update(rows: DataFrame, changes: DataFrame, key: str, given: Mapping[str, Column]) -> DataFrame:
+    """SK8: of rows that ``changes`` names, the columns in ``given`` take its value; others stay, as do rows not named.
+
+    The expressions see the row as ``old`` and the change as ``new``; a change that says nothing of a column returns ``old``'s value.
+    """
+    new = changes.select(F.col(key).alias("_key"), F.struct(*changes.columns).alias("new"))
+    joined = rows.select(F.col(key).alias("_own"), F.struct(*rows.columns).alias("old")).join(new, F.col("_own") == F.col("_key"), "left")
+    return joined.select(*(F.when(F.col("_key").isNotNull(), given[c]).otherwise(F.col("old")[c]).alias(c) if c in given else F.col("old")[c].alias(c) for c in rows.columns))
+
+
+def set_status(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """SK8: status with its rules: an error stays only where the new status ends in _FAILED, counts only change where they are given."""
+    error = F.when(F.col("new.error_summary").isNotNull(), F.col("new.error_summary")).when(F.col("new.status").endswith("_FAILED"), F.col("old.error_summary"))
+    return partial_update(rows, changes, key, {"status": F.col("new.status"), "error_summary": error, "chunk_count": F.coalesce("new.chunk_count", "old.chunk_count")})
+
+
+def sessions(messages: DataFrame, user: str) -> DataFrame:
+    """SC13: sessions of each user, the one that was said something in last first."""
+    found = messages.groupBy(user, "session_id").agg(F.count("*").alias("messages"), F.max("id").alias("last_id"))
+    return found.withColumn("position", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("last_id"), "session_id")))
+
+
+def history(messages: DataFrame, json: str, schema: str) -> DataFrame:
+    """SC13: messages of each session in order; JSON that does not parse is an empty value, not an error."""
+    order = Window.partitionBy("session_id").orderBy("id")
+    return messages.withColumns({"position": F.row_number().over(order), json: F.coalesce(F.from_json(F.col(json), schema), F.from_json(F.lit("{}"), schema))})
+
+
+def including(df: DataFrame, key: str, include: Sequence[str]) -> DataFrame:
+    """SC8: the key and what is asked for; other columns are not read."""
+    return df.select(key, *(c for c in include if c in df.columns))
+
+
+def overlaid(base: Column, over: Column, without: Sequence[str] = ()) -> Column:
+    """Two maps, the second's values first; keys in ``without`` are left out."""
+    kept = F.map_filter(base, lambda k, v: ~F.array_contains(F.map_keys(over), k))
+    return F.map_filter(F.map_concat(kept, over), lambda k, v: ~k.isin(*without) if without else F.lit(True))

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import markdown as md
 from lodestone.functions import scoring as sc
+from lodestone.functions import text as fn
 from lodestone.operators import windows as op
 
 #: Rows of a stated set that are broadcast at once; more go block by block.
@@ -57,16 +59,34 @@ def intro_rows(targets: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def stitch(rows: DataFrame, key: str = "filename", most: int = 12000) -> DataFrame:
-    """Passages with consecutive chunk_index of one file as one text, in order; texts over ``most`` characters stop a run.
+    """Passages with consecutive chunk_index of one file as one text, merged in order; a text beyond ``most`` ends with the passage that took it there.
 
-    Islands are chunk_index less the row number; the text joins run by run.
+    Where a question found a table row (``chunk_kind``, if there is one) its passages stay as they are.  Islands are chunk_index less
+    the row number; the passages that a question found side by side are few.
     """
     w = Window.partitionBy("qid", key).orderBy("chunk_index")
     rows = rows.withColumn("_island", F.col("chunk_index") - F.row_number().over(w))
-    size = F.sum(F.length("text") + 1).over(Window.partitionBy("qid", key, "_island").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_part", F.floor(size / most))
+    if "chunk_kind" in rows.columns:
+        alone = F.max(F.coalesce(F.col("chunk_kind").startswith("table_row"), F.lit(False))).over(Window.partitionBy("qid"))
+        rows = rows.withColumn("_island", F.when(alone, F.struct(F.lit(1).alias("k"), F.col("chunk_index").cast("long").alias("n"))).otherwise(F.struct(F.lit(0).alias("k"), F.col("_island").cast("long").alias("n"))))
     parts = F.array_sort(F.collect_list(F.struct("chunk_index", "text")))
-    return rows.groupBy("qid", key, "_island", "_part").agg(F.min("chunk_index").alias("chunk_index"), F.count("*").alias("stitched_from"), F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text")).drop("_island", "_part")
+    piece = "struct<chunk_index: bigint, n: bigint, text: string>"
+
+    def as_piece(p: Column) -> Column:
+        return F.struct(p["chunk_index"].cast("long").alias("chunk_index"), F.lit(1).cast("long").alias("n"), p["text"].alias("text"))
+
+    def step(s: Column, p: Column) -> Column:
+        now = s["now"]
+        full = (now["n"] > 1) & (F.length(now["text"]) > most)
+        more = F.struct(now["chunk_index"].alias("chunk_index"), (now["n"] + 1).alias("n"), md.joined_smartly(now["text"], p["text"]).alias("text"))
+        return F.struct(F.when(full, F.concat(s["done"], F.array(now))).otherwise(s["done"]).alias("done"), F.when(full, as_piece(p)).otherwise(more).alias("now"))
+
+    def folded(s: Column) -> Column:
+        start = F.struct(F.array().cast(f"array<{piece}>").alias("done"), as_piece(s["parts"][0]).cast(piece).alias("now"))
+        return fn.bound(lambda t: F.concat(t["end"]["done"], F.array(t["end"]["now"])), end=F.aggregate(F.slice(s["parts"], F.lit(2), F.size(s["parts"])), start, step))
+
+    runs = rows.groupBy("qid", key, "_island").agg(parts.alias("parts")).select("qid", key, F.explode(fn.bound(folded, parts=F.col("parts"))).alias("x"))
+    return runs.select("qid", key, F.col("x.chunk_index").alias("chunk_index"), F.col("x.n").alias("stitched_from"), F.col("x.text").alias("text"))
 
 
 def stitch_pairs(fragments: DataFrame) -> DataFrame:

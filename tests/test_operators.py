@@ -8,7 +8,7 @@ from lodestone.functions import scoring as sc
 from lodestone.functions import text as fn
 from lodestone.operators import relational as rel
 from lodestone.operators import windows as win
-from lodestone.plans import retrieval, understanding
+from lodestone.plans import chunking, retrieval, understanding
 
 
 def value(spark, column, **row):
@@ -122,6 +122,71 @@ def test_stitch(spark):
     assert sorted((r.filename, r.chunk_index, r.stitched_from, r.text) for r in retrieval.stitch(rows).collect()) == [("A", 1, 2, "Part 1\nPart 2"), ("A", 4, 1, "Part 4"), ("B", 1, 1, "b")]
 
 
+def smart(a, b, most=500):
+    """The rule of the merge, a step at a time."""
+    if "|" in a and "|" in b and len(a.split("\n")) >= 2 and len(b.split("\n")) >= 2 and a.split("\n")[:2] == b.split("\n")[:2]:
+        b = "\n".join(b.split("\n")[2:]).lstrip()
+    tail = a[-most:]
+    at = b.find(tail[:100].strip()) if tail[:100].strip() else -1
+    overlap = b[at : len(tail)] if at >= 0 else None
+    return a + b[len(overlap) :] if overlap is not None and a.endswith(overlap) else a + "\n" + b
+
+
+def test_stitch_takes_headers_and_overlaps_once(spark):
+    import random
+
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(900))
+    cases = [("| h | k |\n|---|---|\n| 1 | 2 |", "| h | k |\n|---|---|\n| 3 | 4 |"), ("one two three", "one two three"), (long[:3000], long[2600:4000]), (long[:3000], long[2000:4000]), ("", "b"), ("a", ""), ("x y", "z x y"), ("| a", "b |")]
+    for a, b in cases:
+        assert value(spark, md.joined_smartly(F.col("a"), F.col("b")), a=a, b=b) == smart(a, b)
+    assert "| h | k |" not in smart(*cases[0])[5:] and smart(*cases[2]) == long[:3000] + "\n" + long[2600:4000] and smart(long[:3000], long[2500:4000]) == long[:4000]
+
+    rows, want = [], []
+    for name in "abc":
+        at = run = 0
+        for k in range(40):
+            at += 1 if rng.random() < 0.8 else 2
+            rows.append((1, name, at, " ".join(long.split()[k * 7 : k * 7 + rng.choice([3, 30, 250])])))
+    for name in "abc":
+        group, i = [r for r in rows if r[1] == name], 0
+        while i < len(group):
+            text, j = group[i][3], i + 1
+            while j < len(group) and group[j][2] == group[j - 1][2] + 1:
+                text, j = smart(text, group[j][3]), j + 1
+                if len(text) > 4000:
+                    break
+            want.append((name, group[i][2], j - i, text))
+            i = j
+    frame = spark.createDataFrame(rows, "qid int, filename string, chunk_index int, text string").repartition(3)
+    assert sorted((r.filename, r.chunk_index, r.stitched_from, r.text) for r in retrieval.stitch(frame, most=4000).collect()) == sorted(want)
+    kinds = spark.createDataFrame([(1, "A", 1, "x", "section"), (1, "A", 2, "y", "table_row"), (2, "A", 1, "x", None), (2, "A", 2, "y", "section")], "qid int, filename string, chunk_index int, text string, chunk_kind string")
+    assert sorted((r.qid, r.text) for r in retrieval.stitch(kinds).collect()) == [(1, "x"), (1, "y"), (2, "x\ny")]
+
+
+def test_chunk_routes_and_rows(spark):
+    table = "| a | b |\n|---|---|\n| 1 | 2 |"
+    for text, kind in ((table, "table_rows"), (table + "\nw" * 4, "body"), ("#h\n" * 9 + table * 9, "body"), ("| a |\ntext\n| b |", "body"), ("", "body"), ("Q1: a\nA: b\nQ2: a\nA: b\nQ3: a\nA: b", "qna"), (None, None)):
+        assert spark.createDataFrame([(text,)], "t string").select(chunking.route("t").alias("v")).first()["v"] == kind
+    docs = spark.createDataFrame([(1, "| " + " | ".join("c" * 90 for _ in range(6)) + " |\n|---|\n| x |", "f.md")], "d int, t string, n string")
+    rows = sorted(map(tuple, chunking.row_chunks(docs, "d", "t", "n", 450).collect()))
+    long, short = [r for r in rows if r[2] == 1], [r for r in rows if r[2] == 2]
+    head = "[Doc: f.md | Section: Table 1 > " + "c" * 80 + " | Table Row: 1]\n# " + "c" * 80 + "\n"
+    assert len(long) == long[0][4] == 3 and all(r[5].startswith(head) and r[5].endswith(f"\n\n[Table row fragment {r[3] + 1}/3]") for r in long)
+    assert "".join(r[5] for r in long).count("Column ") == 6 and short[0][5] == "[Doc: f.md | Section: Table 1 > x | Table Row: 2]\n# x\nx"
+
+
+def test_long_answers_keep_their_question(spark):
+    answer = "\n".join(f"line {k} " + "x" * 60 for k in range(20))
+    docs = spark.createDataFrame([(1, f"# H\nQ1: why\nA: {answer}", "f.md"), (2, "Q1: a\nA: b", "g.md"), (3, None, "h")], "d int, t string, n string")
+    rows = chunking.qna_chunks(docs, "d", "t", "n", 500).orderBy("d", "fragment_index").collect()
+    own = [r for r in rows if r.d == 1]
+    assert len(own) == own[0].total_fragments > 2 and all(len(r.text) < 600 for r in own)
+    assert [r.text.split("\n\n")[1].split(":")[0] for r in own] == ["A"] + ["A continued"] * (len(own) - 1)
+    assert "\n".join(r.text.split(": ", 3)[-1].split("\n\n")[-1].split(": ", 1)[1] for r in own) == answer
+    assert rows[-1].text == "[Doc: g.md | Section: Root | Q&A: q1 | Part 1/1]\nQ: a\n\nA: b"
+
+
 def test_coverage(spark):
     rows = spark.createDataFrame([(1, "a", k, 1.0 - k / 100) for k in range(6)] + [(1, "b", 10 + k, 0.1 - k / 100) for k in range(3)], "qid int, t string, id int, s double")
     got = win.target_coverage(rows, "qid", "t", "s", "id", 4).orderBy("rank").collect()
