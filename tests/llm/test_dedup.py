@@ -78,6 +78,26 @@ def test_substrings_same_id_and_null_id(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in out) == [(0, 20), (2, 0), (2, 0)]
 
 
+def test_windows_with_one_key_and_other_second_keys_are_apart():
+    import numpy as np
+
+    keys, second, docs = np.array([8, 8, 8, 20], np.uint64), np.array([1, 2, 1, 3], np.uint64), np.array([5, 4, 6, 7])
+    distinct, side, place = substrings.window_sets(keys, second, docs)
+    assert distinct.tolist() == [9, 8, 20] and side.tolist() == [[5, 1], [4, 2], [7, 3]] and place.tolist() == [0, 1, 0, 2]
+    other = (np.array([8, 20], np.uint64), np.array([[3, 2], [9, 3]]))
+    (lose, least), (none, _) = substrings.earlier_owner([(distinct, side), other])
+    assert lose.tolist() == [True, True, False] and least.tolist() == [5, 3] and none.tolist() == [False, True]
+
+
+def test_clashing_columns_give_way(spark):
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, text, "x", 2.5, 3), (2, text, "y", 3.5, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept double, n_removed int")
+    assert sorted((r["doc_id"], r["kept"], r["n_words"], r["n_removed"]) for r in substrings.dedup(frame).collect()) == [(1, 2.5, 400, 0), (2, 3.5, 400, 400)]
+    out = suffixes.dedup(frame).collect()
+    assert sorted((r["doc_id"], r["n_words"], bytes(r["kept"]), r["n_removed"]) for r in out) == [(1, "x", b"", len(text)), (2, "y", b"", len(text))]
+
+
 def test_suffixes(spark):
     rng = random.Random(5)
     letters = "".join(rng.choice("abcdé ") for _ in range(3000))
