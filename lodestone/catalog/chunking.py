@@ -19,6 +19,17 @@ def marked(spark, d):
     return read(spark, d, "documents").withColumn("md", F.expr(MD_SQL.replace("chr(10)", "'\\n'")))
 
 
+#: Documents of four kinds by turn: tables, questions and answers, text with a small table, plain text.
+KINDS_SQL = """CASE doc_id % 4
+WHEN 0 THEN '# ' || source || chr(10) || '| item | lang |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || lang || ' |' || chr(10) || '| ' || doc_id % 90 || ' Casual Leave | ' || n_chars || ' |'
+WHEN 1 THEN 'Q0: zero' || chr(10) || 'A: z' || chr(10) || '# ' || lang || chr(10) || 'Q1: one' || chr(10) || 'A: ' || source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '### deep' ELSE '## mid' END || chr(10) || '**Question 2: two**' || chr(10) || '- A: two' || chr(10) || 'and more' || chr(10) || '# ' || source || chr(10) || '## Q3: three' || chr(10) || 'A: three'
+WHEN 2 THEN '# ' || lang || chr(10) || text || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' ELSE text END"""
+
+
+def of_kinds(spark, d):
+    return read(spark, d, "documents").withColumn("md", F.expr(KINDS_SQL.replace("chr(10)", "'\\n'")))
+
+
 @query("split_lines_chunks", "SELECT doc_id, unnest(range(0, len(l))) AS line_no, length(unnest(l)) AS n FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
 def _(spark, d):
     """SC3, section 1.4: lines."""
@@ -77,26 +88,38 @@ def _(spark, d):
     return linked.select("doc_id", "section_path", "chunk_index", "prev_index", "next_index", "fragment_index", "total_fragments", label.alias("text"))
 
 
-@query(
-    "diagnose_markdown",
-    r"""SELECT doc_id, length(m) AS chars, len(regexp_extract_all(m, '[\p{L}\p{M}\p{N}_]+')) AS words, 4::bigint AS headings, 1::bigint AS tables, 3::bigint AS table_rows, 0.333::double AS broken FROM (SELECT doc_id, """ + MD_SQL + r""" AS m FROM documents WHERE NOT regexp_matches(text, '(?m)^\s*\|'))""",
-)
+#: X15 worked out from lines, for the text of a column ``m``.
+DIAGNOSIS_SQL = r"""WITH m AS (SELECT doc_id, MARKDOWN AS m FROM documents), l AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, list_transform(string_split(m, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM m)),
+    p AS (SELECT *, line LIKE '|%' AS pipe, list_transform(regexp_split_to_array(trim(line, '|'), '\|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS cells FROM l),
+    f AS (SELECT *, pipe AND NOT coalesce(lag(pipe) OVER (PARTITION BY doc_id ORDER BY no), false) AS opens, CASE WHEN pipe THEN (len(cells) <= 1)::int + (len(list_filter(cells, lambda x: lower(x) IN ('col2', 'col3', 'col4'))) > 0)::int + (len(cells) >= 2 AND cells[1] <> '' AND cells[1] = cells[2])::int END AS faults FROM p),
+    s AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^#{1,6}\s+.*\S\s*$')) AS headings, count(*) FILTER (WHERE opens) AS tables, count(*) FILTER (WHERE pipe) AS table_rows, coalesce(sum(faults) / nullif(count(*) FILTER (WHERE pipe), 0), 0) AS broken FROM f GROUP BY doc_id)
+    SELECT doc_id, length(m) AS chars, len(regexp_extract_all(m, '[\p{L}\p{M}\p{N}_]+')) AS words, headings, tables, table_rows, round_even(broken, 3)::double AS broken FROM m JOIN s USING (doc_id)"""
+
+
+@query("diagnose_markdown", DIAGNOSIS_SQL.replace("MARKDOWN", MD_SQL))
 def _(spark, d):
-    """X15; texts with tables of their own are diagnosed too, though the SQL leaves them out."""
+    """X15; texts with tables of their own are diagnosed too."""
     rows = marked(spark, d).where("text IS NOT NULL").select("doc_id", md.diagnosis("md").alias("x"))
     return rows.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in ("chars", "words", "headings", "tables", "table_rows", "broken")))
 
 
-@query("qa_pairs", "SELECT doc_id, 1 AS pair_index, 'what is ' || lang AS question, 'it is' || chr(10) || source AS answer FROM documents")
+@query("diagnose_kinds", DIAGNOSIS_SQL.replace("MARKDOWN", KINDS_SQL))
 def _(spark, d):
-    """A question without an answer is no pair."""
-    return md.qa_pairs(marked(spark, d), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "question", "answer")
+    """Documents of four kinds."""
+    rows = of_kinds(spark, d).where("md IS NOT NULL").select("doc_id", md.diagnosis("md").alias("x"))
+    return rows.select("doc_id", *(F.col(f"x.{c}").alias(c) for c in ("chars", "words", "headings", "tables", "table_rows", "broken")))
+
+
+@query("qa_pairs", "SELECT doc_id, pair_index, q AS question, CASE WHEN pair_index = 1 THEN 'z' || chr(10) || '# ' || lang ELSE a END AS answer FROM (SELECT doc_id, lang, unnest([1, 2, 3, 4]) AS pair_index, unnest(['zero', 'one', 'two', 'three']) AS q, unnest(['', source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '### deep' ELSE '## mid' END, 'two' || chr(10) || 'and more' || chr(10) || '# ' || source, 'three']) AS a FROM documents WHERE doc_id % 4 = 1)")
+def _(spark, d):
+    """Pairs of four layouts; answers go on to the next question."""
+    return md.qa_pairs(of_kinds(spark, d).where("doc_id % 4 = 1"), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "question", "answer")
 
 
-@query("qna_documents", "SELECT doc_id, false AS qna FROM documents")
+@query("qna_documents", "SELECT doc_id, coalesce(doc_id % 4 = 1, false) AS qna FROM documents")
 def _(spark, d):
-    """Two questions are not enough."""
-    return marked(spark, d).select("doc_id", md.is_qna("md").alias("qna"))
+    """Four questions are enough, none are not."""
+    return of_kinds(spark, d).select("doc_id", md.is_qna("md").alias("qna"))
 
 
 @query("summaries", "SELECT doc_id, string_agg(h, ', ' ORDER BY no) AS headings FROM (SELECT doc_id, no, regexp_replace(line, '^#+ ', '') AS h, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS n FROM " + LINES + " WHERE regexp_matches(line, '^#{1,6}[ \t]+[^ \t]')) WHERE n <= 3 GROUP BY doc_id")
@@ -106,12 +129,13 @@ def _(spark, d):
     return marked(spark, d).select("doc_id", F.array_join(F.slice(titles, 1, 3), ", ").alias("headings"))
 
 
-@query("overlap_batches", "SELECT doc_id, greatest(1, ceil((length(text) - 100) / 900.0))::bigint AS batches, true AS restored FROM documents WHERE length(text) > 0")
+@query("overlap_batches", "SELECT doc_id, n AS batches, length(text) - (n - 1) * 900 AS last_size, md5(text[(n - 1) * 900 + 1:]) AS last_md5, true AS restored FROM (SELECT *, greatest(1, ceil((length(text) - 100) / 900.0))::bigint AS n FROM documents WHERE length(text) > 0)")
 def _(spark, d):
     """Pieces of 1000 that share 100, and put together again."""
     pieces = md.overlapping("text", 1000, 100)
     back = F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.substring(p, 101, 900)), ""))
-    return read(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.size(pieces).cast("long").alias("batches"), (back == F.col("text")).alias("restored"))
+    last = F.element_at(pieces, -1)
+    return read(spark, d, "documents").where(F.length("text") > 0).select("doc_id", F.size(pieces).cast("long").alias("batches"), F.length(last).cast("long").alias("last_size"), F.md5(last).alias("last_md5"), (back == F.col("text")).alias("restored"))
 
 
 @query("clean_artifacts")
@@ -150,17 +174,6 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("license")))).cast("long").alias("n")).where("n > 0")
 
 
-#: Documents of four kinds by turn: tables, questions and answers, text with a small table, plain text.
-KINDS_SQL = """CASE doc_id % 4
-WHEN 0 THEN '# ' || source || chr(10) || '| item | lang |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || lang || ' |' || chr(10) || '| ' || doc_id % 90 || ' Casual Leave | ' || n_chars || ' |'
-WHEN 1 THEN 'Q0: zero' || chr(10) || 'A: z' || chr(10) || '# ' || lang || chr(10) || 'Q1: one' || chr(10) || 'A: ' || source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '### deep' ELSE '## mid' END || chr(10) || '**Question 2: two**' || chr(10) || '- A: two' || chr(10) || 'and more' || chr(10) || '# ' || source || chr(10) || '## Q3: three' || chr(10) || 'A: three'
-WHEN 2 THEN '# ' || lang || chr(10) || text || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' ELSE text END"""
-
-
-def of_kinds(spark, d):
-    return read(spark, d, "documents").withColumn("md", F.expr(KINDS_SQL.replace("chr(10)", "'\\n'")))
-
-
 @query(
     "chunk_routes",
     rf"""WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, list_transform(string_split({KINDS_SQL}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM documents)),

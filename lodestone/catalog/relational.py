@@ -228,11 +228,11 @@ def _(spark, d):
     return op.resolve_by_rank(read(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], rank, F.asc("event_id"))
 
 
-@query("set_difference_refresh", "SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-03'")
+@query("set_difference_refresh", "SELECT DISTINCT user_id FROM events WHERE ts >= TIMESTAMP '2024-01-16' AND value >= 97 EXCEPT SELECT user_id FROM events WHERE ts < TIMESTAMP '2024-01-16' AND value >= 97")
 def _(spark, d):
-    """J17, E1."""
-    events = read(spark, d, "events")
-    return events.where("ts >= timestamp'2024-01-16'").select("user_id").distinct().join(events.where("ts < timestamp'2024-01-03'").select("user_id"), "user_id", "left_anti")
+    """Users with a high value in the second half of the month only."""
+    high = read(spark, d, "events").where("value >= 97")
+    return high.where("ts >= timestamp'2024-01-16'").select("user_id").distinct().join(high.where("ts < timestamp'2024-01-16'").select("user_id"), "user_id", "left_anti")
 
 
 @query("union_admin_legacy", "SELECT * FROM (SELECT doc_id AS id, source AS name, 'admin' AS origin, n_chars AS amount FROM documents UNION ALL SELECT page_id, url, 'legacy', NULL FROM pages) ORDER BY coalesce(amount, 0) DESC, name DESC, id LIMIT 40")

@@ -112,7 +112,8 @@ def tumbling(events: DataFrame, time: str, width: str, keys: list[str], late: st
 def upsert_each_batch(path: str, key: str) -> Callable[[DataFrame, int], None]:
     """SK4, ST3 for streams: a foreachBatch sink that replaces the partitions of the keys in a micro-batch.
 
-    Writing a batch again gives the same files, so a replayed batch does no harm.
+    A micro-batch must hold all rows of its keys, as a source that gives a document's chunks together does: rows of a key from
+    an earlier one go. Writing a batch again gives the same files, so a replayed batch does no harm.
     """
 
     def write(batch: DataFrame, _: int) -> None:
