@@ -102,3 +102,65 @@ def test_segments_whole_texts_by_all_words(spark, tmp_path):
     assert len(order) > 5000 and found == expected and found[1].startswith("zebra quagga ")
     variants = {(r.item_id, r.variant): r.question for r in registry.queries()["query_variants"](spark, str(tmp_path)).collect()}
     assert variants[1, 0] == items[0][1] and len(variants[1, 0]) > 60
+
+
+def lines_of(text):
+    import re
+
+    parts = re.split("\r\n?|\n", text)
+    return parts[:-1] if parts[-1] == "" else parts
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_greedy_packing_by_brute_force(spark, con):
+    want = set()
+    for i, text in con.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        sizes, n, held = [], 0, 0
+        for line in lines_of(text):
+            if held and n + len(line) > 2200:  # a chunk closes when the next line would not fit
+                sizes.append(n + held - 1)
+                n = held = 0
+            n, held = n + len(line), held + 1
+        sizes += [n + held - 1] if held else []
+        want |= {(i, k, k - 1, k + 1 if k + 1 < len(sizes) else -1, size) for k, size in enumerate(sizes)}
+    got = {tuple(r) for r in registry.queries()["pack_greedy"](spark, DATA).collect()}
+    assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_subsequence_scores_by_brute_force(spark, con):
+    import re
+
+    def score(letters, text):
+        total, last = 0.0, -1
+        for c in letters:
+            at = text.find(c, last + 1)
+            if at < 0:
+                return None
+            total += 80 + (35 if at == 0 or re.match(r"[\s._/-]", text[at - 1]) else 0) + (45 if at == last + 1 else 0) - 0.5 * at
+            last = at
+        return total - 0.1 * len(text)
+
+    want = {}
+    for i, url in con.sql("SELECT page_id, url FROM pages WHERE url IS NOT NULL").fetchall():
+        s = score("exmcom", url.lower())
+        if s is not None and s >= 0:
+            want[i] = round(s, 6)
+    got = {r.page_id: round(r.score, 6) for r in registry.queries()["fuzzy_subsequence"](spark, DATA).collect()}
+    assert got == want and want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_normaliser_warnings_by_brute_force(spark, con):
+    import re
+
+    def words(t):
+        return len(re.findall(r"\w+", t))
+
+    want = {}
+    for i, text in con.sql("SELECT doc_id, text FROM documents WHERE text IS NOT NULL").fetchall():
+        half = "\n".join(x for x in lines_of(text) if len(x) % 2 == 0)
+        kept = words(half) / words(text) if words(text) else 1.0
+        want[i] = [w for w, on in (("words_lost", kept < 0.55), ("very_short", words(half) < 50), ("open_fence", half.count("```") % 2 == 1)) if on]
+    got = {r.doc_id: [w for w in r.warnings if w != "questions_lost"] for r in registry.queries()["normaliser_checks"](spark, DATA).collect()}
+    assert got == want
