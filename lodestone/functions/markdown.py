@@ -53,6 +53,34 @@ def section_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return out.withColumn("section_path", F.when(F.col("section_path") == "", "Root").otherwise(F.col("section_path")))
 
 
+def blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """A row a block: kind (code, heading, table, figure, paragraph), first and last line from 1, text; ``key`` tells documents apart.
+
+    A fence is a line that starts with three backticks; every second one closes. What is fenced goes on with a block that is open
+    before it, and blank lines end blocks elsewhere. A null or blank text has no blocks. Windows over lines, so nothing is folded.
+    """
+    rows = docs.select(key, F.posexplode(lines(text)).alias("_at", "line")).withColumn("_s", fn.strip(F.col("line")))
+    w = Window.partitionBy(key).orderBy("_at")
+    fence = F.col("_s").startswith("```")
+    rows = rows.withColumn("_fences", F.sum(fence.cast("int")).over(w))
+    kind = (
+        F.when(fence | (F.col("_fences") % 2 == 1), "code").when(F.col("_s").rlike(r"^#{1,6}\s+."), "heading").when(F.col("_s").startswith("|"), "table")
+        .when(F.col("_s") == "", "blank").when(F.col("_s").rlike(r"(?i)^\[(Figure|Visual|Image description)\b"), "figure").otherwise("paragraph")
+    )
+    rows = rows.withColumns({"kind": kind, "_opens": fence & (F.col("_fences") % 2 == 1)})
+    rows = rows.withColumn("_before", F.when(F.lag("_fences").over(w) % 2 == 0, F.when(F.lag("kind").over(w) == "code", "closed").otherwise(F.lag("kind").over(w))))
+    fresh = F.when(F.col("_opens"), F.coalesce(F.col("_before"), F.lit("blank")).isin("blank", "heading", "closed")).otherwise(
+        (F.col("kind") == "heading") | ((F.col("kind") != "code") & ~F.col("kind").eqNullSafe(F.col("_before")))
+    )
+    rows = rows.withColumn("_block", F.sum(fresh.cast("int")).over(w)).where("kind <> 'blank'")
+    parts = F.array_sort(F.collect_list(F.struct("_at", "line")))
+    out = rows.groupBy(key, "_block").agg(
+        F.min_by("kind", "_at").alias("kind"), (F.min("_at") + 1).alias("start_line"), (F.max("_at") + 1).alias("end_line"),
+        fn.strip(F.array_join(F.transform(parts, lambda x: x["line"]), "\n")).alias("text"),
+    )
+    return out.drop("_block")
+
+
 def level_paths(rows: DataFrame, key: str, order: str, line: str, depth: int = 6) -> DataFrame:
     """Breadcrumbs in which a heading clears the deeper ones, by windows: a title counts while no shallower heading follows it."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

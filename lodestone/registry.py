@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.catalog import aggregates, chunking, relational, retrieval, scoring, streams, text, windows  # noqa: F401  they register
+from lodestone.catalog import aggregates, chunking, relational, retrieval, scoring, sources, streams, text, windows  # noqa: F401  they register
 from lodestone.catalog.base import ORACLES, QUERIES
 
 

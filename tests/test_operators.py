@@ -205,3 +205,47 @@ def test_segmentation_does_not_vary():
     words = ["the", "cat", "sat"]
     cost = {w: math.log((k + 1) * math.log(3)) for k, w in enumerate(words)}
     assert models.split_words("thecatsat", cost, 20, 25.0) == "the cat sat"
+
+
+def blocks_by_hand(text):
+    """Blocks of a text, a line at a time."""
+    import re
+
+    def kind(t):
+        if re.match(r"#{1,6}\s+.", t):
+            return "heading"
+        return "table" if t[:1] == "|" else "figure" if re.match(r"(?i)\[(figure|visual|image description)\b", t) else "paragraph"
+
+    out, fenced, at = [], False, None  # at: the block that the next line may join
+    for no, line in enumerate(text.split("\n"), 1):
+        t = line.strip()
+        edge = t.startswith("```")
+        if fenced or edge:
+            if at is None:
+                at = ["code", no, no, []]
+                out.append(at)
+            at[2] = no
+            at[3].append(line)
+            fenced = fenced != edge
+            at = at if fenced else None
+        elif not t:
+            at = None
+        else:
+            if at is None or at[0] != kind(t) or kind(t) == "heading":
+                at = [kind(t), no, no, []]
+                out.append(at)
+            at[2] = no
+            at[3].append(line)
+            at = None if kind(t) == "heading" else at
+    return [(k, a, b, "\n".join(x).strip()) for k, a, b, x in out]
+
+
+def test_blocks(spark):
+    import random
+
+    rng = random.Random(5)
+    parts = ["```", "```py", "  ``` ", "", " ", "# h", "####### no", "#no", "| a |", " | b", "text", "more", "[Figure 2] f", "[visual: v]", "[Visuals]", "````"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) + "\nend" for _ in range(300)] + ["", None, "```", "\n\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, t string").repartition(3)
+    got = sorted((r.d, r.start_line, r.end_line, r.kind, r.text) for r in md.blocks(docs, "d", "t").collect())
+    assert got == sorted((k, a, b, kind, x) for k, t in enumerate(texts) if t for kind, a, b, x in blocks_by_hand(t))

@@ -117,6 +117,34 @@ def test_vectors_append_and_clear(spark, tmp_path):
 def test_new_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
-        (tmp_path / "in" / f"{k}.md").write_text(f"text {k}")
-    got = drained(files.new_files(spark, str(tmp_path / "in")), "arrived").collect()
-    assert sorted(r.text for r in got) == ["text 0", "text 1", "text 2"]
+        (tmp_path / "in" / f"{k}.md").write_text(f"text {k}\n\nmore\n")
+    got = drained(files.once(files.new_files(spark, str(tmp_path / "in"))), "arrived").collect()
+    assert sorted(r.text for r in got) == [f"text {k}\n\nmore\n" for k in range(3)]
+    assert sorted(r.text[:6] for r in files.drain(files.new_files(spark, str(tmp_path / "in")), str(tmp_path / "out")).collect()) == ["text 0", "text 1", "text 2"]
+
+
+def test_a_version_of_a_file_comes_through_once(spark, tmp_path):
+    rows = [("a", 0, "x"), ("a", 0, "y"), ("b", 5, "z"), ("a", 30, "again"), ("a", 3600, "later"), (None, 1, "m"), (None, 1, "n")]
+    df = spark.createDataFrame(rows, "path string, s long, text string").select("path", F.timestamp_seconds(F.col("s") + 10**6).alias("modified"), "text")
+    for _, _, text in rows:
+        df.where(F.col("text") == text).coalesce(1).write.parquet(str(tmp_path / "in" / f"k={text}"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(files.once(stream.select("path", "modified", "text"), "2 hours"), "passed").collect()
+    assert sorted((str(r.path), int(r.modified.timestamp()) - 10**6) for r in got) == [("None", 1), ("a", 0), ("a", 30), ("a", 3600), ("b", 5)]
+
+
+def test_artifact_runs(spark, tmp_path):
+    run = tmp_path / "doc" / "parser" / "run"
+    run.mkdir(parents=True)
+    (run / "manifest.json").write_text(json.dumps({"document": "d", "run_id": "r", "chunk_count": 2}))
+    (run / "chunks.jsonl").write_text("{}\n")
+    (run / "notes.txt").write_text("n")
+    rows = files.artifact_runs(spark, str(tmp_path), [".json", ".jsonl"], 5).collect()
+    assert len(rows) == 1 and rows[0].document == "d" and sorted(rows[0].files) == ["chunks.jsonl", "manifest.json"]
+
+
+def test_layout_pages(spark):
+    rows = [("d", 2, 0.0, 0.0, 0, "last"), ("d", 1, 9.0, 1.04, 1, " right "), ("d", 1, 2.0, 1.01, 2, "left"), ("d", 1, 2.0, 1.0, 3, "left again"), ("d", 1, 0.0, 0.0, 4, "  "), ("d", 1, 5.0, None, 5, "nowhere"), ("e", 1, 0.0, 0.0, 6, None)]
+    df = spark.createDataFrame(rows, "k string, p int, x double, y double, n int, t string")
+    got = {r.k: r.markdown for r in files.layout_pages(df, "k", "p", "x", "y", "n", "t").collect()}
+    assert got == {"d": "<!-- page:1 -->\n\n## Page 1\n\nnowhere\n\nleft\n\nleft again\n\nright\n\n<!-- page:2 -->\n\n## Page 2\n\nlast"}
