@@ -2,45 +2,82 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
-from lodestone.plans.retrieval import in_blocks
+
+#: Names up to which they are broadcast and held against every question; more are joined by equal pieces of text.
+FEW = 1000
+
+
+def contained(rows: DataFrame, hay: str, needles: DataFrame, needle: str) -> DataFrame:
+    """The rows with each needle that is in their ``hay``, and ``before``, the character ahead of it, if there is one; a row a place.
+
+    An equi-join on all pieces of a text that are as long as some needle.  The lengths of needles come to the driver: no more than the
+    longest needle has characters.  Empty needles are in nothing.
+    """
+    needles = needles.where(F.length(needle) > 0)
+    sizes = sorted(r[0] for r in needles.select(F.length(needle)).distinct().collect())
+    sized = rows.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.length(hay) >= F.col("_size"))
+    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(hay) - F.col("_size") + 1)))
+    before = F.when(F.col("_at") > 1, F.substring(hay, F.col("_at") - 1, 1))
+    pieces = placed.select(*(c for c in rows.columns if c != hay), before.alias("before"), F.substring(hay, F.col("_at"), F.col("_size")).alias(needle))
+    return pieces.join(needles, needle).drop(needle)
 
 
-def mentions(questions: DataFrame, files: DataFrame) -> DataFrame:
-    """The files a question names by @name, by name, or by stem as whole words; longest names first.
+def mentions(questions: DataFrame, files: DataFrame, few: int = FEW) -> DataFrame:
+    """The files a question (``qid`` tells them apart) names by @name, by name, or by stem as whole words; longest names first.
 
-    The distinct file names go against the questions in blocks of bounded size.
+    Up to ``few`` distinct names are broadcast, more are found by ``contained``. An empty name or stem is named by nothing.
     """
-    names = files.select("filename").distinct().withColumn("_stem", F.regexp_replace(F.lower("filename"), r"\.[a-z0-9]+$", ""))
+    stem = fn.strip(F.regexp_replace(F.regexp_replace(F.lower("filename"), r"\.[a-z0-9]+$", ""), "[^a-z0-9]+", " "))
+    names = files.select("filename").where("filename <> ''").distinct().withColumns({"_name": F.lower("filename"), "_stem": stem})
     text = F.lower(F.col("question"))
-    how = (
-        F.when(F.contains(text, F.concat(F.lit("@"), F.lower("filename"))), 1)
-        .when(F.contains(text, F.lower("filename")), 2)
-        .when(fn.has_word(text, fn.strip(F.regexp_replace("_stem", "[^a-z0-9]+", " "))), 3)
-    )
-    found = reduce(DataFrame.unionByName, [questions.join(F.broadcast(n), how.isNotNull()).select("qid", "filename", how.alias("tier")) for n in in_blocks(names, "filename", 10_000)])
+    if names.limit(few + 1).count() <= few:
+        how = (
+            F.when(F.contains(text, F.concat(F.lit("@"), "_name")), 1)
+            .when(F.contains(text, F.col("_name")), 2)
+            .when((F.col("_stem") != "") & fn.has_word(text, F.col("_stem")), 3)
+        )
+        found = questions.join(F.broadcast(names), how.isNotNull()).select("qid", "filename", how.alias("tier"))
+    else:
+        whole = contained(questions.select("qid", text.alias("_text")), "_text", names.select("filename", "_name"), "_name")
+        spaced = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
+        words = names.where("_stem <> ''").select("filename", F.concat(F.lit(" "), "_stem", F.lit(" ")).alias("_word"))
+        by_stem = contained(questions.select("qid", spaced.alias("_text")), "_text", words, "_word")
+        tiers = whole.select("qid", "filename", F.when(F.col("before") == "@", 1).otherwise(2).alias("tier")).union(by_stem.select("qid", "filename", F.lit(3)))
+        found = tiers.groupBy("qid", "filename").agg(F.min("tier").alias("tier"))
     order = Window.partitionBy("qid").orderBy("tier", F.length("filename").desc(), "filename")
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def resolve_target(targets: DataFrame, files: DataFrame) -> DataFrame:
-    """A target as a known file: equal, equal in letters and digits, or contained either way; else as it is."""
+def resolve_target(targets: DataFrame, files: DataFrame, few: int = FEW) -> DataFrame:
+    """A target as a known file: equal, equal in letters and digits, or contained either way; else as it is.
+
+    Up to ``few`` distinct files are broadcast, more are joined by the names and found by ``contained``.
+    """
     def bare(c: str) -> Column:
         return F.regexp_replace(F.lower(F.regexp_replace(F.col(c), r"\.[A-Za-z0-9]+$", "")), "[^a-z0-9]+", "")
 
-    t, f = targets.withColumn("_t", bare("target")), files.select("filename").distinct().withColumn("_f", bare("filename"))
-    tier = (
-        F.when(F.col("target") == F.col("filename"), 1).when(F.col("_t") == F.col("_f"), 2)
-        .when((F.col("_t") != "") & (F.contains("_t", F.col("_f")) | F.contains("_f", F.col("_t"))), 3)
-    )
-    found = reduce(DataFrame.unionByName, [t.join(F.broadcast(x), tier.isNotNull(), "left").select("target", "filename", tier.alias("tier")) for x in in_blocks(f, "filename", 10_000)])
-    found = found.groupBy("target").agg(F.min_by("filename", F.when(F.col("tier").isNotNull(), F.struct("tier", "filename"))).alias("file"))
-    return found.select("target", F.coalesce("file", "target").alias("resolved"))
+    t, f = targets.select("target").distinct().withColumn("_t", bare("target")), files.select("filename").distinct().withColumn("_f", bare("filename"))
+    if f.limit(few + 1).count() <= few:
+        tier = (
+            F.when(F.col("target") == F.col("filename"), 1).when(F.col("_t") == F.col("_f"), 2)
+            .when((F.col("_t") != "") & (F.contains("_t", F.col("_f")) | F.contains("_f", F.col("_t"))), 3)
+        )
+        found = t.join(F.broadcast(f), tier.isNotNull()).select("target", "filename", tier.alias("tier"))
+    else:
+        nameless = f.where("_f = ''").agg(F.min("filename").alias("filename")).where("filename IS NOT NULL")  # one row: no letter or digit, so in every target
+        found = (
+            t.join(f, F.col("target") == F.col("filename")).select("target", "filename", F.lit(1).alias("tier"))
+            .union(t.join(f, F.col("_t") == F.col("_f")).select("target", "filename", F.lit(2)))
+            .union(contained(t, "_t", f, "_f").select("target", "filename", F.lit(3)))
+            .union(contained(f, "_f", t, "_t").select("target", "filename", F.lit(3)))
+            .union(t.where("_t <> ''").crossJoin(F.broadcast(nameless)).select("target", "filename", F.lit(3)))
+        )
+    best = found.groupBy("target").agg(F.min_by("filename", F.struct("tier", "filename")).alias("file"))
+    return t.join(best, "target", "left").select("target", F.coalesce("file", "target").alias("resolved"))
 
 
 def indexed_acronyms(rows: DataFrame, text: str) -> DataFrame:

@@ -199,6 +199,32 @@ def test_resolution_passes_unknown_through(spark):
     assert sorted(map(tuple, out)) == [("leave-policy", "Leave Policy.pdf"), ("zzz", "zzz")]
 
 
+def test_many_names_are_found_as_few_are(spark):
+    import random
+
+    rng = random.Random(9)
+    names = ["".join(rng.choice("ab_. ") for _ in range(rng.randrange(1, 6))) + rng.choice(["", ".md", ".PDF"]) for _ in range(60)] + ["", None, "...", "--", "ab.md", "AB.md"]
+    said = ["".join(rng.choice(["a", "b", "_", ".", " ", "@", ".md", "@ab.md", "ba.pdf", "!"]) for _ in range(rng.randrange(0, 12))) for _ in range(150)] + [None, "", "@AB.MD and ab"]
+    known = spark.createDataFrame([(n,) for n in names + names[:9]], "filename string")
+    asked = spark.createDataFrame(list(enumerate(said)), "qid int, question string")
+    few, many = (sorted(map(tuple, understanding.mentions(asked, known, n).collect())) for n in (1000, 0))
+    assert few == many and {r[2] for r in few} == {1, 2, 3}
+
+    def tier(q, n):
+        import re
+
+        q, low = q.lower(), n.lower()
+        stem = re.sub("[^a-z0-9]+", " ", re.sub(r"\.[a-z0-9]+$", "", low)).strip()
+        return 1 if "@" + low in q else 2 if low in q else 3 if stem and f" {stem} " in " " + re.sub("[^a-z0-9]+", " ", q) + " " else None
+
+    assert {r[:3] for r in few} == {(k, n, tier(q, n)) for k, q in enumerate(said) if q is not None for n in set(names) if n and tier(q, n)}
+    targets = spark.createDataFrame([(x,) for x in said + names], "target string")
+    few, many = ({r.target: r.resolved for r in understanding.resolve_target(targets, known, n).collect()} for n in (1000, 0))
+    assert few == many and sum(k != v for k, v in few.items()) > 20
+    none = spark.createDataFrame([], "filename string")
+    assert understanding.mentions(asked, none, 0).count() == understanding.mentions(asked, none, -1).count() == 0
+
+
 def test_segmentation_does_not_vary():
     import math
 
