@@ -13,8 +13,8 @@
    by a hash.
 
 Ranks and running sums over many rows go in two steps (``running``): sums over cells of a hash, then within a cell, so that
-no task holds all blocks, nor all of one source.  Windows over a whole table are over the table of sources and over
-cells, a thousandth of the blocks.  All choices come from hashes: reruns agree.
+no task holds all blocks, nor all of one source.  Sources are put in order by range likewise (``ordered``).  Windows over a whole
+table are over cells only: the ranges of the sources, a thousandth of the blocks.  All choices come from hashes: reruns agree.
 
 Defined cases: a null text has no words; a null source is a source, last in order; documents without
 words have target shares only through their source; repeated rows are each mixed; further columns pass through whatever
@@ -35,20 +35,37 @@ LEVELS = 6  # 64 shards
 CELL_ROWS = 1024
 
 
+def ordered(rows: DataFrame, order: list[Column], *values: str) -> DataFrame:
+    """``rows`` with ``position`` (from 1) in a whole ``order`` without ties, and ``before_<value>``, the sum of each value over the rows ahead.
+
+    Rows are dealt by range, so that a cell is a run of the order; only a row a cell meets in one task.
+    """
+    cells = materialize(rows.repartitionByRange(*order).withColumn("cell", F.spark_partition_id()), "mix-order")
+    cells = cells.withColumn("one", F.lit(1).cast("long"))
+    names = {"one": "position", **{v: f"before_{v}" for v in values}}
+    earlier = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cells.groupBy("cell").agg(*(F.sum(v).alias(f"in_{v}") for v in names))
+    sums = sums.select("cell", *(F.coalesce(F.sum(f"in_{v}").over(earlier), F.lit(0)).alias(f"ahead_{v}") for v in names))
+    within = Window.partitionBy("cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = cells.join(sums, "cell")
+    found = found.withColumns({n: F.col(f"ahead_{v}") + F.coalesce(F.sum(v).over(within), F.lit(0)) for v, n in names.items()})
+    return found.withColumn("position", F.col("position") + 1).select(*rows.columns, *names.values())
+
+
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = 1.5, cap: int = 2) -> DataFrame:
-    """source, source_size, target of each source."""
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    everything = Window.partitionBy(F.lit(1))
+    """source, sid (its place, from 1), source_size, target of each source."""
+    by_name, last = [F.col("source").asc_nulls_last()], F.col("source").asc_nulls_last()
+    sources = ordered(sized.groupBy("source").agg(F.sum("size").alias("source_size")), by_name).withColumnRenamed("position", "sid")
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("sid") - 1) % len(weights) + 1).cast("int"))
     sources = sources.withColumns({"weight": weight.cast("long"), "most": F.col("source_size") * cap})
-    sources = sources.withColumns({"want": F.sum("source_size").over(everything) * F.lit(ratio), "all_weight": F.sum("weight").over(everything), "fill": F.col("most") / F.col("weight")})
-    before = Window.orderBy("fill", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.col("want") - F.coalesce(F.sum("most").over(before), F.lit(0))) / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    sources = ordered(sources.withColumn("fill", F.col("most") / F.col("weight")), [F.col("fill").asc(), last], "most", "weight")
+    want, all_weight = sources.agg(F.sum("source_size") * F.lit(ratio), F.sum("weight")).first()
+    level = (F.lit(want).cast("double") - F.col("before_most")) / (F.lit(all_weight).cast("long") - F.col("before_weight"))
     sources = sources.withColumn("level", level)
-    final = F.min_by(F.when(F.col("fill") >= F.col("level"), F.col("level")), F.when(F.col("fill") >= F.col("level"), F.col("fill"))).over(everything)
-    target = F.least(F.col("most").cast("double"), F.coalesce(F.col("final") * F.col("weight"), F.col("most").cast("double")))
-    return sources.withColumn("final", final).select("source", "source_size", target.alias("target"))
+    # of the sources that do not stop, the first: of several with one fill only its level leaves all of them unstopped
+    final = sources.where("fill >= level").agg(F.min_by("level", "position")).first()[0]
+    target = F.least(F.col("most").cast("double"), F.coalesce(F.lit(final).cast("double") * F.col("weight"), F.col("most").cast("double")))
+    return sources.select("source", "sid", "source_size", target.alias("target"))
 
 
 def positive(*parts: Column | str) -> Column:
@@ -91,7 +108,7 @@ def plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, levels:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
     rows = materialize(rows, "mix-sizes")
-    sources = source_targets(rows).withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    sources = source_targets(rows)
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumns({"passes": whole, "n_blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))})
     sources = materialize(sources.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")), "mix-sources")

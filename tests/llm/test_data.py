@@ -240,25 +240,38 @@ def test_html_frame(spark):
 # mixing
 
 
-def test_mixing(spark):
-    rng = random.Random(3)
-    rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["a", "a", "a", "b", "é", None, "Z"])) for i in range(400)] + [(1000, None, "empty"), (1001, "", None), (7, "again same id", "a")]
-    plan = mixing.plan(docs_frame(spark, rows), block_words=200).collect()
-    size = collections.Counter()
-    for _, t, s in rows:
-        size[s] += len(reference.WORD.findall(t or ""))
-    names = sorted((s for s in size if s is not None)) + [None]
+def filled(size):
+    """Targets as the words say: stop at twice the size, and share the excess again."""
+    names = sorted((s for s in size if s is not None)) + [s for s in size if s is None]
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
     want, stopped = 1.5 * sum(size.values()), set()
-    while True:  # as the words say: stop, and share the excess again
+    while True:
         left = want - sum(2 * size[s] for s in stopped)
         free = [s for s in names if s not in stopped]
         share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
         over = {s for s in free if share[s] > 2 * size[s]}
         if not over:
-            break
+            return {s: 2.0 * size[s] if s in stopped else share[s] for s in names}
         stopped |= over
-    target = {s: 2.0 * size[s] if s in stopped else share[s] for s in names}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 100, "b": 10, "c": 10, "d": 100}, {"a": 5, "b": 5, "c": 5, "d": 5, "e": 5, "f": 5, None: 5}, {"a": 0, "b": 0}, {"x": 9}, dict.fromkeys([f"s{k:03}" for k in range(300)] + ["é", "Z", ""], 7)])
+def test_targets_of_equal_sources(spark, sizes):
+    sized = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").repartition(3)
+    found = mixing.source_targets(sized).collect()
+    want = filled(sizes)
+    assert {r.source: r.source_size for r in found} == sizes and all(abs(r.target - want[r.source]) < 1e-6 for r in found)
+    assert [r.source for r in sorted(found, key=lambda r: r.sid)] == list(want) and sorted(r.sid for r in found) == list(range(1, len(sizes) + 1))
+
+
+def test_mixing(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), rng.choice(["a", "a", "a", "b", "é", None, "Z"])) for i in range(400)] + [(1000, None, "empty"), (1001, "", None), (7, "again same id", "a")]
+    plan = mixing.plan(docs_frame(spark, rows), block_words=200).collect()
+    size = collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(reference.WORD.findall(t or ""))
+    target, names = filled(size), list(filled(size))
     assert sorted((r["doc_id"], r["size"]) for r in plan) == sorted((i, len(reference.WORD.findall(t or ""))) for i, t, _ in rows)
     for s in names:
         own = [r for r in plan if r["source"] == s]
