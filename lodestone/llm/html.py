@@ -131,6 +131,9 @@ class OpenElements:
         return True
 
 
+COMMENT_END = re.compile("--!?>")
+
+
 def build(html: str) -> tuple[Element, list[str]]:
     """The tree of a page, and its style sheets; every element the page leaves open is closed at its end."""
     root, sheets = Element("html"), []
@@ -149,8 +152,8 @@ def build(html: str) -> tuple[Element, list[str]]:
                 if html.startswith((">", "->"), lt + 4):
                     at = html.index(">", lt + 4) + 1
                 else:
-                    ends = [k for k in (html.find("-->", lt + 4),) if k >= 0]
-                    at = ends[0] + 3 if ends else end
+                    close = COMMENT_END.search(html, lt + 4)
+                    at = close.end() if close else end
             else:
                 close = html.find(">", lt + 2)
                 at = close + 1 if close >= 0 else end
@@ -233,10 +236,14 @@ def rules(sheet: str) -> list[tuple[str, str]]:
 
 
 class Styles:
-    """What style elements and attributes say of display and visibility."""
+    """What style elements and attributes say of display and visibility.
+
+    Rules with one selector are merged into what wins for each property, a selector is filed under that of its parts which
+    the fewest have, and elements of one tag with the same of the names that selectors know share one answer.
+    """
 
     def __init__(self, sheets: list[str]):
-        self.rules: dict[str, list] = defaultdict(list)  # by an id, class or tag that the element must have
+        merged: dict[tuple[str, frozenset[str]], dict[str, tuple]] = {}
         n = 0
         for selectors, body in (r for sheet in sheets for r in rules(sheet)):
             said = [(p.lower(), v.lower(), bool(i)) for p, v, i in DECLARATION.findall(body)]
@@ -245,9 +252,31 @@ class Styles:
                 if simple and simple[0]:
                     parts = re.findall(r"[.#][\w-]+", simple[2])
                     weight = (sum(p[0] == "#" for p in parts), sum(p[0] == "." for p in parts), bool(simple[1]), n)
-                    tag = (simple[1] or "").lower()
-                    self.rules[parts[0] if parts else tag].append((weight, tag, frozenset(parts), said))
+                    wins = merged.setdefault(((simple[1] or "").lower(), frozenset(parts)), {})
+                    for p, v, important in said:
+                        key = (important, 0, *weight)
+                        if p not in wins or key >= wins[p][0]:
+                            wins[p] = key, v
                     n += 1
+        self.names = {p for _, parts in merged for p in parts}
+        often = Counter(p for _, parts in merged for p in parts)
+        self.rules: dict[str, list] = defaultdict(list)
+        for (tag, parts), wins in merged.items():
+            self.rules[min(parts, key=lambda p: (often[p], p)) if parts else tag].append((tag, parts, wins))
+        self.answers: dict[tuple[str, frozenset[str]], dict[str, tuple]] = {}
+
+    def sheets_say(self, tag: str, names: frozenset[str]) -> dict[str, tuple]:
+        """What wins for each property, with its rank, for elements of a tag with these names of selectors."""
+        if (tag, names) not in self.answers:
+            value: dict[str, tuple] = {}
+            for name in (*names, tag):
+                for own, parts, wins in self.rules.get(name, ()):
+                    if own in ("", tag) and parts <= names:
+                        for p, (key, v) in wins.items():
+                            if p not in value or key >= value[p][0]:
+                                value[p] = key, v
+            self.answers[tag, names] = value
+        return self.answers[tag, names]
 
     def of(self, x: Element) -> tuple[bool, bool | None]:
         """Whether the element is displayed, and whether it is visible (None: as what it stands in)."""
@@ -257,18 +286,18 @@ class Styles:
         if bare and not self.rules:
             return True, None
         own = {} if bare else x.attributes()
-        said = []
+        value: dict[str, tuple] = {}
         if self.rules:
             names = {f"#{own['id']}"} if "id" in own else set()
             names |= {f".{c}" for c in own.get("class", "").split()}
-            for name in (*names, x.tag):
-                for weight, tag, parts, what in self.rules.get(name, ()):
-                    if tag in ("", x.tag) and parts <= names:
-                        said += [((important, 0, *weight), p, v) for p, v, important in what]
-        said += [((bool(important), 1), p.lower(), v.lower()) for p, v, important in DECLARATION.findall(own.get("style", ""))]
-        value = {p: v for _, p, v in sorted(said, key=lambda s: s[0])}
-        display = value["display"] != "none" if "display" in value else "hidden" not in own
-        return display, None if "visibility" not in value or value["visibility"] == "inherit" else value["visibility"] == "visible"
+            value |= self.sheets_say(x.tag, frozenset(names & self.names))
+        for p, v, important in DECLARATION.findall(own.get("style", "")):
+            key, p = (bool(important), 1), p.lower()
+            if p not in value or key >= value[p][0]:
+                value[p] = key, v.lower()
+        display = value["display"][1] != "none" if "display" in value else "hidden" not in own
+        visible = value["visibility"][1] if "visibility" in value else "inherit"
+        return display, None if visible == "inherit" else visible == "visible"
 
 
 # layout
