@@ -102,18 +102,19 @@ def deal(blocks: DataFrame, n_blocks: int, levels: int = LEVELS, seed: int = 0)
 
 
 def plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, levels: int = LEVELS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, passes, extra, shards: of each document, what the mix takes and where.
+    """doc_id, size, source_size, target, taken, source, text_hash, passes, extra, shards: of each document, what the mix takes and where.
 
     ``shards`` has the shard of each time that the document is taken, the last of them perhaps in part.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"))
     rows = materialize(rows, "mix-sizes")
     sources = source_targets(rows)
     whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumns({"passes": whole, "n_blocks": F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words))})
     sources = materialize(sources.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")), "mix-sources")
     rows = rows.join(sources.withColumnRenamed("source", "s"), rows.source.eqNullSafe(F.col("s"))).drop("s")
-    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("n_blocks"))), "mix-rows")
+    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", "text_hash", F.lit(seed)), F.col("n_blocks"))), "mix-rows")
 
     table = rows.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"), F.first("n_blocks").alias("n_blocks"))
     table = running(table.withColumn("order", positive("sid", "block", F.lit(seed + 1))), ["sid"], "order", F.col("n_blocks"), "words", "before")
@@ -124,13 +125,13 @@ def plan(docs: DataFrame, seed: int = 0, block_words: int = BLOCK_WORDS, levels:
     dealt = dealt.groupBy("sid", "block").agg(F.max("part").alias("part"), F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("block_shards"))
 
     joined = rows.join(dealt, ["sid", "block"], "left")
-    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64("doc_id", F.lit(seed + 2)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("sid", "block").orderBy(F.xxhash64("doc_id", "text_hash", F.lit(seed + 2)), "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.coalesce(F.col("part"), F.lit(0)) - F.coalesce(F.sum("size").over(within), F.lit(0))))
     joined = joined.withColumn("extra", extra)
     times = (F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
     return joined.select(
         "doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + F.col("extra")).alias("taken"),
-        "source", "passes", "extra", F.coalesce(F.slice("block_shards", F.lit(1), times), F.array().cast("array<int>")).alias("shards"),
+        "source", "text_hash", "passes", "extra", F.coalesce(F.slice("block_shards", F.lit(1), times), F.array().cast("array<int>")).alias("shards"),
     )
 
 
@@ -138,21 +139,24 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row each time a document is taken, in shard order.
 
     A document that is taken in part gives its first words, joined by a space.  Documents are matched to
-    the plan by doc_id and number of words; text and n_chars, if it is there, follow what is taken.
+    the plan by doc_id, source and a hash of the text, and by their place among rows that agree in all three; text and n_chars, if it is there, follow what is taken.
     """
-    null = F.lit(-(1 << 63))
     own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    sized = carried(docs, *own).withColumns({"size": word_count(F.col("text").cast("string")), "key": F.coalesce(F.col("doc_id").cast("long"), null)})
-    sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size").orderBy(F.xxhash64("text"))))
-    chosen = plan(docs.select("doc_id", "source", "text"), seed).select(F.coalesce("doc_id", null).alias("key"), "size", "passes", "extra", "shards")
-    chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size").orderBy("passes", F.col("extra").desc(), "shards")))
-    rows = sized.join(chosen, ["key", "size", "nth"])  # both sides are dealt by key and size already: texts move once
+    text = F.col("text").cast("string")
+    # a null doc_id and a null source are values like others
+    named = {"id_key": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), "source_key": F.coalesce(F.concat(F.lit("="), F.col("source_key")), F.lit("-"))}
+    key = ["id_key", "source_key", "text_hash"]
+    sized = carried(docs, *own).withColumns({"size": word_count(text), "text_hash": F.xxhash64(text), "source_key": F.col("carried")["source"].cast("string")}).withColumns(named)
+    sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("size"))))
+    chosen = plan(docs.select("doc_id", "source", "text"), seed).withColumnRenamed("source", "source_key").withColumns(named).select(*key, "passes", "extra", "shards")
+    chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("passes", F.col("extra").desc(), "shards")))
+    rows = sized.join(chosen, [*key, "nth"])  # both sides are dealt by the key already: texts move once
     rows = rows.where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("copy", "shard"))
     cut = (F.col("copy") >= F.col("passes")) & (F.col("extra") < F.col("size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in own:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    local = F.xxhash64("doc_id", "copy", F.lit(seed + 3))
+    local = F.xxhash64("doc_id", "text_hash", "copy", F.lit(seed + 3))
     rows = rows.repartitionByRange("shard", local).sortWithinPartitions("shard", local)
     return uncarried(rows, docs.columns, *own)
