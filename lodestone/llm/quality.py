@@ -152,8 +152,10 @@ def vectors(rows: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray, np
     def features(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"t": [content_features(t or "").astype(np.float16).tobytes() for t in text], "m": [metadata_features(*r).tobytes() for r in zip(lang, source, n_chars)]}, columns=["t", "m"])
 
-    found = rows.drop("carried").join(F.broadcast(ids), "id").select("id", "label", features("text", "lang", "source", "n_chars").alias("f"))
-    got = found.select("id", "label", "f.t", "f.m").toPandas().sort_values("id", kind="stable").drop_duplicates("id")
+    found = rows.drop("carried").join(F.broadcast(ids), "id").select("id", "label", F.xxhash64("text").alias("h"), features("text", "lang", "source", "n_chars").alias("f"))
+    # of rows that repeat an id the one with the smallest hash of its text, chosen before anything comes to the driver
+    found = found.groupBy("id", "label").agg(F.min(F.struct("h", "f.t", "f.m")).alias("f"))
+    got = found.select("id", "label", "f.t", "f.m").toPandas().sort_values("id", kind="stable")
     # mixed by a hash, so that which rows are held out does not follow doc_id
     got = got.iloc[np.argsort([zlib.crc32(b"%d" % i) for i in got["id"]], kind="stable")]
     text = np.frombuffer(b"".join(got["t"]), np.float16).reshape(len(got), TEXT).astype(np.float32)
