@@ -187,10 +187,30 @@ def bucket_count(n: int) -> int:
     return max(8, math.ceil(n / BUCKET_KEYS))
 
 
-def bucket_edges(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
-    """Where the range of each bucket starts in sorted keys of so many bits; one more for the end."""
-    lows = [min((b << bits) // buckets, (1 << 64) - 1) for b in range(buckets)]
-    return np.append(np.searchsorted(keys, np.array(lows, U)), len(keys))
+def bucket_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """floor(((key + 1) * buckets - 1) / 2**bits) of 64-bit keys: ranges of equal width, in order; a product of two halves."""
+    low = (keys & U(0xFFFFFFFF)) * U(buckets) + U(buckets - 1)
+    high = (keys >> U(32)) * U(buckets) + (low >> U(32))
+    if bits >= 32:
+        return (high >> U(bits - 32)).astype(np.int64)
+    return ((high << U(32 - bits)) | ((low & U(0xFFFFFFFF)) >> U(bits))).astype(np.int64)
+
+
+class Spans:
+    """Where the keys of each bucket lie in sorted keys of so many bits; the cost follows the keys, not the buckets."""
+
+    def __init__(self, keys: np.ndarray, bits: int, buckets: int):
+        owner = bucket_of(keys, bits, buckets)
+        starts = np.flatnonzero(np.r_[np.ones(min(len(keys), 1), np.bool_), owner[1:] != owner[:-1]])
+        self.full, self.edges = owner[starts], np.append(starts, len(keys))
+
+    def __iter__(self) -> Iterator[tuple[int, slice]]:
+        """The buckets that have keys."""
+        return ((b, slice(x, y)) for b, x, y in zip(self.full.tolist(), self.edges[:-1].tolist(), self.edges[1:].tolist()))
+
+    def __getitem__(self, bucket: int) -> slice:
+        k = int(np.searchsorted(self.full, bucket))
+        return slice(self.edges[k], self.edges[k + 1]) if k < len(self.full) and self.full[k] == bucket else slice(0, 0)
 
 
 SETS = "bucket int, chunk long, keys binary, side binary"
@@ -201,10 +221,10 @@ _ANSWERS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("bits", pa
 
 def key_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int, side: np.ndarray | None = None) -> pa.Table:
     """A row for each bucket that the chunk has keys for; ``side``: a number, or a row of them, that goes with each key."""
-    edges = bucket_edges(keys, bits, buckets)
-    full = np.flatnonzero(np.diff(edges))
-    packed = [pack_sorted(keys[edges[b] : edges[b + 1]]) for b in full]
-    sides = [pack_numbers(side[edges[b] : edges[b + 1]]) for b in full] if side is not None else [None] * len(full)
+    spans = Spans(keys, bits, buckets)
+    full = spans.full
+    packed = [pack_sorted(keys[s]) for _, s in spans]
+    sides = [pack_numbers(side[s]) for _, s in spans] if side is not None else [None] * len(full)
     return pa.table([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(packed, pa.binary()), pa.array(sides, pa.binary())], schema=_SETS)
 
 
@@ -223,9 +243,9 @@ def answers(sets: DataFrame, repeated: Callable) -> DataFrame:
 
 def marked(keys: np.ndarray, bits: int, buckets: int, found: list[tuple[int, bytes, bytes | None]]) -> tuple[np.ndarray, np.ndarray | None]:
     """The mask over a chunk's sorted keys, from the answers of its buckets, and what came with the marked keys."""
-    mask, edges, sides = np.zeros(len(keys), np.bool_), bucket_edges(keys, bits, buckets), []
+    mask, spans, sides = np.zeros(len(keys), np.bool_), Spans(keys, bits, buckets), []
     for bucket, packed, side in sorted(found, key=lambda x: x[0]):
-        mask[edges[bucket] : edges[bucket + 1]] = unpack_bits(packed)
+        mask[spans[bucket]] = unpack_bits(packed)
         if side is not None:
             sides.append(unpack_numbers(side))
     return mask, np.concatenate(sides) if sides else None

@@ -385,12 +385,10 @@ class SuffixFamily:
             kinds, bucket, name, keys, side, check = ([] for _ in range(6))
             if len(left) and len(right):
                 p, chunk = part(left, right), left.column("chunk")[0].as_py()
-                edges = ch.bucket_edges(p.keys, 64, many)
                 begin, end = p.bounds(p.at)
-                for b in np.flatnonzero(np.diff(edges)):
-                    s = slice(edges[b], edges[b + 1])
+                for b, s in ch.Spans(p.keys, 64, many):
                     blob = records(p.chunk.data, begin[s], end[s], p.at[s], length, gram)
-                    for out, x in zip((kinds, bucket, name, keys, side, check), (0, int(b), chunk, ch.squeeze(blob.tobytes(), 3), None, None)):
+                    for out, x in zip((kinds, bucket, name, keys, side, check), (0, b, chunk, ch.squeeze(blob.tobytes(), 3), None, None)):
                         out.append(x)
                 if len(p.crowded):
                     one, two, _ = p.strings(length, gram)
@@ -400,10 +398,8 @@ class SuffixFamily:
                     first = np.flatnonzero(new)
                     n = np.diff(np.r_[first, len(one)])
                     one, two = one[first], two[first]
-                    edges = ch.bucket_edges(one, 64, wide)
-                    for b in np.flatnonzero(np.diff(edges)):
-                        s = slice(edges[b], edges[b + 1])
-                        for out, x in zip((kinds, bucket, name, keys, side, check), (1, int(b), chunk, ch.pack_sorted(one[s]), ch.pack_numbers(two[s]), ch.pack_bits(n[s] > 1))):
+                    for b, s in ch.Spans(one, 64, wide):
+                        for out, x in zip((kinds, bucket, name, keys, side, check), (1, b, chunk, ch.pack_sorted(one[s]), ch.pack_numbers(two[s]), ch.pack_bits(n[s] > 1))):
                             out.append(x)
             return pa.table([pa.array(kinds, pa.int32()), pa.array(bucket, pa.int32()), pa.array(name, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, side, check))], names=["kind", "bucket", "chunk", "keys", "side", "check"])
 
@@ -434,9 +430,9 @@ class SuffixFamily:
             if len(right):
                 p = part(left, right)
                 rows = right.column("found")[0].as_py()
-                edges, lost = ch.bucket_edges(p.keys, 64, many), [starts]
+                spans, lost = ch.Spans(p.keys, 64, many), [starts]
                 for row in (r for r in rows if r["kind"] == 0):
-                    at = p.at[edges[row["bucket"]] : edges[row["bucket"] + 1]]
+                    at = p.at[spans[row["bucket"]]]
                     mask = np.unpackbits(np.frombuffer(ch.swell(row["masks"]), np.uint8).reshape(len(at), -1), axis=1, count=length - gram + 1)
                     r, d = np.nonzero(mask)
                     lost.append(at[r] - d)
@@ -447,9 +443,9 @@ class SuffixFamily:
                     one, two, at = one[order], two[order], at[order]
                     new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
                     first = np.flatnonzero(new)
-                    mask, cut = np.zeros(len(first), np.bool_), ch.bucket_edges(one[first], 64, wide)
+                    mask, spans = np.zeros(len(first), np.bool_), ch.Spans(one[first], 64, wide)
                     for b, bits in far:
-                        mask[cut[b] : cut[b + 1]] = ch.unpack_bits(bits)
+                        mask[spans[b]] = ch.unpack_bits(bits)
                     lost.append(at[mask[np.cumsum(new) - 1]])
                 starts = np.unique(np.concatenate(lost))
             return without(chunk, starts, length)
