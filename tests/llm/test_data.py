@@ -164,6 +164,26 @@ def test_html_takes_time_in_proportion(page):
     assert out.count("a") >= (n if "td>a" in page or "=1000>a" in page else 0)
 
 
+def test_html_comments_end_at_the_first_of_both_ends():
+    assert html.extract_text("<p>one<!-- a --!>two</p><p>three</p>").split() == ["onetwo", "three"]
+    assert html.extract_text("<p>a<!-- x --!> y --> b<!-- > --><!-->c<!--->d<!-- -- ! > --!>e").split() == ["a", "y", "-->", "bcde"]
+
+
+@pytest.mark.parametrize("rule, tag", [(".x{display:block}", '<p class="x">w</p>'), (".x{display:none}.x{display:block}", '<p id=i{} class="x y">w</p>'), (".x.y{}{{color:red;display:block}}", '<p class="x y{}">w</p>')])
+def test_style_rules_that_many_elements_match_take_time_in_proportion(rule, tag):
+    n = 1_000_000 // (len(rule) + len(tag))
+    page = "<style>" + "".join(rule.replace("{}", str(k)).replace("{{", "{").replace("}}", "}") for k in range(n)) + "</style>" + "".join(tag.replace("{}", str(k)) for k in range(n))
+    began = time.process_time()
+    out = html.extract_text(page)
+    assert time.process_time() - began < 4 and out.split() == ["w"] * n
+
+
+def test_style_cascade():
+    sheet = "<style>.a{display:none}p.a{display:block}#i{visibility:hidden}.b.c{display:none!important}.c{display:block}.d{display:none;display:block}</style>"
+    body = '<p class=a>1</p><div class=a>2</div><p id=i>3</p><p class="b c" style="display:block">4</p><p class=c>5</p><p class=d>6</p><p class=d style="display:none">7</p><p class="c b" style="display:block!important">8</p>'
+    assert html.extract_text(sheet + body).split() == ["1", "5", "6", "8"]
+
+
 @pytest.mark.parametrize("start", ["<b><table><td>", "<ul><li><ul>", ""])
 def test_html_stray_ends_below_deep_stacks(start):
     began = time.process_time()
@@ -321,6 +341,17 @@ def test_mixing_keeps_clashing_columns(spark):
 # fingerprints
 
 
+def test_mixing_keeps_sources_of_null_ids_apart(spark):
+    """A third of the rows has no doc_id, texts of one size, and three sources: each source gives what its plan says, and no block holds them all."""
+    rows = [(None if k % 2 else k, f"w{k} one two three", "abc"[k % 3]) for k in range(1500)] + [(7, "same words twice over", s) for s in "abcabc"] + [(None, None, None), (None, "a b", None)]
+    docs = docs_frame(spark, rows)
+    planned = {r["source"]: r["n"] for r in mixing.plan(docs).groupBy("source").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    got = collections.Counter()
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["source"]] += len((r["text"] or "").split())
+    assert {s: n for s, n in planned.items() if n} == {s: n for s, n in got.items() if n}
+
+
 def test_fingerprints(spark):
     rng = random.Random(5)
     rows = [(i, prose(rng, rng.choice([1, 3, 40, 200])), "s") for i in range(0, 120, 3)] + [(500, None, "s"), (501, "", "s"), (502, " \n", "s"), (503, "same text here", "s"), (504, "same text here", "s"), (505, "🙂 é" * 50, "s")]
@@ -441,6 +472,25 @@ def test_quality(spark):
     assert kept.columns == clash.columns and {(r["quality"], r["carried"], r["id"], r["score"]) for r in kept.collect()} == {("q", 1, 2, 0.25)}
 
 
+def test_quality_takes_one_row_an_id(spark):
+    texts = [f"text {k} of one id" for k in range(60)]
+    rows = [(1, t, "s") for t in texts] + [(2, "other", "s"), (None, "x", "s")]
+    ids = spark.createDataFrame([(1, 1), (2, 0)], "id long, label long")
+    found = [quality.vectors(quality.columns_of(docs_frame(spark, rows[::step], parts)), ids) for step, parts in ((1, 1), (-1, 5))]
+    for ids_, label, place, views in found:
+        assert sorted(ids_) == [1, 2] and len(views["text"]) == 2
+    for v in quality.VIEWS:
+        assert np.array_equal(found[0][3][v], found[1][3][v])
+
+
+def test_router_samples_below_a_bound(spark):
+    rng = np.random.default_rng(0)
+    rows = [(7, [1.0, 2.0])] * 3000 + [(k, rng.normal(size=2).tolist()) for k in range(6000)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    router, parts, probes = ann.router_for(frame, len(rows), 10, 512)
+    assert router is not None and 2 <= parts <= 512 // ann.SAMPLE_ROWS
+
+
 def test_views_share_no_input():
     assert len(quality.content_features("some text\nhere")) == quality.TEXT and len(quality.metadata_features("en", "a", 5)) == quality.META
     assert (quality.metadata_features(None, None, None) == quality.metadata_features(None, None, float("nan"))).all()

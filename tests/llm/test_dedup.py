@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import setsketch, substrings, suffixes
+from lodestone.llm import chunks, setsketch, substrings, suffixes
 from tests.llm import reference
 
 SCHEMA = "doc_id long, text string, lang string, n_words long, score double"
@@ -181,11 +182,25 @@ def test_anchor_keys_fill_buckets_evenly():
 
     data = np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8)
     at, keys = suffixes.anchors(data, np.array([len(data)]), suffixes.LENGTH, suffixes.GRAM)
-    sizes = np.diff(ch.bucket_edges(np.sort(keys), 64, 8))
+    sizes = np.diff(ch.Spans(np.sort(keys), 64, 8).edges)
     assert len(keys) == len(at) > 5000 and sizes.sum() == len(keys)
     assert sizes.max() < 1.3 * len(keys) / 8 and sizes.min() > 0.7 * len(keys) / 8
 
 
+@pytest.mark.parametrize("bits, buckets", [(24, 8), (31, 77), (32, 1000), (40, 12345), (62, 1 << 30), (64, 3), (64, (1 << 31) - 1)])
+def test_spans_are_ranges_of_keys_whatever_the_number_of_buckets(bits, buckets):
+    rng = random.Random(bits)
+    edges = [((b << bits) // buckets) for b in (rng.randrange(buckets) for _ in range(40))]
+    some = {0, (1 << bits) - 1, *(rng.randrange(1 << bits) for _ in range(300)), *edges, *(max(e - 1, 0) for e in edges)}
+    keys = np.array(sorted(some), np.uint64)
+    spans = chunks.Spans(keys, bits, buckets)
+    assert [b for b, _ in spans] == sorted({max(b for b in (int(k) * buckets >> bits, (int(k) * buckets >> bits) + 1) if b < buckets and (b << bits) // buckets <= int(k)) for k in keys})
+    for b, s in spans:
+        assert all((b << bits) // buckets <= int(k) < ((b + 1) << bits) // buckets or b == buckets - 1 for k in keys[s]) and spans[b] == s
+    assert sum(s.stop - s.start for _, s in spans) == len(keys)
+    assert not len(list(chunks.Spans(keys[:0], bits, buckets))) and len(keys[spans[buckets + 5]]) == 0
+
+
 def test_merge_scan():
     import collections
 
