@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.base import query, read
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as fn
+from lodestone.plans import lexical
 
 TOK = "list_filter(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9&./-]*'), lambda x: length(x) > 2 AND NOT list_contains([" + ", ".join(f"'{x}'" for x in fn.STOP) + "], x))"
 
@@ -61,6 +62,23 @@ def _(spark, d):
     return questions(spark, d).select("doc_id", F.round(sc.lexical(F.lower("q"), F.col("source"), F.col("text")), 6).alias("score"))
 
 
+@query(
+    "lexical_topk",
+    f"""WITH p AS (SELECT item_id, text AS q, {TOK.format('text')} AS w, list_distinct(list_transform(regexp_extract_all(text, '\\b[A-Z][A-Z0-9&/-]{{1,7}}\\b'), lambda x: lower(x))) AS a FROM benchmark),
+    d AS (SELECT doc_id, {NORM.format("coalesce(source, '')")} AS head, {NORM.format("concat_ws(chr(10), source, text)")} AS hay FROM documents),
+    s AS (SELECT item_id, doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda t: {_HAS})) / greatest(len(w), 1)
+    + coalesce(list_sum(list_transform(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), lambda x: CASE WHEN contains(head, {NORM.format('x')}) THEN 1.3 WHEN contains(hay, {NORM.format('x')}) THEN 0.7 ELSE 0 END)), 0)
+    + 0.55 * len(list_filter(w, lambda t: length(t) >= 5 AND {_HAS}))
+    + coalesce(list_sum(list_transform(a, lambda x: CASE WHEN contains(head, {NORM.format('x')}) THEN 1.0 WHEN contains(hay, {NORM.format('x')}) THEN 0.5 ELSE 0 END)), 0) END, 6)::double AS score FROM p, d)
+    SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+)
+def _(spark, d):
+    """Every benchmark item's best ten of all documents, by an inverted index with block maxima."""
+    index = lexical.build(read(spark, d, "documents"), "doc_id", "source", "text")
+    found = lexical.Search(index, read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))).top()
+    return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
+
+
 @query(
     "rerank_blend",
     r"""SELECT doc_id, round(0.2 + 0.15 * n / greatest(len(w), 1) + 5.0 * n / greatest(len(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')), 1), 6)::double AS score FROM (SELECT *, len(list_filter(w, lambda x: contains(lower(text), x))) AS n FROM
