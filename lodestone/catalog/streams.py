@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
 from lodestone.sources import files
-from lodestone.streaming import rules
+from lodestone.streaming import rules, throttle
 
 
 @query(
@@ -15,8 +15,8 @@ from lodestone.streaming import rules
     UNION ALL SELECT e.user_id, arg_min(e.event_id, (e.ts, e.event_id)), min(e.ts) FROM a JOIN e ON e.user_id = a.user_id AND e.ts >= a.ts + INTERVAL 6 HOUR GROUP BY e.user_id) SELECT user_id, event_id FROM a""",
 )
 def _(spark, d):
-    """ST2."""
-    return rules.throttled_long(read(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600)
+    """ST2: users with very many events are spread over tasks."""
+    return throttle.throttled_any(read(spark, d, "events"), "user_id", "ts", "event_id", 6 * 3600)
 
 
 @query(
@@ -31,6 +31,18 @@ def _(spark, d):
     return rules.stable(polls, "path", "attempt", "size")
 
 
+@query(
+    "settled_files",
+    """WITH p AS (SELECT user_id AS path, event_id, ts, round(value)::bigint // 60 AS size FROM events), c AS (SELECT * FROM p QUALIFY size IS DISTINCT FROM lag(size) OVER (PARTITION BY path ORDER BY ts, event_id)),
+    n AS (SELECT path, size, epoch_us(ts) // 1000 + 3600000 AS passed_ms, lead(epoch_us(ts)) OVER (PARTITION BY path ORDER BY ts, event_id) AS next FROM c)
+    SELECT path, size, passed_ms FROM n WHERE size > 0 AND (next IS NULL OR passed_ms * 1000 <= next)""",
+)
+def _(spark, d):
+    """ST4: a size stands when it has not changed for an hour; the stream form lets a file pass by a timer."""
+    seen = read(spark, d, "events").select(F.col("user_id").alias("path"), "event_id", "ts", F.floor(F.round("value").cast("long") / 60).alias("size"))
+    return rules.settled(seen, "path", "ts", "event_id", "size", 3_600_000)
+
+
 @query(
     "live_log_admit",
     """SELECT event_id FROM (SELECT *, coalesce(last_value(CASE event_type WHEN 'signup' THEN true WHEN 'purchase' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) OR event_type = 'signup' AS o FROM events) WHERE o OR event_type = 'error'""",

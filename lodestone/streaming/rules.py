@@ -80,6 +80,16 @@ def stable(polls: DataFrame, path: str, attempt: str, size: str, repeats: int =
     return rows.where((F.col(size) > 0) & (F.col("_n") > repeats)).groupBy(path).agg(F.min(attempt).alias("stable_at"))
 
 
+def settled(events: DataFrame, path: str, time: str, event_id: str, size: str, quiet_ms: int) -> DataFrame:
+    """ST4: path, size, passed_ms: each size above zero that a file kept for ``quiet_ms`` milliseconds, and when it passed; the last size of a file is kept for ever."""
+    w = Window.partitionBy(path).orderBy(time, event_id)
+    first = F.row_number().over(w) == 1
+    changes = events.where(F.col(time).isNotNull()).withColumn("_new", first & F.col(size).isNotNull() | ~F.col(size).eqNullSafe(F.lag(size).over(w))).where("_new")
+    passed = F.unix_millis(F.col(time)) + quiet_ms
+    changes = changes.select(path, F.col(size).cast("long").alias("size"), passed.alias("passed_ms"), F.lead(F.unix_micros(F.col(time))).over(w).alias("_next"))
+    return changes.where((F.col("size") > 0) & (F.col("_next").isNull() | (F.col("passed_ms") * 1000 <= F.col("_next")))).drop("_next")
+
+
 def admitted(events: DataFrame, batch: str, time: str, event_id: str, opens: Column, closes: Column, always: Column) -> DataFrame:
     """ST8: an event is shown while its batch is open (from its opening to its closing event), or if it always is."""
     w = Window.partitionBy(batch).orderBy(time, event_id).rowsBetween(Window.unboundedPreceding, -1)

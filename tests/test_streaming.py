@@ -1,11 +1,13 @@
 """Streams give what the batch forms give; files go out and come back."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.sources import files
-from lodestone.streaming import rules
+from lodestone.streaming import rules, throttle
 
 DATA = "/root/testdata/sf0.001"
 
@@ -52,6 +54,23 @@ def test_throttle_long_null_keys_and_times(spark):
     assert sorted(map(str, rules.throttled_long(df, "u", "ts", "id", 2).collect())) == whole and "Row(u=None, id=2)" not in whole and len(whole) > 15_000
 
 
+@pytest.mark.parametrize("gap, cells", [(0.5, 7), (3.0, 40), (40.0, 13), (100_000.0, 9), (0.0, 3)])
+def test_throttle_of_a_hot_key_is_spread(spark, gap, cells):
+    """A third of all events is of one user; a chain that is cut by every cell is that of one pass over it."""
+    rng = random.Random(int(gap))
+    rows = [(5 if k % 3 == 0 else rng.choice([None, *range(40)]), k, rng.randrange(4000) / 4 if rng.random() < 0.99 else None) for k in range(9000)]
+    df = spark.createDataFrame(rows, "u long, id long, s double").withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long")))
+    want = sorted(map(str, rules.throttled_long(df, "u", "ts", "id", gap).collect()))
+    assert sorted(map(str, throttle.throttled_spread(df, "u", "ts", "id", gap, cells).collect())) == want
+    assert sorted(map(str, throttle.throttled_any(df, "u", "ts", "id", gap, 1000, cells).collect())) == want
+
+
+def test_throttle_of_text_keys_and_no_events(spark):
+    df = spark.createDataFrame([("a", k, k) for k in range(500)] + [("b", 1000, 3)], "u string, id long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    assert sorted(r.id for r in throttle.throttled_spread(df, "u", "ts", "id", 7, 6).collect()) == [*range(0, 500, 7), 1000]
+    assert throttle.throttled_spread(df.limit(0), "u", "ts", "id", 7, 6).count() == 0
+
+
 def test_tumbling(spark, tmp_path):
     df = events(spark)
     batch = sorted(map(tuple, rules.tumbling(df, "ts", "1 day", ["event_type"]).collect()))
