@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
 from lodestone.functions import text as fn
+from lodestone.sources import office
 
 STOP_SQL = "[" + ", ".join(f"'{x}'" for x in fn.STOP) + "]"
 
@@ -63,6 +64,15 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(fn.plain("html")).alias("text_md5"))
 
 
+@query("html_markdown")
+def _(spark, d):
+    """SC9: pages as markdown, with headings, lists and tables."""
+    pages = read(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    named = pages.withColumn("path", F.concat("path", F.lit(".html")))
+    found = office.office_markdown(named)
+    return found.select(F.regexp_extract("path", "^(.*).html$", 1).cast("long").alias("page_id"), "markdown", "error")
+
+
 @query("shorten_titles", r"SELECT item_id, CASE WHEN length(text) <= 40 THEN text WHEN regexp_extract(text[1:41], '(?s)^(.*)\s', 1) <> '' THEN regexp_extract(text[1:41], '(?s)^(.*)\s', 1) ELSE text[1:40] END AS title FROM benchmark")
 def _(spark, d):
     """X2, T5, L9."""
