@@ -2,43 +2,91 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lodestone.functions import markdown as md
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as fn
 from lodestone.operators import windows as op
 
-#: Rows of a stated set that are broadcast at once; more go block by block.
+#: Rows of a stated set that are broadcast; more go by a grid.
 BATCH = 1000
 
 
-def in_blocks(rows: DataFrame, key: str, size: int = BATCH) -> list[DataFrame]:
-    """The rows as blocks of about ``size`` by a hash of ``key``, each small enough to broadcast whatever the number of rows."""
-    blocks = max(1, -(-rows.count() // size))
-    return [rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+#: Vectors and questions that meet in a cell of the grid.
+SLICE, BLOCK = 32_768, 2048
 
 
-def knn(questions: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", keep: Column | None = None) -> DataFrame:
+def knn(questions: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", keep: Column | None = None, few: int = BATCH) -> DataFrame:
     """The ``k`` nearest by cosine of each question, over vectors that pass ``keep``; exact.
 
     questions: ``qid``, ``q_vector`` and, if there are targets, ``target`` (null: all); vectors: ``vid``, ``embedding`` and
-    ``filename`` where targets are used.  The questions are a stated set and go against all vectors in blocks of bounded size; every
-    task keeps its own best ``k`` a question before anything is shuffled.
+    ``filename`` where targets are used.  The questions are a stated set and go against all vectors: up to ``few`` are broadcast, more meet
+    slices of the vectors as the cells of a grid.  Every task keeps its own best ``k`` a question before anything is shuffled.
     """
-    rows = (vectors if keep is None else vectors.where(keep)).withColumn("_v_norm", sc.norm("embedding"))
+    rows = vectors if keep is None else vectors.where(keep)
+    if questions.limit(few + 1).count() > few:
+        return op.top_per_group(grid(questions, rows, k, qid, vid), [qid], [F.desc("vector_score"), F.asc(vid)], k)
     on = F.col("target").isNull() | (F.col("target") == F.col("filename")) if "target" in questions.columns else F.lit(True)
     sim = F.try_divide(sc.dot("q_vector", "embedding"), F.col("_q_norm") * F.col("_v_norm"))
-
-    def search(asked: DataFrame) -> DataFrame:
-        pairs = rows.join(F.broadcast(asked.withColumn("_q_norm", sc.norm("q_vector"))), on)
-        scored = pairs.select(*[c for c in questions.columns if c != "q_vector"], *[c for c in vectors.columns if c != "embedding"], F.greatest(F.lit(0.0), sim).alias("vector_score"))
-        return op.top_per_group(scored, [qid], [F.desc("vector_score"), F.asc(vid)], k)
-
-    return reduce(DataFrame.unionByName, map(search, in_blocks(questions, qid)))
+    pairs = rows.withColumn("_v_norm", sc.norm("embedding")).join(F.broadcast(questions.withColumn("_q_norm", sc.norm("q_vector"))), on)
+    scored = pairs.select(*[c for c in questions.columns if c != "q_vector"], *[c for c in vectors.columns if c != "embedding"], F.greatest(F.lit(0.0), sim).alias("vector_score"))
+    return op.top_per_group(scored, [qid], [F.desc("vector_score"), F.asc(vid)], k)
+
+
+def grid(questions: DataFrame, vectors: DataFrame, k: int, qid: str, vid: str, slice_: int = SLICE, block: int = BLOCK) -> DataFrame:
+    """The nearest of each question in each slice of the vectors, one cell a task: a product of matrices finds those that may be, their scores are then computed one by one."""
+    cuts, turns = max(1, -(-vectors.count() // slice_)), max(1, -(-questions.count() // block))
+    left, right = [c for c in questions.columns if c != "q_vector"], [c for c in vectors.columns if c != "embedding"]
+    schema = StructType([*(questions.schema[c] for c in left), *(vectors.schema[c] for c in right), StructField("vector_score", DoubleType())])
+
+    def matrix(given: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """A row each and its norm; what has no such vector is zero, and so scores zero."""
+        x = np.zeros((len(given), dim))
+        for i, one in enumerate(given):
+            if one is not None and len(one) == dim and None not in one:
+                x[i] = one
+        return x, np.sqrt((x * x).sum(1))
+
+    def nearest(asked: pa.Table, some: pa.Table) -> pa.Table:
+        at_q: list[int] = []
+        at_v: list[np.ndarray] = []
+        score: list[np.ndarray] = []
+        wanted, given = asked.column("q_vector").to_pylist(), some.column("embedding").to_pylist()
+        ids = some.column(vid).to_numpy()
+        names = np.array(some.column("filename").to_pylist(), object) if "target" in left else None
+        targets = asked.column("target").to_pylist() if "target" in left else [None] * len(asked)
+        dims = [0 if x is None else len(x) for x in wanted]
+        for dim in sorted(set(dims)) if len(some) else []:
+            v, norm_v = matrix(given, dim)
+            own = [i for i, d in enumerate(dims) if d == dim]
+            for part in (own[n : n + 64] for n in range(0, len(own), 64)):
+                q, norm_q = matrix([wanted[i] for i in part], dim)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    rough = np.maximum(0.0, np.nan_to_num((q @ v.T) / (norm_q[:, None] * norm_v)))
+                for i, one, norm, line in zip(part, q, norm_q, rough):
+                    if targets[i] is not None:
+                        line = np.where(names == targets[i], line, -1.0)
+                    few = np.flatnonzero(line >= np.partition(line, len(line) - k)[len(line) - k] - 1e-9) if len(line) > k else np.arange(len(line))
+                    few = few[line[few] >= 0]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        exact = np.maximum(0.0, np.nan_to_num((one * v[few]).sum(1) / (norm * norm_v[few])))
+                    order = np.lexsort((ids[few], -exact))[:k]
+                    at_q += [i] * len(order)
+                    at_v.append(few[order])
+                    score.append(exact[order])
+        found, high = (np.concatenate(x) if x else np.zeros(0) for x in (at_v, score))
+        ours, theirs = asked.select(left).take(pa.array(at_q, pa.int64())), some.select(right).take(pa.array(found.astype(np.int64)))
+        return pa.table([*ours.columns, *theirs.columns, pa.array(high, pa.float64())], names=[*left, *right, "vector_score"])
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = questions.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(turns)).cast("int")).withColumn("_slice", every(cuts))
+    some = vectors.withColumn("_slice", F.pmod(F.xxhash64(vid), F.lit(cuts)).cast("int")).withColumn("_block", every(turns))
+    return asked.groupBy("_block", "_slice").cogroup(some.groupBy("_block", "_slice")).applyInArrow(nearest, schema)
 
 
 def merge_best(candidates: DataFrame, text: str = "text") -> DataFrame:

@@ -2,28 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lodestone.functions import text as fn
 
 #: Names up to which they are broadcast and held against every question; more are joined by equal pieces of text.
 FEW = 1000
+#: Needles of an automaton, their characters on average at most, and texts that meet several of them in a task.
+SHARD, SHARD_CHARS, TEXTS = 50_000, 200, 20_000
 
 
-def contained(rows: DataFrame, hay: str, needles: DataFrame, needle: str) -> DataFrame:
+def contained(rows: DataFrame, hay: str, needles: DataFrame, needle: str, shard: int = SHARD, texts: int = TEXTS) -> DataFrame:
     """The rows with each needle that is in their ``hay``, and ``before``, the character ahead of it, if there is one; a row a place.
 
-    An equi-join on all pieces of a text that are as long as some needle.  The lengths of needles come to the driver: no more than the
-    longest needle has characters.  Empty needles are in nothing.
+    Needles are dealt by hash into shards, of each of which a task makes an automaton (Aho-Corasick) that finds all its needles in one pass over
+    a text; rows come out for hits only.  A single shard goes to every task as it is; several meet slices of ``texts`` rows as the cells of a
+    grid, so a text is read once a shard and no task has more than a shard and a slice.  Empty needles are in nothing, nothing is in a null hay.
     """
     needles = needles.where(F.length(needle) > 0)
-    sizes = sorted(r[0] for r in needles.select(F.length(needle)).distinct().collect())
-    sized = rows.withColumn("_size", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>"))).where(F.length(hay) >= F.col("_size"))
-    placed = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(hay) - F.col("_size") + 1)))
-    before = F.when(F.col("_at") > 1, F.substring(hay, F.col("_at") - 1, 1))
-    pieces = placed.select(*(c for c in rows.columns if c != hay), before.alias("before"), F.substring(hay, F.col("_at"), F.col("_size")).alias(needle))
-    return pieces.join(needles, needle).drop(needle)
+    n, chars = needles.agg(F.count("*"), F.coalesce(F.sum(F.length(needle)), F.lit(0))).first()
+    rows = rows.where(F.col(hay).isNotNull())
+    shards = max(1, -(-n // shard), -(-chars // (shard * SHARD_CHARS)))
+    left, right = [c for c in rows.columns if c != hay], [c for c in needles.columns if c != needle]
+    schema = StructType([*(rows.schema[c] for c in left), StructField("before", StringType()), *(needles.schema[c] for c in right)])
+
+    def scan(some: pa.Table, known: pa.Table, automaton: ahocorasick.Automaton) -> pa.Table:
+        at, found, before = [], [], []
+        for k, text in enumerate(some.column(hay).to_pylist()):
+            for end, (size, numbers) in automaton.iter(text):
+                start = end + 1 - size
+                for number in numbers:
+                    at.append(k)
+                    found.append(number)
+                    before.append(text[start - 1] if start else None)
+        ours, theirs = some.select(left).take(pa.array(at, pa.int64())), known.select(right).take(pa.array(found, pa.int64()))
+        return pa.table([*ours.columns, pa.array(before, pa.string()), *theirs.columns], names=[*left, "before", *right])
+
+    def automaton(known: pa.Table) -> ahocorasick.Automaton:
+        numbers: dict[str, list[int]] = {}
+        for k, name in enumerate(known.column(needle).to_pylist()):
+            numbers.setdefault(name, []).append(k)
+        made = ahocorasick.Automaton()
+        for name, of in numbers.items():
+            made.add_word(name, (len(name), of))
+        made.make_automaton()
+        return made
+
+    if shards == 1:
+        known = needles.toArrow()  # at most a shard
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made = automaton(known) if len(known) else None
+            for batch in batches:
+                if made is not None:
+                    yield from scan(pa.Table.from_batches([batch]), known, made).to_batches()
+
+        return rows.mapInArrow(whole, schema)
+
+    def cell(some: pa.Table, known: pa.Table) -> pa.Table:
+        if not len(some) or not len(known):
+            return scan(some.slice(0, 0), known.slice(0, 0), ahocorasick.Automaton())
+        return scan(some, known, automaton(known))
+
+    slices = max(1, -(-rows.count() // texts))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = rows.withColumn("_slice", F.pmod(F.xxhash64(hay), F.lit(slices)).cast("int")).withColumn("_shard", every(shards))
+    kept = needles.withColumn("_shard", F.pmod(F.xxhash64(needle), F.lit(shards)).cast("int")).withColumn("_slice", every(slices))
+    return dealt.groupBy("_shard", "_slice").cogroup(kept.groupBy("_shard", "_slice")).applyInArrow(cell, schema)
 
 
 def mentions(questions: DataFrame, files: DataFrame, few: int = FEW) -> DataFrame:

@@ -108,13 +108,35 @@ def test_knn(spark):
     v = spark.createDataFrame([("apples", [0.1, 0.2, 0.3]), ("oranges", [0.9, 0.8, 0.3]), ("none", [0.0, 0.0, 0.0])], "vec_id string, embedding array<double>")
     q = spark.createDataFrame([(1, [0.1, 0.2, 0.35])], "qid int, q_vector array<double>")
     assert [r.vec_id for r in retrieval.knn(q, v, 1).collect()] == ["apples"]
-    old, retrieval.BATCH = retrieval.BATCH, 1
-    try:
-        many = spark.createDataFrame([(k, [0.1, 0.2, 0.35]) for k in range(5)], "qid int, q_vector array<double>")
-        parts = retrieval.in_blocks(many, "qid", 2)
-        assert len(parts) == 3 and sum(p.count() for p in parts) == 5
-    finally:
-        retrieval.BATCH = old
+
+
+def test_knn_by_a_grid_is_that_by_broadcast(spark, monkeypatch):
+    """10,000 questions in one plan without a branch a block; ties, zero, null and short vectors, targets."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(150, 6)).round(1).tolist()
+    rows = [(k, data[k % 120], "ab"[k % 2]) for k in range(150)] + [(150, [0.0] * 6, "a"), (151, None, "b"), (152, [1.0, None, 0.0, 0.0, 0.0, 0.0], "a"), (153, [1.0] * 4, "b")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, filename string")
+    asked = spark.createDataFrame([(k, data[k % 120] if k % 50 else [0.0] * 6, [None, "a", "b"][k % 3], k * 2) for k in range(300)], "qid long, q_vector array<double>, target string, extra long")
+    monkeypatch.setattr(retrieval.grid, "__defaults__", (40, 70))
+    few, many = (sorted((*map(str, (r.qid, r.vec_id, r.rank, r.extra, r.filename)), round(r.vector_score, 9)) for r in retrieval.knn(asked, vectors, 7, few=n).collect()) for n in (1000, 0))
+    assert few == many and len(few) == 7 * 300
+    monkeypatch.undo()
+    lots = spark.range(10_000).select(F.col("id").alias("qid"), F.array(*(F.cos(F.col("id") * k) for k in range(6))).alias("q_vector"))
+    found = retrieval.knn(lots, vectors.drop("filename"), 2)
+    assert found.count() == 20_000 and found._jdf.queryExecution().logical().toString().count("Union") == 0
+
+
+def test_hundred_thousand_names(spark):
+    """Rows come out for hits only, from one automaton or several shards of names, with the character before each place."""
+    names = spark.range(100_000).select(F.concat(F.lit("file"), F.col("id").cast("string"), F.lit(".md")).alias("name"), F.col("id").alias("n"))
+    said = [(k, f"see @file{k}.md, file{k + 1}.md and xfile{k}.mdx, file.md") for k in range(0, 2000, 20)] + [(-1, ""), (-2, None), (-3, "file5.md")]
+    texts = spark.createDataFrame(said, "k long, t string")
+    want = sorted([(k, "@", k) for k in range(0, 2000, 20)] + [(k, " ", k + 1) for k in range(0, 2000, 20)] + [(k, "x", k) for k in range(0, 2000, 20)] + [(-3, None, 5)], key=str)
+    for shard in (200_000, 30_000):
+        found = understanding.contained(texts, "t", names, "name", shard, 40)
+        assert found.columns == ["k", "before", "n"] and sorted(map(tuple, found.collect()), key=str) == want
 
 
 def test_stitch(spark):
