@@ -113,7 +113,7 @@ def _(spark, d):
 @query("qa_pairs", "SELECT doc_id, pair_index, q AS question, CASE WHEN pair_index = 1 THEN 'z' || chr(10) || '# ' || lang ELSE a END AS answer FROM (SELECT doc_id, lang, unnest([1, 2, 3, 4]) AS pair_index, unnest(['zero', 'one', 'two', 'three']) AS q, unnest(['', source || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '### deep' ELSE '## mid' END, 'two' || chr(10) || 'and more' || chr(10) || '# ' || source, 'three']) AS a FROM documents WHERE doc_id % 4 = 1)")
 def _(spark, d):
     """Pairs of four layouts; answers go on to the next question."""
-    return md.qa_pairs(of_kinds(spark, d).where("doc_id % 4 = 1"), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "question", "answer")
+    return md.qa_pairs(of_kinds(spark, d).where(plan.route("md") == "qna"), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "question", "answer")
 
 
 @query("qna_documents", "SELECT doc_id, coalesce(doc_id % 4 = 1, false) AS qna FROM documents")
@@ -174,29 +174,31 @@ def _(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n"), lambda x: F.contains(F.lower(x), F.lit("license")))).cast("long").alias("n")).where("n > 0")
 
 
-@query(
-    "chunk_routes",
-    rf"""WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, list_transform(string_split({KINDS_SQL}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM documents)),
+ROUTES_SQL = rf"""WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, list_transform(string_split({KINDS_SQL}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM documents)),
     t AS (SELECT *, no - row_number() OVER (PARTITION BY doc_id, line LIKE '|%' ORDER BY no) AS island FROM l),
     u AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line LIKE '|%', island) AS run FROM t),
     s AS (SELECT doc_id, count(*) FILTER (WHERE line LIKE '|%' AND run > 1 AND NOT regexp_matches(line, '^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$')) AS n_rows, count(*) FILTER (WHERE line LIKE '|%') / greatest(count(*) FILTER (WHERE line <> ''), 1) AS ratio, count(*) FILTER (WHERE line LIKE '#%') AS headings FROM u GROUP BY doc_id)
-    SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'qna' WHEN n_rows >= 2 AND ratio >= 0.45 AND headings <= 8 THEN 'table_rows' ELSE 'body' END AS route FROM s""",
-)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN 'qna' WHEN n_rows >= 2 AND ratio >= 0.45 AND headings <= 8 THEN 'table_rows' ELSE 'body' END AS route FROM s"""
+
+
+@query("chunk_routes", ROUTES_SQL)
 def _(spark, d):
     """T18, T2."""
     return of_kinds(spark, d).select("doc_id", plan.route("md").alias("route"))
 
 
+#: Rows of the documents that are mostly a table: all of the first kind, and short texts with a small table.
 _ROWS = "SELECT doc_id, source, 1 AS table_index, row_index, cells[1] AS a, cells[2] AS b FROM (SELECT doc_id, source, unnest([[ 'item', 'lang'], [source, lang], [doc_id % 90 || ' Casual Leave', n_chars::varchar]]) AS cells, unnest([1, 2, 3]) AS row_index FROM documents WHERE doc_id % 4 = 0)"
+_SMALL = f"SELECT doc_id, source, 1 AS table_index, unnest([1, 2]) AS row_index, unnest(['a', '1']) AS a, unnest(['b', '2']) AS b FROM documents JOIN ({ROUTES_SQL}) USING (doc_id) WHERE doc_id % 4 = 2 AND route = 'table_rows'"
 
 
 @query(
     "table_row_chunks",
-    f"SELECT doc_id, table_index, row_index, '[Doc: ' || source || ' | Section: Table 1 > ' || title || ' | Table Row: ' || row_index || ']' || chr(10) || '# ' || title || chr(10) || 'Column 1: ' || a || chr(10) || 'Column 2: ' || b AS text FROM (SELECT *, CASE WHEN row_index = 3 THEN doc_id % 90 || '. Casual Leave' ELSE a || ' ' || b END AS title FROM ({_ROWS}))",
+    f"SELECT doc_id, table_index, row_index, '[Doc: ' || source || ' | Section: Table 1 > ' || title || ' | Table Row: ' || row_index || ']' || chr(10) || '# ' || title || chr(10) || 'Column 1: ' || a || chr(10) || 'Column 2: ' || b AS text FROM (SELECT *, CASE WHEN row_index = 3 THEN doc_id % 90 || '. Casual Leave' ELSE a || ' ' || b END AS title FROM ({_ROWS} UNION ALL {_SMALL}))",
 )
 def _(spark, d):
     """Documents that are mostly a table."""
-    docs = of_kinds(spark, d).where("doc_id % 4 = 0")
+    docs = of_kinds(spark, d).where(plan.route("md") == "table_rows")
     return plan.row_chunks(docs, "doc_id", "md", "source").select("doc_id", "table_index", "row_index", "text")
 
 
@@ -206,13 +208,13 @@ _PAIRS = "SELECT doc_id, source, unnest([1, 2, 3, 4]) AS pair_index, unnest(['Ro
 @query("question_sections", f"SELECT doc_id, pair_index, section_path FROM ({_PAIRS})")
 def _(spark, d):
     """The headings before the question's line."""
-    return plan.pair_sections(of_kinds(spark, d).where("doc_id % 4 = 1"), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "section_path")
+    return plan.pair_sections(of_kinds(spark, d).where(plan.route("md") == "qna"), "doc_id", "md").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "section_path")
 
 
 @query("qna_chunks", f"SELECT doc_id, pair_index, '[Doc: ' || source || ' | Section: ' || section_path || ' | Q&A: q' || pair_index || ' | Part 1/1]' || chr(10) || 'Q: ' || q || chr(10) || chr(10) || 'A: ' || CASE WHEN pair_index = 1 THEN 'z' || chr(10) || '# ' || (SELECT lang FROM documents x WHERE x.doc_id = p.doc_id) ELSE a END AS text FROM ({_PAIRS}) p")
 def _(spark, d):
     """T13."""
-    return plan.qna_chunks(of_kinds(spark, d).where("doc_id % 4 = 1"), "doc_id", "md", "source").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "text")
+    return plan.qna_chunks(of_kinds(spark, d).where(plan.route("md") == "qna"), "doc_id", "md", "source").select("doc_id", F.col("pair_index").cast("int").alias("pair_index"), "text")
 
 
 #: Numbered rows over two pages, and a described figure.

@@ -243,11 +243,12 @@ def _(spark, d):
     return admin.unionByName(legacy, allowMissingColumns=True).orderBy(F.coalesce("amount", F.lit(0)).desc(), F.desc("name"), "id").limit(40)
 
 
-@query("zip_positions", "SELECT vec_id, unnest(range(1, 5)) AS position, unnest(embedding[1:4])::double AS value FROM embeddings")
+@query("zip_positions", "SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS position, unnest(embedding)::double AS value FROM embeddings")
 def _(spark, d):
     """Parallel arrays by position."""
-    part = F.slice("embedding", 1, 4)
-    return read(spark, d, "embeddings").select("vec_id", F.inline(F.arrays_zip(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long")).alias("position"), F.transform(part, lambda x: x.cast("double")).alias("value"))))
+    places = F.sequence(F.lit(1).cast("long"), F.size("embedding").cast("long"))
+    values = F.transform("embedding", lambda x: x.cast("double"))
+    return read(spark, d, "embeddings").where(F.size("embedding") > 0).select("vec_id", F.inline(F.arrays_zip(places.alias("position"), values.alias("value"))))
 
 
 @query("list_capped", "SELECT *, count(*) OVER () AS total FROM (SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 200)")

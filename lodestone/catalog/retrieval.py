@@ -41,13 +41,13 @@ def _(spark, d):
 
 @query(
     "hybrid_topk",
-    f"""WITH q AS (SELECT e.vec_id AS qid, e.embedding, list_sort(list_distinct(list_filter({TOK.format('d.text')}, lambda x: length(x) > 2)))[1:8] AS toks FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 0),
+    f"""WITH q AS (SELECT e.vec_id AS qid, e.embedding, list_distinct(list_filter({TOK.format('d.text')}, lambda x: length(x) > 2)) AS toks FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 50 = 0),
     cand AS (SELECT q.qid, v.vec_id, d.source, d.text, q.toks, greatest(0, {SIM}) AS sim FROM q, embeddings v JOIN documents d ON d.doc_id = v.vec_id WHERE length(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g')) >= 40),
     near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, vec_id) AS n FROM cand) WHERE n <= 40),
     sc AS (SELECT *, round(sim + 0.45 * len(list_filter(toks, lambda t: contains(lower(text), t))) / greatest(len(toks), 1), 6) AS score FROM near),
     dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, source, text[1:160] ORDER BY score DESC, sim DESC, vec_id) AS m FROM sc) WHERE m = 1),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rk FROM dd)
-    SELECT qid, vec_id, score, rk AS rank, '[Source: ' || source || ' | Section: Root]' || chr(10) || text[1:80] AS passage FROM r WHERE rk <= 5""",
+    SELECT qid, vec_id, score, rk AS rank, '[Source: ' || source || ' | Section: Root]' || chr(10) || text AS passage FROM r WHERE rk <= 5""",
 )
 def hybrid_topk(spark, d):
     """Flagship: nearest vectors, noise filter, hybrid score, dedupe, top five, envelope.
@@ -56,14 +56,14 @@ def hybrid_topk(spark, d):
     """
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text", "source")
     vectors = read(spark, d, "embeddings").select("vec_id", "embedding")
-    words = F.slice(F.array_sort(F.array_distinct(fn.tokens("text", 2))), 1, 8)
+    words = F.array_distinct(fn.tokens("text", 2))
     asked = vectors.where("vec_id % 50 = 0").join(docs, "vec_id").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q_vector"), words.alias("words"))
     corpus = vectors.join(docs.where(F.length(fn.strip("text")) >= 40).select("vec_id"), "vec_id")
     near = plan.knn(asked.select("qid", "q_vector"), corpus, 40).drop("rank").join(docs, "vec_id").join(asked.select("qid", "words"), "qid")
     scored = near.withColumn("score", F.round(F.col("vector_score") + 0.45 * sc.share_contained(F.col("words"), F.lower("text")), 6))
     best = op.keep_best(scored.withColumn("_head", F.substring("text", 1, 160)), ["qid", "source", "_head"], ["score", "vector_score"], "vec_id")
     top = op.top_per_group(best, ["qid"], [F.desc("score"), F.asc("vec_id")], 5)
-    return top.select("qid", "vec_id", "score", "rank", fn.envelope(F.col("source"), F.lit(None).cast("string"), F.substring("text", 1, 80)).alias("passage"))
+    return top.select("qid", "vec_id", "score", "rank", fn.envelope(F.col("source"), F.lit(None).cast("string"), F.col("text")).alias("passage"))
 
 
 @query(

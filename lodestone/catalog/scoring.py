@@ -20,7 +20,7 @@ def questions(spark, d):
 
 
 PAIRS_SQL = "(SELECT doc_id, d.text, lang, source, item_id, b.text AS q FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
-NORM = "(' ' || regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g') || ' ')"
+NORM = "(' ' || trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g')) || ' ')"
 
 
 @query("query_coverage", f"SELECT doc_id, round(len(list_filter(t, lambda x: contains(lower(text), x))) / greatest(len(t), 1), 6) AS coverage FROM (SELECT *, list_filter({TOK.format('q')}, lambda x: length(x) >= 5) AS t FROM {PAIRS_SQL})")
@@ -47,7 +47,7 @@ def _(spark, d):
 
 
 _FORM = "CASE WHEN ends_with(t, 'ies') AND length(t) > 4 THEN t[1:length(t) - 3] || 'y' WHEN ends_with(t, 's') AND length(t) > 4 THEN t[1:length(t) - 1] ELSE t END"
-_HAS = f"(contains(hay, ' ' || regexp_replace(t, '[^a-z0-9]+', ' ', 'g') || ' ') OR contains(hay, ' ' || regexp_replace({_FORM}, '[^a-z0-9]+', ' ', 'g') || ' '))"
+_HAS = f"(contains(hay, ' ' || trim(regexp_replace(t, '[^a-z0-9]+', ' ', 'g')) || ' ') OR contains(hay, ' ' || trim(regexp_replace({_FORM}, '[^a-z0-9]+', ' ', 'g')) || ' '))"
 
 
 @query(
@@ -127,9 +127,9 @@ def _(spark, d):
     return read(spark, d, "pages").where(F.lower("url").rlike("e.*x.*c.*m")).select("page_id")
 
 
-@query("clamped_caps", "SELECT k, least(12, greatest(k * 2, k + 4)) AS per_query_targeted, least(18, greatest(k * 3, k + 4)) AS per_query_global, least(36, least(12, greatest(k * 2, k + 4)) * 3) AS pool FROM range(1, 12) r(k)")
+@query("clamped_caps", "SELECT conv_id, turn, role, least(12, greatest(k * 2, k + 4)) AS per_query_targeted, least(18, greatest(k * 3, k + 4)) AS per_query_global, least(36, least(12, greatest(k * 2, k + 4)) * 3) AS pool FROM (SELECT *, turn + 1 AS k FROM conversations)")
 def _(spark, d):
-    """Caps on what a question may fetch."""
-    k = F.col("k")
+    """Caps on what each message may fetch, if it asks for as many as it has turns behind it and one."""
+    k = F.col("turn") + 1
     targeted, everything = F.least(F.lit(12), F.greatest(k * 2, k + 4)), F.least(F.lit(18), F.greatest(k * 3, k + 4))
-    return spark.range(1, 12).select(F.col("id").alias("k")).select("k", targeted.alias("per_query_targeted"), everything.alias("per_query_global"), F.least(F.lit(36), targeted * 3).alias("pool"))
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", targeted.alias("per_query_targeted"), everything.alias("per_query_global"), F.least(F.lit(36), targeted * 3).alias("pool"))

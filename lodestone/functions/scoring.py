@@ -64,13 +64,13 @@ def forms(word: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    """Letters and digits with single spaces about them, so that whole words are substrings."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" "))
+    """Letters and digits with single spaces about them, so that whole words are substrings; a word with a full stop is the word."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
 
 
 def padded_forms(word: Column) -> Column:
     """S3: a word and its variants, padded as in ``normal``."""
-    return F.transform(forms(word), lambda f: F.concat(F.lit(" "), F.regexp_replace(f, "[^a-z0-9]+", " "), F.lit(" ")))
+    return F.transform(forms(word), lambda f: F.concat(F.lit(" "), F.trim(F.regexp_replace(f, "[^a-z0-9]+", " ")), F.lit(" ")))
 
 
 def lexical(question: Column, title: Column, body: Column) -> Column:

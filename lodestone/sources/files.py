@@ -73,8 +73,8 @@ def artifact_runs(spark: SparkSession, path: str, extensions: Sequence[str], lim
     return runs.limit(limit) if limit else runs
 
 
-def layout_pages(blocks: DataFrame, key: str, page: str, x: str, y: str, order: str, text: str) -> DataFrame:
-    """SC10: the blocks of a page from top to bottom, then left to right, as a paragraph each under the page's anchor and heading; pages in order.
+def layout_page_rows(blocks: DataFrame, key: str, page: str, x: str, y: str, order: str, text: str) -> DataFrame:
+    """SC10: a row a page: its blocks from top to bottom, then left to right, as a paragraph each under the page's anchor and heading.
 
     Places are compared to a tenth, and blocks at one place stay in ``order``. Blank blocks are left out, and so are pages without any other.
     """
@@ -84,8 +84,13 @@ def layout_pages(blocks: DataFrame, key: str, page: str, x: str, y: str, order:
     pages = blocks.where(body != "").groupBy(key, page).agg(parts.alias("_parts"))
     number = F.col(page).cast("string")
     head = F.array(F.concat(F.lit("<!-- page:"), number, F.lit(" -->")), F.concat(F.lit("## Page "), number))
-    pages = pages.select(key, page, F.array_join(F.concat(head, "_parts"), "\n\n").alias("_page"))
-    return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "_page"))), lambda p: p["_page"]), "\n\n").alias("markdown"))
+    return pages.select(key, page, F.array_join(F.concat(head, "_parts"), "\n\n").alias("markdown"))
+
+
+def layout_pages(blocks: DataFrame, key: str, page: str, x: str, y: str, order: str, text: str) -> DataFrame:
+    """SC10: the pages of a document, in order, as one text: for keys that are documents, whose pages fit in a row."""
+    pages = layout_page_rows(blocks, key, page, x, y, order, text)
+    return pages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "markdown"))), lambda p: p["markdown"]), "\n\n").alias("markdown"))
 
 
 def pages_to_markdown(pages: DataFrame, order: Sequence[str], text: str, key: str) -> DataFrame:

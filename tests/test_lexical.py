@@ -16,7 +16,7 @@ def fixture():
     texts = [" ".join(rng.choice(words[: rng.choice([10, 40, 68])]) for _ in range(rng.randrange(1, 90))) for _ in range(700)]
     docs = [(k, rng.choice(["term1 handbook", "R&D policies", "notes", "", None]), t) for k, t in enumerate(texts)] + [(900, None, None), (901, "term3", None), (902, "only", ""), (None, "notes", "term7 term8 eligible")]
     docs += [(1000 + k, "notes", "term7 term8 eligible") for k in range(30)]  # more ties than are asked for
-    asked = ["term7 term8 eligibility", "policy a/b x.y.z R&D term12 term13", "the of and", "", None, "term1 handbook SAP", "unheard words only", "x.y.z", " ".join(f"term{k}" for k in range(60)), "term3 term3 term3"]
+    asked = ["term7 term8 eligibility", "policy a/b x.y.z R&D term12 term13", "the of and", "", None, "term1 handbook SAP", "unheard words only", "x.y.z", "Term7. term8! eligible.", " ".join(f"term{k}" for k in range(60)), "term3 term3 term3"]
     return docs, list(enumerate(asked))
 
 
