@@ -9,6 +9,7 @@ from lodestone.functions import markdown as md
 from lodestone.functions import models
 from lodestone.operators import windows as op
 from lodestone.plans import chunking as plan
+from lodestone.plans import sections
 
 #: The corpus has no markdown, so documents are given some, the same way in both engines.
 MD_SQL = "'# ' || lang || chr(10) || 'intro ' || doc_id || chr(10) || '### ' || source || chr(10) || '| k | v |' || chr(10) || '|---|---|' || chr(10) || '| ' || source || ' | ' || n_chars || ' |' || chr(10) || '### deep' || chr(10) || text || chr(10) || '## end' || chr(10) || 'Q1: what is ' || lang || chr(10) || 'A: it is' || chr(10) || source || chr(10) || 'Q2: none' || chr(10) || '1. a' || chr(10) || '2. b'"
@@ -88,6 +89,33 @@ def _(spark, d):
     return linked.select("doc_id", "section_path", "chunk_index", "prev_index", "next_index", "fragment_index", "total_fragments", label.alias("text"))
 
 
+@query("section_fragments")
+def _(spark, d):
+    """Sections in fragments of 1500 characters with whole tables, that begin with the last sentences of the one before."""
+    return sections.fragment_rows(md.section_rows(marked(spark, d), "doc_id", "md").select("doc_id", "section", "section_path", "text"), "text")
+
+
+@query("heading_batches")
+def _(spark, d):
+    """Batches of 4000 characters that begin at headings and share 300, and the text that they give put together again."""
+    cut = marked(spark, d).where("md IS NOT NULL").select("doc_id", sections.heading_batches(F.col("md"), 4000, 300).alias("batches"))
+    return cut.select("doc_id", F.size("batches").alias("n"), F.md5(F.array_join("batches", "\f")).alias("batches_md5"), F.md5(sections.batches_joined(F.col("batches"), 300)).alias("whole_md5"))
+
+
+@query("kind_chunks")
+def _(spark, d):
+    """Blocks of documents of four kinds, packed whole."""
+    return sections.kind_chunks(of_kinds(spark, d).where("doc_id IS NOT NULL"), "doc_id", "md", "source")
+
+
+@query("chunk_markdown_sql", "SELECT doc_id, count(*) AS headings FROM " + LINES + " WHERE regexp_matches(line, '^#{1,6}[ \t]+[^ \t]') GROUP BY doc_id")
+def _(spark, d):
+    """T16 from SQL: a lateral join with the table function; of its rows the sections under a heading."""
+    sections.register(spark)
+    marked(spark, d).createOrReplaceTempView("marked_documents")
+    return spark.sql("SELECT doc_id, count(DISTINCT c.section) FILTER (WHERE c.section_path <> 'Root') AS headings FROM marked_documents m, LATERAL chunk_markdown(m.md, 1500, 200) c GROUP BY doc_id")
+
+
 #: X15 worked out from lines, for the text of a column ``m``.
 DIAGNOSIS_SQL = r"""WITH m AS (SELECT doc_id, MARKDOWN AS m FROM documents), l AS (SELECT doc_id, unnest(l) AS line, unnest(range(0, len(l))) AS no FROM (SELECT doc_id, list_transform(string_split(m, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS l FROM m)),
     p AS (SELECT *, line LIKE '|%' AS pipe, list_transform(regexp_split_to_array(trim(line, '|'), '\|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS cells FROM l),
