@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.catalog.base import query, read
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as fn
+from lodestone.operators import scans
 from lodestone.operators import windows as op
 from lodestone.plans import retrieval as plan
 from lodestone.plans import understanding as know
@@ -81,7 +82,7 @@ def _(spark, d):
 @query("intro_lookup", "SELECT l.label AS target, v.vec_id, v.i AS chunk_index, 0.35::double AS score FROM (SELECT DISTINCT label FROM embeddings) l JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings) v ON v.label = l.label AND v.i < 2")
 def _(spark, d):
     """J9."""
-    chunks = op.link_indices(read(spark, d, "embeddings").select("vec_id", F.col("label").alias("filename")), ["filename"], ["vec_id"]).select("vec_id", "filename", "chunk_index")
+    chunks = scans.link_indices(read(spark, d, "embeddings").select("vec_id", F.col("label").alias("filename")), ["filename"], ["vec_id"]).select("vec_id", "filename", "chunk_index")
     targets = chunks.select(F.col("filename").alias("target")).distinct()
     return plan.intro_rows(targets, chunks).select("target", "vec_id", "chunk_index", "score")
 
@@ -89,7 +90,7 @@ def _(spark, d):
 @query("stitch_adjacent")
 def _(spark, d):
     """Whole texts of each source, with a gap after every third."""
-    chunks = op.link_indices(read(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), "text"), ["filename"], ["doc_id"])
+    chunks = scans.link_indices(read(spark, d, "documents").select("doc_id", F.col("source").alias("filename"), "text"), ["filename"], ["doc_id"])
     gaps = chunks.withColumns({"chunk_index": F.col("chunk_index") + F.floor(F.col("chunk_index") / 3).cast("int"), "qid": F.lit(0)})
     return plan.stitch(gaps).select("filename", "chunk_index", "stitched_from", "text")
 

@@ -6,13 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
+from lodestone.operators import scans
 from lodestone.operators import windows as op
 
 
 @query("link_indices", "SELECT doc_id, i AS chunk_index, coalesce(lag(i) OVER w, -1) AS prev_index, coalesce(lead(i) OVER w, -1) AS next_index FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def _(spark, d):
     """W1."""
-    return op.link_indices(read(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"]).drop("source")
+    return scans.link_indices(read(spark, d, "documents").select("doc_id", "source"), ["source"], ["doc_id"]).drop("source")
 
 
 @query("fragment_totals", "SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS fragment_index, count(*) OVER (PARTITION BY l_orderkey) AS total_fragments, count(*) OVER (PARTITION BY l_orderkey) > 1 AS is_fragment FROM lineitem")
@@ -130,7 +131,7 @@ def _(spark, d):
 def _(spark, d):
     """An equi-join on the exploded neighbours, without those already seen."""
     docs = read(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n"))
-    chunks = op.link_indices(docs, ["source"], ["doc_id"])
+    chunks = scans.link_indices(docs, ["source"], ["doc_id"])
     seen = chunks.where("chunk_index % 5 = 0 AND n < 1200").withColumn("score", F.lit(0.5))
     wanted = seen.select("source", F.explode(F.array("prev_index", "next_index")).alias("chunk_index"), "score").where("chunk_index >= 0")
     found = wanted.join(seen.select("source", "chunk_index"), ["source", "chunk_index"], "left_anti").join(chunks.select("source", "chunk_index"), ["source", "chunk_index"])

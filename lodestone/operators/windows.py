@@ -29,7 +29,9 @@ def top_per_group(rows: DataFrame, key: Sequence[str], order: Sequence[Column],
 def budget_prefix(rows: DataFrame, key: Sequence[str], order: Sequence[str], text: str, budget: int) -> DataFrame:
     """The longest prefix within a token budget; a first text above it is cut to four characters a token."""
     w = Window.partitionBy(*key).orderBy(*order)
-    rows = rows.withColumns({"tokens": F.greatest(F.lit(1), F.expr(f"length({text}) div 4")), "nth": F.row_number().over(w)})
+    # a text has a token at least, so no more rows than tokens can be in; Spark keeps only so many a task before the shuffle
+    rows = rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= budget)
+    rows = rows.withColumn("tokens", F.greatest(F.lit(1), F.expr(f"length({text}) div 4")))
     rows = rows.withColumn("upto", F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     over = (F.col("nth") == 1) & (F.col("tokens") > budget)
     return rows.where((F.col("upto") <= budget) | over).withColumn(text, F.when(over, F.concat(F.substring(text, 1, 4 * budget), F.lit(" [truncated]"))).otherwise(F.col(text)))
@@ -37,7 +39,9 @@ def budget_prefix(rows: DataFrame, key: Sequence[str], order: Sequence[str], tex
 
 def budget_suffix(rows: DataFrame, key: Sequence[str], order: Sequence[str], text: str, budget: int) -> DataFrame:
     """The latest messages within a budget."""
-    w = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    latest = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
+    rows = rows.withColumn("_nth", F.row_number().over(latest)).where(F.col("_nth") <= budget).drop("_nth")
+    w = latest.rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("used", F.sum(F.greatest(F.lit(1), F.expr(f"length({text}) div 4"))).over(w)).where(F.col("used") <= budget)
 
 

@@ -1,5 +1,7 @@
 """Literal cases for the operators."""
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import markdown as md
@@ -7,6 +9,7 @@ from lodestone.functions import models
 from lodestone.functions import scoring as sc
 from lodestone.functions import text as fn
 from lodestone.operators import relational as rel
+from lodestone.operators import scans
 from lodestone.operators import windows as win
 from lodestone.plans import chunking, retrieval, understanding
 
@@ -128,6 +131,26 @@ def test_knn_by_a_grid_is_that_by_broadcast(spark, monkeypatch):
     assert found.count() == 20_000 and found._jdf.queryExecution().logical().toString().count("Union") == 0
 
 
+@pytest.mark.parametrize("cells", [1, 9, 50])
+def test_scans_of_a_hot_key_are_windows(spark, cells):
+    """A third of the rows has one key; sums, last values and links are those of a window, and no cell has more than its share."""
+    import random
+
+    rng = random.Random(cells)
+    rows = [("hot" if k % 3 == 0 else rng.choice([None, *"abcdefgh"]), k // 2, k, rng.choice([None, 1, 2, 3]), rng.choice([None, None, "x", "y"])) for k in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, a long, b long, v long, s string").repartition(4)
+    w = Window.partitionBy("k").orderBy("a", "b")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumns({"total": F.count("*").over(Window.partitionBy("k")), "position": F.row_number().over(w).cast("long"), "sum": F.coalesce(F.sum("v").over(upto), F.lit(0)), "seen": F.last("s", ignorenulls=True).over(upto)})
+    got = scans.scanned(df, ["k"], ["a", "b"], {"sum": F.col("v")}, {"seen": F.col("s")}, cells)
+    names = ["k", "a", "b", "v", "s", "total", "position", "sum", "seen"]
+    assert sorted(map(str, got.select(*names).collect())) == sorted(map(str, want.select(*names).collect()))
+    linked = (x.link_indices(df, ["k"], ["a", "b"]).select("k", "b", "chunk_index", "prev_index", "next_index").collect() for x in (scans, win))
+    assert len({tuple(sorted(map(str, x))) for x in linked}) == 1
+    assert scans.link_indices(df.limit(0), ["k"], ["a", "b"]).count() == 0
+
+
 def test_hundred_thousand_names(spark):
     """Rows come out for hits only, from one automaton or several shards of names, with the character before each place."""
     names = spark.range(100_000).select(F.concat(F.lit("file"), F.col("id").cast("string"), F.lit(".md")).alias("name"), F.col("id").alias("n"))
