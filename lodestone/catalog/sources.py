@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
 from lodestone.functions import markdown as md
-from lodestone.sources import files
+from lodestone.sources import files, layout
 
 
 def chunk_rows(spark, d):
@@ -82,6 +83,27 @@ def _(spark, d):
     return files.layout_page_rows(blocks, "user_id", "page", "x", "y", "event_id", "text")
 
 
+@query(
+    "layout_tables",
+    """SELECT l_orderkey, 1::bigint AS page, '<!-- page:1 -->' || chr(10) || chr(10) || '## Page 1' || chr(10) || chr(10) || 'Order ' || l_orderkey || chr(10) || chr(10) || '| part | quantity | supplier |' || chr(10) || '| --- | --- | --- |' || chr(10)
+    || string_agg('| ' || l_partkey || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_quantity::bigint::varchar END || ' | ' || l_suppkey || ' |', chr(10) ORDER BY l_linenumber) AS markdown FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY l_orderkey""",
+)
+def _(spark, d):
+    """SC10: an order is a page with a title and a table without rules, some cells empty, as a PDF has it: blocks with places."""
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    items = read(spark, d, "lineitem").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("long")).alias("quantity"), "l_suppkey")
+
+    def block(left: int, text, top, wide: int = 60):
+        return F.struct(F.lit(left).alias("left"), top.alias("top"), F.lit(left + wide).alias("right"), (top + 10).alias("bottom"), text.cast("string").alias("text"))
+
+    top = F.col("l_linenumber") * 14 + 40
+    rows = items.select("l_orderkey", F.explode(F.array(block(20, F.col("l_partkey"), top), block(120, F.col("quantity"), top), block(220, F.col("l_suppkey"), top))).alias("b"))
+    title = F.array(block(20, F.concat(F.lit("Order "), "l_orderkey"), F.lit(10), 300), *(block(x, F.lit(t), F.lit(34)) for x, t in ((20, "part"), (120, "quantity"), (220, "supplier"))))
+    heads = items.select("l_orderkey").distinct().select("l_orderkey", F.explode(title).alias("b"))
+    blocks = rows.union(heads).select("l_orderkey", F.lit(1).cast("long").alias("page"), "b.*").withColumn("n", F.lit(0))
+    return layout.layout_tables(blocks, "l_orderkey", "page", "n", "text")
+
+
 #: Fences after a paragraph and on their own, headings and tables within and without, figures, and the whole text.
 BLOCKS_SQL = "'# ' || lang || chr(10) || 'open' || chr(10) || '```py' || chr(10) || chr(10) || '# ' || source || chr(10) || '```' || chr(10) || '| a |' || chr(10) || '| b |' || chr(10) || '[Figure 1] x' || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '```' || chr(10) || '| in |' || chr(10) || '```' || chr(10) ELSE chr(10) END || text || chr(10) || CASE WHEN doc_id % 5 = 0 THEN '| t |' || chr(10) || '```' || chr(10) || 'never closed' ELSE '  ```' || chr(10) || source || chr(10) || '```' END"
 
