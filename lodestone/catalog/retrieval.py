@@ -9,6 +9,7 @@ from lodestone.functions import scoring as sc
 from lodestone.functions import text as fn
 from lodestone.operators import scans
 from lodestone.operators import windows as op
+from lodestone.plans import quantised
 from lodestone.plans import retrieval as plan
 from lodestone.plans import understanding as know
 
@@ -27,6 +28,14 @@ def _(spark, d):
     return plan.knn(questions(spark, d), read(spark, d, "embeddings").select("vec_id", "embedding"), 10).select("qid", "vec_id", "rank", F.round("vector_score", 6).alias("vector_score"))
 
 
+@query("knn_quantised")
+def _(spark, d):
+    """J5 at scale: codes of a byte for four numbers, and an exact rerank; a test holds its recall against the exact search."""
+    index = quantised.build(read(spark, d, "embeddings"), "vec_id", "embedding")
+    found = quantised.search(index, questions(spark, d))
+    return found.select("qid", F.col("id").alias("vec_id"), "rank", F.round("score", 6).alias("vector_score"))
+
+
 @query("knn_filtered_topk", f"SELECT qid, vec_id, rank FROM (SELECT q.vec_id AS qid, v.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0, {SIM}) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0 AND v.label IN (1, 2)) WHERE rank <= 3")
 def _(spark, d):
     """Filtered before the search."""
