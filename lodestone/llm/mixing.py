@@ -147,16 +147,20 @@ def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     named = {"id_key": F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), "source_key": F.coalesce(F.concat(F.lit("="), F.col("source_key")), F.lit("-"))}
     key = ["id_key", "source_key", "text_hash"]
     sized = carried(docs, *own).withColumns({"size": word_count(text), "text_hash": F.xxhash64(text), "source_key": F.col("carried")["source"].cast("string")}).withColumns(named)
-    sized = sized.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("size"))))
     chosen = plan(docs.select("doc_id", "source", "text"), seed).withColumnRenamed("source", "source_key").withColumns(named).select(*key, "passes", "extra", "shards")
-    chosen = chosen.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy("passes", F.col("extra").desc(), "shards")))
-    rows = sized.join(chosen, [*key, "nth"])  # both sides are dealt by the key already: texts move once
+    alone = chosen.groupBy(*key).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("passes", "extra", "shards")))
+    met = sized.join(alone, key)
+    # rows that agree in all three are numbered on both sides; the join's exchange serves both branches, so texts move once
+    among = Window.partitionBy(*key)
+    many = met.where("n > 1").drop("passes", "extra", "shards").withColumn("nth", F.row_number().over(among.orderBy("size")))
+    numbered = chosen.withColumn("nth", F.row_number().over(among.orderBy("passes", F.col("extra").desc(), "shards")))
+    rows = met.where("n = 1").unionByName(many.join(numbered, [*key, "nth"]).drop("nth"))
     rows = rows.where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("copy", "shard"))
     cut = (F.col("copy") >= F.col("passes")) & (F.col("extra") < F.col("size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("extra").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in own:
         rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    local = F.xxhash64("doc_id", "text_hash", "copy", F.lit(seed + 3))
-    rows = rows.repartitionByRange("shard", local).sortWithinPartitions("shard", local)
+    rows = rows.select(*own, "carried", "shard", F.xxhash64("doc_id", "text_hash", "copy", F.lit(seed + 3)).alias("local"))
+    rows = rows.repartitionByRange("shard", "local").sortWithinPartitions("shard", "local")
     return uncarried(rows, docs.columns, *own)
