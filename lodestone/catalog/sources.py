@@ -86,11 +86,11 @@ def _(spark, d):
 @query(
     "layout_tables",
     """SELECT l_orderkey, 1::bigint AS page, '<!-- page:1 -->' || chr(10) || chr(10) || '## Page 1' || chr(10) || chr(10) || 'Order ' || l_orderkey || chr(10) || chr(10) || '| part | quantity | supplier |' || chr(10) || '| --- | --- | --- |' || chr(10)
-    || string_agg('| ' || l_partkey || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_quantity::bigint::varchar END || ' | ' || l_suppkey || ' |', chr(10) ORDER BY l_linenumber) AS markdown FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1) GROUP BY l_orderkey""",
+    || string_agg('| ' || l_partkey || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_quantity::bigint::varchar END || ' | ' || l_suppkey || ' |', chr(10) ORDER BY l_linenumber) AS markdown FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity) = 1) GROUP BY l_orderkey""",
 )
 def _(spark, d):
     """SC10: an order is a page with a title and a table without rules, some cells empty, as a PDF has it: blocks with places."""
-    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey")
+    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")
     items = read(spark, d, "lineitem").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("long")).alias("quantity"), "l_suppkey")
 
     def block(left: int, text, top, wide: int = 60):
