@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
 from lodestone.operators import aggregates as op
+from lodestone.operators import reconcile
 
 STATUS = """CASE WHEN user_id % 17 = 0 THEN 'INDEXED' WHEN user_id % 17 = 1 THEN 'REVIEW_REJECTED' WHEN user_id % 17 = 2 THEN 'CANCELLED'
  WHEN user_id % 17 = 3 AND event_id % 2 = 0 THEN 'CANCELLED' WHEN user_id % 17 IN (3, 4) THEN CASE WHEN event_id % 3 = 0 THEN 'INDEXED' ELSE 'PARSE_FAILED' END
@@ -179,3 +180,17 @@ def _(spark, d):
     """Z1, Z2."""
     ms = F.unix_millis("ts")
     return read(spark, d, "events").select("user_id", "event_id", F.coalesce(ms - F.lag(ms).over(Window.partitionBy("user_id").orderBy("ts", "event_id")), F.lit(0)).alias("duration_ms"))
+
+
+@query(
+    "mirror_difference",
+    """WITH m AS (SELECT doc_id, CASE WHEN quality = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents LEFT JOIN (SELECT DISTINCT doc_id, quality, toxic FROM labels) USING (doc_id) WHERE coalesce(toxic, 0) <> 1),
+    b AS (SELECT doc_id, n_chars, 1 AS s FROM documents UNION ALL SELECT doc_id, n_chars, -1 FROM m)
+    SELECT doc_id, n_chars, CASE WHEN sum(s) > 0 THEN 'left' ELSE 'right' END AS side, abs(sum(s))::bigint AS times FROM b GROUP BY doc_id, n_chars HAVING sum(s) <> 0""",
+)
+def _(spark, d):
+    """Documents against a mirror that lost the toxic ones and has another length of those of no quality."""
+    docs = read(spark, d, "documents").select("doc_id", "n_chars")
+    marks = read(spark, d, "labels").select("doc_id", "quality", "toxic").distinct()
+    mirror = docs.join(marks, "doc_id", "left").where("coalesce(toxic, 0) <> 1").select("doc_id", F.expr("CASE WHEN quality = 0 THEN n_chars + 1 ELSE n_chars END").alias("n_chars"))
+    return reconcile.differing(docs, mirror, ["doc_id", "n_chars"])

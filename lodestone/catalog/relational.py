@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
+from lodestone.operators import pages
 from lodestone.operators import relational as op
 
 
@@ -308,3 +309,15 @@ def _(spark, d):
     over = F.map_filter(F.create_map(F.lit("lang"), F.when(F.col("doc_id") % 2 == 0, "over"), F.lit("chunk"), (F.col("doc_id") % 5).cast("string")), lambda k, v: v.isNotNull())
     pairs = F.array_sort(F.transform(F.map_entries(op.overlaid(base, over, ["markdown"])), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return read(spark, d, "documents").select("doc_id", F.array_join(pairs, ",").alias("config"))
+
+
+@query(
+    "deep_page",
+    """SELECT * FROM (SELECT event_id, event_type, value, row_number() OVER (ORDER BY event_type NULLS FIRST, value DESC NULLS LAST, event_id NULLS FIRST) AS position FROM events)
+    WHERE (position - 1) // 50 = (SELECT count(*) // 100 FROM events)""",
+)
+def _(spark, d):
+    """The page of 50 in the middle of all events."""
+    events = read(spark, d, "events").select("event_id", "event_type", "value")
+    order = [pages.By("event_type"), pages.By("value", descending=True), pages.By("event_id")]
+    return pages.deep_page(events, order, events.count() // 100 + 1, 50)

@@ -133,3 +133,21 @@ def _(spark, d):
     k = F.col("turn") + 1
     targeted, everything = F.least(F.lit(12), F.greatest(k * 2, k + 4)), F.least(F.lit(18), F.greatest(k * 3, k + 4))
     return read(spark, d, "conversations").select("conv_id", "turn", "role", targeted.alias("per_query_targeted"), everything.alias("per_query_global"), F.least(F.lit(36), targeted * 3).alias("pool"))
+
+
+@query(
+    "turn_checks",
+    f"""WITH p AS (SELECT doc_id, lower(coalesce(text, '')) AS low, length(trim(coalesce(text, ''))) AS n, lang, source, list_distinct(list_filter({TOK.format('q')}, lambda x: length(x) >= 8)) AS must, list_distinct(list_filter({TOK.format('q')}, lambda x: length(x) = 5)) AS never FROM {PAIRS_SQL})
+    SELECT doc_id, 'no_stream_error' AS name, NULL AS about, true AS passed FROM p UNION ALL SELECT doc_id, 'non_empty_answer', n::varchar, n >= CASE WHEN lang = 'chat' THEN 10 ELSE 40 END FROM p
+    UNION ALL SELECT doc_id, 'expected_intent', lang, lang IN ('en', 'de') FROM p UNION ALL SELECT doc_id, 'expected_source', 'src1', source = 'src1' FROM p UNION ALL SELECT doc_id, 'forbidden_source_absent', 'src2', source <> 'src2' FROM p
+    UNION ALL SELECT doc_id, 'required_term', x, contains(low, x) FROM (SELECT doc_id, low, unnest(must) AS x FROM p) UNION ALL SELECT doc_id, 'forbidden_term_absent', x, NOT contains(low, x) FROM (SELECT doc_id, low, unnest(never) AS x FROM p)""",
+)
+def _(spark, d):
+    """Documents as answers to benchmark items: long words of the item are asked for, words of five letters are not to be there."""
+    words = F.array_distinct(fn.tokens("q", 2, fn.STOP))
+    spec = F.struct(
+        F.array(F.lit("en"), F.lit("de")).alias("expected_intents"), F.array(F.lit("src1")).alias("expected_sources"), F.array(F.lit("src2")).alias("forbidden_sources"),
+        F.filter(words, lambda x: F.length(x) >= 8).alias("required_terms"), F.filter(words, lambda x: F.length(x) == 5).alias("forbidden_terms"),
+    )
+    checks = sc.turn_checks(F.col("text"), F.col("lang"), F.array("source"), F.lit(None).cast("string"), spec)
+    return questions(spark, d).select("doc_id", F.inline(checks))

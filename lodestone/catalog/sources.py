@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog.base import query, read
 from lodestone.functions import markdown as md
-from lodestone.sources import files, layout
+from lodestone.sources import files, keyed, layout
 
 
 def chunk_rows(spark, d):
@@ -121,3 +121,31 @@ def _(spark, d):
     """T7."""
     docs = read(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.expr(BLOCKS_SQL.replace("chr(10)", "'\\n'")).alias("md"))
     return md.blocks(docs, "doc_id", "md").select("doc_id", "kind", "start_line", "end_line", F.md5("text").alias("text_md5"))
+
+
+@query(
+    "keyed_changes",
+    """WITH a AS (SELECT conv_id, turn, role FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn >= 4))
+    SELECT conv_id, turn, role FROM a WHERE conv_id % 7 <> 0 UNION ALL SELECT DISTINCT conv_id, 0, 'summary' FROM a WHERE conv_id % 7 = 0""",
+)
+def _(spark, d):
+    """SK2, SK4: conversations as a keyed table; long ones are deleted, then every seventh is replaced by a summary, and the table is read."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role")
+    table = keyed.Keyed.create(turns, files.shared_path(spark, "keyed"), ["conv_id"])
+    table.delete(turns.where("turn >= 4"))
+    table.replace(table.load().where("conv_id % 7 = 0").select("conv_id", F.lit(0).cast("long").alias("turn"), F.lit("summary").alias("role")).distinct())
+    return table.load()
+
+
+@query(
+    "keyed_upsert",
+    """WITH new AS (SELECT doc_id, 1 AS quality, 9 AS toxic FROM documents WHERE lang = 'fr')
+    SELECT coalesce(c.doc_id, n.doc_id) AS doc_id, coalesce(n.quality, c.quality) AS quality, coalesce(c.toxic, n.toxic) AS toxic FROM labels c FULL JOIN new n ON c.doc_id = n.doc_id""",
+)
+def _(spark, d):
+    """SK5 on a keyed table: as upsert_latest, written to its buckets."""
+    labels = read(spark, d, "labels").select("doc_id", "quality", "toxic")
+    table = keyed.Keyed.create(labels, files.shared_path(spark, "keyed"), ["doc_id"])
+    fresh = read(spark, d, "documents").where("lang = 'fr'").select("doc_id", F.lit(1).alias("quality"), F.lit(9).alias("toxic"))
+    table.upsert(fresh, ["toxic"])
+    return table.load()

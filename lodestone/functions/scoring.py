@@ -135,3 +135,31 @@ def fuzzy(question: Column, text: Column) -> Column:
 def grounding(terms: Column, text: Column) -> Column:
     """How many of the terms the text contains."""
     return hits(terms, F.lower(text))
+
+
+def turn_checks(response: Column, intent: Column, sources: Column, error: Column, spec: Column) -> Column:
+    """An array of (name, about, passed) for an answer.
+
+    spec: a struct of arrays expected_intents, expected_sources, forbidden_sources, required_terms, forbidden_terms, of which a null one asks for nothing.  Terms
+    are looked for in lower case; an answer is too short below 40 characters, in chat below 10.  A null response is empty, nulls in sources are none.
+    """
+
+    def check(name: str, about: Column, passed: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), about.cast("string").alias("about"), F.coalesce(passed, F.lit(False)).alias("passed"))
+
+    def checks(s: Column) -> Column:
+        def each(name: str, field: str, passed) -> Column:
+            return F.transform(F.coalesce(s["spec"][field], F.array().cast("array<string>")), lambda x: check(name, x, passed(x)))
+
+        wanted = F.array_compact(F.coalesce(s["spec"]["expected_intents"], F.array().cast("array<string>")))
+        intent_check = F.array(check("expected_intent", s["intent"], F.array_contains(wanted, F.coalesce(s["intent"], F.lit("?")))))
+        least = F.when(s["intent"] == "chat", 10).otherwise(40)
+        return F.concat(
+            F.array(check("no_stream_error", s["error"], F.coalesce(s["error"], F.lit("")) == ""), check("non_empty_answer", s["length"], s["length"] >= least)),
+            F.when(F.size(wanted) > 0, intent_check).otherwise(F.slice(intent_check, 1, 0)),
+            each("expected_source", "expected_sources", lambda x: F.array_contains(s["files"], x)), each("forbidden_source_absent", "forbidden_sources", lambda x: ~F.array_contains(s["files"], x)),
+            each("required_term", "required_terms", lambda x: F.contains(s["low"], F.lower(x))), each("forbidden_term_absent", "forbidden_terms", lambda x: ~F.contains(s["low"], F.lower(x))),
+        )
+
+    said = F.coalesce(response, F.lit(""))
+    return fn.bound(checks, low=F.lower(said), length=F.length(F.regexp_replace(said, r"^\s+|\s+$", "")), intent=intent, files=F.array_compact(F.coalesce(sources, F.array().cast("array<string>"))), error=error, spec=spec)

@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from lodestone.sources.files import written
 
 
-def scanned(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None, last: Mapping[str, Column] | None = None, cells: int | None = None) -> DataFrame:
-    """``rows`` with ``position`` (from 1) and ``total`` of their key, each of ``sums`` up to the row, and of ``last`` the last value that is not null up to it.
+def scanned(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums: Mapping[str, Column] | None = None, last: Mapping[str, Column] | None = None, cells: int | None = None, earlier: Mapping[str, Column] | None = None) -> DataFrame:
+    """``rows`` with ``position`` (from 1) and ``total`` of their key, each of ``sums`` up to the row, and of ``last`` the last value that is not null up to it, of ``earlier`` before it.
 
     order: columns that tell the rows of a key apart, ascending, nulls first.  cells: ranges to deal rows into.  Null keys are a key.
     """
-    sums, last = {"position": F.lit(1).cast("long"), **(sums or {})}, last or {}
+    sums, last, earlier = {"position": F.lit(1).cast("long"), **(sums or {})}, last or {}, earlier or {}
+    last = {**last, **earlier}
     valued = rows.withColumns({**{f"_s_{n}": c for n, c in sums.items()}, **{f"_l_{n}": c for n, c in last.items()}})
     by = [*key, *order]
     dealt = valued.repartitionByRange(cells, *by) if cells else valued.repartitionByRange(*by)
@@ -35,10 +36,11 @@ def scanned(rows: DataFrame, key: Sequence[str], order: Sequence[str], sums: Map
     )
     on = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in key), F.col("_cell") == F.col("_k_cell"))
     upto = Window.partitionBy(*key, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    past = upto.rowsBetween(Window.unboundedPreceding, -1)
     found = dealt.join(carried, on)
     found = found.withColumns({
         **{n: F.col(f"_c_{n}") + F.coalesce(F.sum(f"_s_{n}").over(upto), F.lit(0)) for n in sums},
-        **{n: F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(upto), F.col(f"_p_{n}")) for n in last},
+        **{n: F.coalesce(F.last(f"_l_{n}", ignorenulls=True).over(past if n in earlier else upto), F.col(f"_p_{n}")) for n in last},
     })
     return found.select(*rows.columns, "total", *sums, *last)
 

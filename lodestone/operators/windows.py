@@ -59,14 +59,22 @@ def last_before(value: Column, key: Sequence[str], order: Sequence[str], back: i
 
 def target_coverage(rows: DataFrame, query: str, target: str, score: str, tie: str, k: int) -> DataFrame:
     """With several targets, the best min(2, max(1, k // targets)) of each come first, then the rest by score; ``k`` a query."""
-    n = F.size(F.collect_set(target).over(Window.partitionBy(query)))
-    rows = rows.withColumns({"_n": n, "_nth": F.row_number().over(Window.partitionBy(query, target).orderBy(F.desc(score), tie))})
+    # no more than ``k`` of a target can be in, and Spark keeps only so many a task before the shuffle
+    best = top_per_group(rows, [query, target], [F.desc(score), F.asc(tie)], k, "_nth")
+    n = rows.groupBy(F.col(query).alias("_query")).agg(F.count_distinct(target).alias("_n"))
+    rows = best.join(n, F.col(query).eqNullSafe(F.col("_query"))).drop("_query")
     share = F.least(F.lit(2), F.greatest(F.lit(1), F.floor(F.lit(k) / F.col("_n"))))
     rows = rows.withColumn("protected", (F.col("_n") > 1) & F.col(target).isNotNull() & (F.col("_nth") <= share))
     order = [F.desc("protected"), F.when(F.col("protected"), F.col(target)), F.when(F.col("protected"), F.col("_nth")), F.desc(score), F.asc(tie)]
     return top_per_group(rows, [query], order, k).drop("_n", "_nth")
 
 
+def with_best(rows: DataFrame, key: str, value: str, name: str = "best") -> DataFrame:
+    """Rows with the largest value of their key, which is found before anything is moved."""
+    best = rows.groupBy(F.col(key).alias("_key")).agg(F.max(value).alias(name))
+    return rows.join(best, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def source_precision(rows: DataFrame, query: str, source: str, score: str, strong: Column, arrival: str, k: int, slack: float = 0.08) -> DataFrame:
     """Where strong rows name a dominant source, its rows come first and others stay only near its best."""
     strong_rows = rows.where(strong).groupBy(query, source).agg(F.count("*").alias("n"), F.max(score).alias("top"))

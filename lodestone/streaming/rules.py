@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import scans
+
 
 def throttled(events: DataFrame, key: str, time: str, event_id: str, gap_seconds: float) -> DataFrame:
     """ST2: of each key the first event, then each that comes ``gap_seconds`` or more after the last accepted one.
@@ -72,12 +74,11 @@ def throttled_stream(events: DataFrame, key: str, time: str, event_id: str, gap_
 
 
 def stable(polls: DataFrame, path: str, attempt: str, size: str, repeats: int = 2) -> DataFrame:
-    """ST4: of each path the first attempt at which a size above zero has stood for ``repeats`` repeats in a row."""
-    w = Window.partitionBy(path).orderBy(attempt)
-    rows = polls.withColumn("_new", F.when(F.col(size).eqNullSafe(F.lag(size).over(w)), 0).otherwise(1))
-    rows = rows.withColumn("_run", F.sum("_new").over(w))
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(path, "_run").orderBy(attempt)))
-    return rows.where((F.col(size) > 0) & (F.col("_n") > repeats)).groupBy(path).agg(F.min(attempt).alias("stable_at"))
+    """ST4: of each path the first attempt at which a size above zero has stood for ``repeats`` repeats in a row; a path with most of the polls is in many tasks."""
+    rows = scans.scanned(polls.select(path, attempt, size), [path], [attempt], earlier={"_before": F.struct(F.col(size).alias("s"))})
+    rows = rows.select(path, attempt, size, F.col("position").alias("_at"), F.when(~F.col(size).eqNullSafe(F.col("_before.s")), F.col("position")).alias("_change"))
+    rows = scans.scanned(rows, [path], [attempt], last={"_begin": F.col("_change")})
+    return rows.where((F.col(size) > 0) & (F.col("_at") - F.col("_begin") >= repeats)).groupBy(path).agg(F.min(attempt).alias("stable_at"))
 
 
 def settled(events: DataFrame, path: str, time: str, event_id: str, size: str, quiet_ms: int) -> DataFrame:
@@ -91,10 +92,9 @@ def settled(events: DataFrame, path: str, time: str, event_id: str, size: str, q
 
 
 def admitted(events: DataFrame, batch: str, time: str, event_id: str, opens: Column, closes: Column, always: Column) -> DataFrame:
-    """ST8: an event is shown while its batch is open (from its opening to its closing event), or if it always is."""
-    w = Window.partitionBy(batch).orderBy(time, event_id).rowsBetween(Window.unboundedPreceding, -1)
-    state = F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(w)
-    return events.withColumn("_open", F.coalesce(state, F.lit(False)) | opens).where(F.col("_open") | always).drop("_open")
+    """ST8: an event is shown while its batch is open (from its opening to its closing event), or if it always is; a large batch is in many tasks."""
+    rows = scans.scanned(events, [batch], [time, event_id], earlier={"_open": F.when(opens, True).when(closes, False)})
+    return rows.where(F.coalesce(F.col("_open"), F.lit(False)) | opens | always).select(*events.columns)
 
 
 def newest(events: DataFrame, subscriber: str, order: str, n: int) -> DataFrame:

@@ -6,9 +6,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import scoring as sc
 from lodestone.operators import pages, reconcile
 from lodestone.operators.pages import By
 from lodestone.sources.keyed import Keyed
+from lodestone.streaming import rules
 
 
 def listing(n=30000):
@@ -133,3 +135,51 @@ def test_an_emptied_bucket_stays_empty(spark, tmp_path):
     assert table.delete(table.load()) == []
     table.replace(spark.createDataFrame([(1, "b")], "id long, text string"))
     assert [tuple(r) for r in table.load().collect()] == [(1, "b")]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stability_and_admission_of_a_hot_key(spark, seed):
+    rng = random.Random(seed)
+    polls = [("hot" if rng.random() < 0.5 else f"p{rng.randrange(20)}", k, rng.choice([0, 5, 5, 5, 7, None])) for k in range(3000)] + [(None, 3001 + k, 4) for k in range(3)]
+    want, runs = {}, {}
+    for path, attempt, size in polls:
+        before, n = runs.get(path, ((), 0))
+        runs[path] = (size, n + 1 if before == size else 1)
+        if size and runs[path][1] > 2:
+            want.setdefault(path, attempt)
+    got = rules.stable(spark.createDataFrame(polls, "path string, attempt long, size long").repartition(6), "path", "attempt", "size")
+    assert {r["path"]: r["stable_at"] for r in got.collect()} == want
+
+    kinds = [(p, k, rng.choice(["open", "close", "say", "say", "error"])) for p, k, _ in polls]
+    shown, is_open = [], {}
+    for batch, k, kind in kinds:
+        if kind in ("open", "error") or is_open.get(batch):
+            shown.append(k)
+        is_open[batch] = {"open": True, "close": False}.get(kind, is_open.get(batch))
+    df = spark.createDataFrame(kinds, "batch string, id long, kind string").withColumn("ts", F.timestamp_seconds(F.floor(F.col("id") / 3))).repartition(6)
+    kind = F.col("kind")
+    got = rules.admitted(df, "batch", "ts", "id", kind == "open", kind == "close", kind == "error")
+    assert got.columns == df.columns and sorted(r["id"] for r in got.collect()) == shown
+
+
+def test_checks_of_a_turn(spark):
+    rows = [
+        ("  a Long answer about Policies and their limits, more than forty  ", "rag", ["a.pdf"], None, (["rag"], ["a.pdf", "b.pdf"], ["c.pdf", "a.pdf"], ["POLICIES", "zebra"], ["limits", "no"])),
+        (None, "chat", None, "", (None, None, None, None, None)),
+        ("ten chars.\n", "chat", [], "broken", ([], [], ["x"], ["Ten"], [])),
+        ("x" * 39 + "  ", None, [None], None, (["rag"], ["a"], ["a"], [], [""])),
+    ]
+    spec = "struct<expected_intents: array<string>, expected_sources: array<string>, forbidden_sources: array<string>, required_terms: array<string>, forbidden_terms: array<string>>"
+    df = spark.createDataFrame(rows, f"response string, intent string, sources array<string>, error string, spec {spec}")
+
+    def plain(response, intent, sources, error, given):
+        intents, wanted, forbidden, must, never = ([] if x is None else x for x in given)
+        low, length = (response or "").lower(), len((response or "").strip())
+        out = [("no_stream_error", not error), ("non_empty_answer", length >= (10 if intent == "chat" else 40))]
+        out += [("expected_intent", intent in intents)] if intents else []
+        out += [("expected_source", x in (sources or [])) for x in wanted] + [("forbidden_source_absent", x not in (sources or [])) for x in forbidden]
+        return out + [("required_term", x.lower() in low) for x in must] + [("forbidden_term_absent", x.lower() not in low) for x in never]
+
+    got = df.select(sc.turn_checks(*(F.col(c) for c in df.columns)).alias("checks")).collect()
+    for row, r in zip(rows, got):
+        assert [(c["name"], c["passed"]) for c in r["checks"]] == plain(*row)
