@@ -379,6 +379,26 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_pairs(docs_frame(spark, rows).limit(0)).count() == 0
 
 
+def test_fingerprints_of_an_id_that_a_third_of_the_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 20)
+    ids = [None] * 200 + [7] * 100 + [10 + k for k in range(260)] + [-(1 << 63), (1 << 63) - 1]
+    rows = [(i, f"word{k} " * (k % 9 + 1) + f"tail{k % 13}") for k, i in enumerate(ids)] + [(None, "same text"), (None, "same text"), (8, None)]
+    random.Random(4).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt, firsts, _ = fingerprints.with_ranges(docs.select("doc_id", fingerprints.F.coalesce("text", fingerprints.F.lit("")).alias("text")))
+    sizes = [r["count"] for r in dealt.groupBy("range").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 60
+    hashes = {r["text"]: r["h"] for r in docs.selectExpr("text", "xxhash64(coalesce(text, '')) AS h").collect()}
+    chain = sorted(rows, key=lambda r: (-(-(1 << 63) if r[0] is None else r[0]), hashes[r[1]]))
+    want = []
+    for k, (i, text) in enumerate(chain):
+        text, following = text or "", chain[(k + 1) % len(chain)][1] or ""
+        cut = len(text) // 2
+        want.append((i, len(text), hashlib.sha256((text[: len(text) - cut] + following[:cut]).encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprint_pairs(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_ranges(spark):
     bounds = sorted(random.Random(1).sample(range(-(10**12), 10**12), 977))
     asked = [b + d for b in bounds[::50] for d in (-1, 0, 1)] + [-(1 << 63), (1 << 63) - 1]
