@@ -66,21 +66,21 @@ def _(spark, d):
     return came.groupBy(F.url_decode(F.regexp_extract("path", "/role=([^/]*)/", 1)).alias("role")).agg(F.sum(F.length("text")).alias("n_chars"))
 
 
-_PLACED = "SELECT user_id, event_id, event_id // 40 + 1 AS page, (event_id % 11) / 4.0 AS y, (event_id % 5) / 4.0 AS x, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE ' ' || event_type || event_id END AS text FROM events"
+_PLACED = "SELECT user_id, event_id, event_id % 3 + 1 AS page, (event_id % 11) / 4.0 AS y, (event_id % 5) / 4.0 AS x, CASE WHEN event_id % 13 = 0 THEN ' ' ELSE ' ' || event_type || event_id END AS text FROM events"
 
 
 @query(
     "layout_pages",
-    f"""SELECT user_id, page, '<!-- page:' || page || ' -->' || chr(10) || chr(10) || '## Page ' || page || chr(10) || chr(10) || string_agg(trim(text), chr(10) || chr(10) ORDER BY round_even(y, 1), round_even(x, 1), event_id) AS markdown
-    FROM ({_PLACED}) WHERE trim(text) <> '' GROUP BY user_id, page""",
+    f"""SELECT user_id, string_agg('<!-- page:' || page || ' -->' || chr(10) || chr(10) || '## Page ' || page || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY page) AS markdown
+    FROM (SELECT user_id, page, string_agg(trim(text), chr(10) || chr(10) ORDER BY round_even(y, 1), round_even(x, 1), event_id, text) AS body FROM ({_PLACED}) WHERE trim(text) <> '' GROUP BY user_id, page) GROUP BY user_id""",
 )
 def _(spark, d):
-    """SC10: a row a page."""
+    """SC10: a user is a document, whose pages are put in order and joined."""
     spot = F.col("event_id")
     blocks = read(spark, d, "events").select(
-        "user_id", "event_id", (F.floor(spot / 40) + 1).alias("page"), (spot % 11 / 4.0).alias("y"), (spot % 5 / 4.0).alias("x"), F.when(spot % 13 == 0, " ").otherwise(F.concat(F.lit(" "), "event_type", spot.cast("string"))).alias("text"),
+        "user_id", "event_id", (spot % 3 + 1).alias("page"), (spot % 11 / 4.0).alias("y"), (spot % 5 / 4.0).alias("x"), F.when(spot % 13 == 0, " ").otherwise(F.concat(F.lit(" "), "event_type", spot.cast("string"))).alias("text"),
     )
-    return files.layout_page_rows(blocks, "user_id", "page", "x", "y", "event_id", "text")
+    return files.layout_pages(blocks, "user_id", "page", "x", "y", "event_id", "text")
 
 
 @query(

@@ -164,3 +164,18 @@ def test_normaliser_warnings_by_brute_force(spark, con):
         want[i] = [w for w, on in (("words_lost", kept < 0.55), ("very_short", words(half) < 50), ("open_fence", half.count("```") % 2 == 1)) if on]
     got = {r.doc_id: [w for w in r.warnings if w != "questions_lost"] for r in registry.queries()["normaliser_checks"](spark, DATA).collect()}
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_layout_pages_are_whole_documents(spark):
+    """A row a user with all of the user's blocks, pages in order."""
+    from collections import Counter
+
+    rows = registry.queries()["layout_pages"](spark, DATA).collect()
+    events = spark.read.parquet(f"{DATA}/events.parquet").select("user_id", "event_id", "event_type").collect()
+    want = Counter((e.user_id, f"{e.event_type}{e.event_id}") for e in events if e.event_id % 13 and e.event_type is not None)
+    assert Counter((r.user_id, part) for r in rows for part in r.markdown.split("\n\n") if not part.startswith(("<!-- page:", "## Page "))) == want
+    assert len({r.user_id for r in rows}) == len(rows)
+    for r in rows:
+        pages = [line for line in r.markdown.split("\n") if line.startswith("## Page ")]
+        assert pages == sorted(set(pages))
