@@ -9,9 +9,11 @@ under that of its tokens that the fewest rules have, and the tokens of a url fet
 
 Fixed rules come first: one fits its host and all subdomains of it if the path starts with the rule's; of several the longest.
 
-FP-growth's cost is exponential in a transaction's tokens, so for it a page has the ``WIDTH`` of them that are blocked most often;
-at most ``2 ** WIDTH / SUPPORT`` combinations reach the support, which bounds what comes to the driver and goes to each
-task.  Mining and judging go over all rows.
+FP-growth's cost is exponential in a transaction's tokens, so Spark's is given the ``WIDTH`` of a page that are blocked most often.  If a page has
+more that are frequent, the combinations beyond those are grown as well: of each token, which is the rarest of its combinations, the commoner tokens
+beside it are a conditional table, a group of a shuffle, with equal rows counted once.  A combination that holds on the same pages as a part of it, or has
+a part that is blocked on all its pages, is no rule and nor is what contains it, so those are not grown further; all others are, over all rows.
+What comes to the driver and goes to each task are the rules.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no tokens, fits no rule and is allowed; a null page_id has no label; of
 labels that repeat a doc_id one that blocks is enough; repeated pages each count; without blocked labels nothing is mined and
@@ -23,8 +25,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable
-from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +72,12 @@ def pruned(counts: Iterable[Row], least: int, confidence: tuple[int, int]) -> li
     """Of combinations with their pages and blocked pages those that are frequent and confident, without those that a part of does as well."""
     fit = {items: (n, blocked) for items, n, blocked in counts if blocked >= least and blocked * confidence[1] >= n * confidence[0]}
 
+    index = Rules((items, *v) for items, v in fit.items())
+
     def idle(items: frozenset[str]) -> bool:
         n, blocked = fit[items]
-        less = (fit.get(frozenset(c)) for k in range(1, len(items)) for c in combinations(items, k))
-        return any(x is not None and x[1] * n >= blocked * x[0] for x in less)
+        less = (index.rows[k] for k in index.fitting(items))
+        return any(len(part) < len(items) and b * n >= blocked * m for part, m, b in less)
 
     return [(items, *v) for items, v in fit.items() if not idle(items)]
 
@@ -137,18 +141,61 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, least: i
         shares = scratch.keep(shares, "url-tokens")
         telling = Window.partitionBy("row").orderBy((F.col("hits") / F.col("n")).desc(), F.col("n").desc(), "token")
         # Spark looks at the size of the written table of tokens before it broadcasts it, and deals out common tokens anew otherwise
-        best = single.where("blocked").join(shares, "token").withColumn("place", F.row_number().over(telling)).where(F.col("place") <= WIDTH)
+        ranked = single.where("blocked").join(shares, "token").withColumn("place", F.row_number().over(telling)).where(F.col("place") <= WIDTH + 1)
+        ranked = scratch.keep(ranked.select("row", "token", "place"), "url-places")
+        best = ranked.where(F.col("place") <= WIDTH)
         baskets = scratch.keep(best.groupBy("row").agg(F.collect_list("token").alias("items")).select("items"), "url-baskets")
         size = baskets.count()
         if not size:
             return Rules()
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, (enough - 0.5) / size), minConfidence=1.0).fit(baskets)
         found = Rules((frozenset(r["items"]), 1, 1) for r in model.freqItemsets.select("items").collect())
-        return counted(rows, found, enough, confidence)
+        few = counted(rows, found, enough, confidence)
+        if ranked.where(F.col("place") == WIDTH + 1).isEmpty():
+            return few
+        rest = grown(single.join(shares.select("token", F.col("n").alias("often")), "token"), enough, confidence)
+        return Rules(pruned([*few.rows, *((frozenset(r["items"]), r["n"], r["hits"]) for r in rest.collect())], enough, confidence))
     finally:
         scratch.drop()
 
 
+def grow(table: pd.DataFrame, least: int, confidence: tuple[int, int]) -> list[tuple[list[str], int, int]]:
+    """The confident combinations of a conditional table (token, items, n, hits) that have its token, with their pages and blocked pages."""
+    n, hits = table["n"].to_numpy(), table["hits"].to_numpy()
+    rows: dict[str, list[int]] = {}
+    for k, items in enumerate(table["items"]):
+        for t in items:
+            rows.setdefault(t, []).append(k)
+    every, out = np.arange(len(table)), []
+    # what is chosen, its rows, and the items that may be added, each with the rows that then are left
+    todo = [([table["token"].iloc[0]], every, [(t, np.array(at)) for t, at in sorted(rows.items())])]
+    while todo:
+        chosen, at, more = todo.pop()
+        total, blocked = int(n[at].sum()), int(hits[at].sum())
+        if blocked * confidence[1] >= total * confidence[0]:
+            out.append((chosen, total, blocked))
+        if blocked == total:
+            continue
+        more = [(t, left) for t, left in more if hits[left].sum() >= least and n[left].sum() < total]
+        for k, (t, left) in enumerate(more):
+            both = [(u, np.intersect1d(left, other, assume_unique=True)) for u, other in more[k + 1 :]]
+            todo.append(([*chosen, t], left, [(u, x) for (u, x), (_, other) in zip(both, more[k + 1 :]) if len(x) < len(other)]))
+    return out
+
+
+def grown(single: DataFrame, least: int, confidence: tuple[int, int]) -> DataFrame:
+    """items, n, hits of all confident combinations; single: row, blocked, token and how often the token is there, frequent tokens only."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("often")).alias("o"), "token")))  # the commonest first
+    pages = single.groupBy("row").agg(order.alias("o"), F.first("blocked").alias("blocked")).select(F.col("o.token").alias("tokens"), "blocked")
+    each = pages.select("tokens", "blocked", F.posexplode("tokens").alias("at", "token"))
+    tables = each.groupBy("token", F.slice("tokens", F.lit(1), F.col("at")).alias("items")).agg(F.count("*").alias("n"), F.count_if("blocked").alias("hits"))
+
+    def confident(table: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(grow(table, least, confidence), columns=["items", "n", "hits"])
+
+    return tables.groupBy("token").applyInPandas(confident, "items array<string>, n long, hits long")
+
+
 def counted(rows: DataFrame, found: Rules, least: int, confidence: tuple[int, int]) -> Rules:
     """``found`` with the numbers of all labelled pages, pruned by them."""
 

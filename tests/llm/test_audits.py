@@ -1,5 +1,6 @@
 """Periodic runs, filter audit and url filters against plain code and SQL."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -248,3 +249,27 @@ def test_rules_are_pruned_and_found_by_one_token():
     assert {r[0] for r in rows} == {f("a"), f("ab")}  # abc is no better than ab, d is not sure, e is rare
     rules = urls.Rules(rows)
     assert [rules.name(k) for k in rules.fitting("abz")] == ["a b", "a"] and rules.fitting("bz") == []
+
+
+def test_rules_of_tokens_beyond_the_first_are_mined(spark):
+    common = "/".join(f"d{k}" for k in "abcdefghij")
+    paths = [f"{common}/p/q"] * 20 + [common] * 8 + ["p/x"] * 25 + ["q/y"] * 25
+    pages = spark.createDataFrame([(k, f"http://one.org/{path}") for k, path in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(k >= 20), 0) for k in range(len(paths))], "doc_id long, quality int, toxic int")
+    got = urls.filter_urls(pages, labels).collect()
+    assert all(r["verdict"] == ("block" if r["page_id"] < 20 else "allow") for r in got)
+    assert all(set(r["because"].split()) & {"dir=p", "dir=q"} for r in got if r["page_id"] < 20)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_grown_rules_are_those_of_all_combinations(spark, seed):
+    rng = random.Random(seed)
+    rows = [([t for t in "abcdefghij" if rng.random() < 0.6], rng.random() < 0.3) for _ in range(150)]
+    rows = [([*t, "k"] if "a" in t else t, b or {"b", "e", "g"} <= set(t) or "c" in t and "d" not in t) for t, b in rows]
+    all_of = [frozenset(c) for size in range(1, 12) for c in itertools.combinations("abcdefghijk", size)]
+    counts = [(c, sum(c <= set(t) for t, _ in rows), sum(b and c <= set(t) for t, b in rows)) for c in all_of]
+    want = urls.pruned(counts, 5, (8, 10))
+    often = collections.Counter(x for t, _ in rows for x in t)
+    single = spark.createDataFrame([(k, b, x, often[x]) for k, (t, b) in enumerate(rows) for x in t], "row long, blocked boolean, token string, often long")
+    got = urls.pruned([(frozenset(r["items"]), r["n"], r["hits"]) for r in urls.grown(single, 5, (8, 10)).collect()], 5, (8, 10))
+    assert sorted(map(str, ((sorted(i), n, b) for i, n, b in got))) == sorted(map(str, ((sorted(i), n, b) for i, n, b in want))) and len(want) > 2
