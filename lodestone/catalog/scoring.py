@@ -73,9 +73,9 @@ def _(spark, d):
     SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
 )
 def _(spark, d):
-    """Every benchmark item's best ten of all documents, by an inverted index with block maxima."""
-    index = lexical.build(read(spark, d, "documents"), "doc_id", "source", "text")
-    found = lexical.Search(index, read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))).top()
+    """Every benchmark item's best ten of all documents: up to a thousand items in one scan of the texts, more by an inverted index."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    found = lexical.top(read(spark, d, "documents"), "doc_id", "source", "text", asked)
     return found.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), "rank", "score")
 
 

@@ -48,3 +48,24 @@ def test_bounds_meet_where_phrases_are_short():
     most, least = lexical.score_bounds(wanted, masks)
     assert [round(x, 6) for x in most[:4]] == [1.3, 0.7, 0.6, 0] and most[63] == 1.0
     assert [round(x, 6) for x in least[:4]] == [1.3, 0.7, 0, 0] and least[63] == 1.0
+
+
+@pytest.mark.parametrize("k, slice_", [(10, 512), (3, 7), (1000, 50)])
+def test_scan_gives_what_scoring_everything_gives(spark, k, slice_):
+    docs, asked = fixture()
+    asked += [(100, "AB-CD term1 term2 A/B/C"), (101, "eligible eligibility policies policy")]
+    chunks = spark.createDataFrame([*docs, (2000, "AB CD", "a b c term1 term2"), (2001, None, "ab cd a b term1")], "id long, title string, text string").repartition(3)
+    questions = spark.createDataFrame(asked, "qid long, question string")
+    score = F.round(sc.lexical(F.col("question"), F.col("title"), F.col("text")), 6).alias("score")
+    plain = op.top_per_group(chunks.crossJoin(questions).select("qid", "id", score).where("score > 0"), ["qid"], [F.desc("score"), F.asc("id")], k)
+    found = op.top_per_group(lexical.scan(chunks, questions, k, slice_), ["qid"], [F.desc("score"), F.asc("id")], k)
+    assert sorted(map(str, found.select("qid", "id", "rank", "score").collect())) == sorted(map(str, plain.select("qid", "id", "rank", "score").collect()))
+
+
+def test_few_questions_need_no_index_and_many_use_it(spark, monkeypatch):
+    docs, asked = fixture()
+    chunks, questions = spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame(asked, "qid long, question string")
+    many = lexical.top(chunks, "doc_id", "source", "text", questions, few=3).collect()
+    monkeypatch.setattr(lexical, "build", None)
+    assert sorted(map(str, lexical.top(chunks, "doc_id", "source", "text", questions).collect())) == sorted(map(str, many))
+    assert lexical.top(chunks.limit(0), "doc_id", "source", "text", questions).count() == 0 and lexical.top(chunks, "doc_id", "source", "text", questions.limit(0)).count() == 0
