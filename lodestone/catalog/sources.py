@@ -90,17 +90,18 @@ def _(spark, d):
 )
 def _(spark, d):
     """SC10: an order is a page with a title and a table without rules, some cells empty, as a PDF has it: blocks with places."""
-    first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity")
-    items = read(spark, d, "lineitem").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("long")).alias("quantity"), "l_suppkey")
+    # both windows, the blocks and their pages share one shuffle by the order; its title comes from its first line
+    last = ["l_partkey", "l_suppkey", "l_quantity"]
+    items = read(spark, d, "lineitem").withColumn("first", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", *last)) == 1)
+    items = items.withColumn("_n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*last))).where("_n = 1")
 
     def block(left: int, text, top, wide: int = 60):
-        return F.struct(F.lit(left).alias("left"), top.alias("top"), F.lit(left + wide).alias("right"), (top + 10).alias("bottom"), text.cast("string").alias("text"))
+        return F.struct(F.lit(left).alias("left"), top.cast("double").alias("top"), F.lit(left + wide).alias("right"), (top + 10).cast("double").alias("bottom"), text.cast("string").alias("text"))
 
     top = F.col("l_linenumber") * 14 + 40
-    rows = items.select("l_orderkey", F.explode(F.array(block(20, F.col("l_partkey"), top), block(120, F.col("quantity"), top), block(220, F.col("l_suppkey"), top))).alias("b"))
+    row = F.array(block(20, F.col("l_partkey"), top), block(120, F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity").cast("long")), top), block(220, F.col("l_suppkey"), top))
     title = F.array(block(20, F.concat(F.lit("Order "), "l_orderkey"), F.lit(10), 300), *(block(x, F.lit(t), F.lit(34)) for x, t in ((20, "part"), (120, "quantity"), (220, "supplier"))))
-    heads = items.select("l_orderkey").distinct().select("l_orderkey", F.explode(title).alias("b"))
-    blocks = rows.union(heads).select("l_orderkey", F.lit(1).cast("long").alias("page"), "b.*").withColumn("n", F.lit(0))
+    blocks = items.select("l_orderkey", F.explode(F.when(F.col("first"), F.concat(title, row)).otherwise(row)).alias("b")).select("l_orderkey", F.lit(1).cast("long").alias("page"), "b.*").withColumn("n", F.lit(0))
     return layout.layout_tables(blocks, "l_orderkey", "page", "n", "text")
 
 

@@ -1,5 +1,8 @@
 """Tables found from the places of blocks and rules."""
 
+from pyspark.sql import functions as F
+
+from lodestone import registry
 from lodestone.sources import layout
 
 
@@ -43,3 +46,18 @@ def test_frames(spark):
     want = {("d", 1): "<!-- page:1 -->\n\n## Page 1\n\nt\n\n| a | b |\n| --- | --- |\n| c | e |", ("d", 2): "<!-- page:2 -->\n\n## Page 2\n\nfirst\n\nnowhere", (None, 1): "<!-- page:1 -->\n\n## Page 1\n\nx"}
     for given in (None, rules):
         assert {(r.k, r.p): r.markdown for r in layout.layout_tables(blocks, "k", "p", "n", "t", given).collect()} == want
+
+
+def test_query_deals_lines_once(spark, tmp_path):
+    lines = [(k, n, (k or 0) + n, n, float(n)) for k in (1, 2, None) for n in (2, 1, 2, 5)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").withColumn("l_shipdate", F.lit("1998-01-01").cast("date")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.queries()["layout_tables"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = {r.l_orderkey: r.markdown for r in found.collect()}
+    assert rows[2] == "<!-- page:1 -->\n\n## Page 1\n\nOrder 2\n\n| part | quantity | supplier |\n| --- | --- | --- |\n| 3 | 1 | 1 |\n| 4 | 2 | 2 |\n| 7 | 5 | 5 |"
+    assert set(rows) == {1, 2, None} and rows[None] == "<!-- page:1 -->\n\n## Page 1\n\n| part | quantity | supplier |\n| --- | --- | --- |\n| 1 | 1 | 1 |\n| 2 | 2 | 2 |\n| 5 | 5 | 5 |"
+
+
+def test_lines_that_fill_all_columns_and_some_that_do_not():
+    boxes = [box(x, y, f"{t}{y}") for y, some in ((10, "abc"), (25, "abc"), (40, "ac"), (55, "abc"), (70, "b")) for x, t in ((10, "a"), (80, "b"), (150, "c")) if t in some]
+    assert layout.page_markdown(boxes, []) == ["| a10 | b10 | c10 |\n| --- | --- | --- |\n| a25 | b25 | c25 |\n| a40 |  | c40 |\n| a55 | b55 | c55 |", "b70"]
