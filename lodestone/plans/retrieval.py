@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -18,7 +19,7 @@ BATCH = 1000
 
 
 #: Vectors and questions that meet in a cell of the grid.
-SLICE, BLOCK = 32_768, 2048
+SLICE, BLOCK = 16_384, 2048
 
 
 def knn(questions: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", vid: str = "vec_id", keep: Column | None = None, few: int = BATCH) -> DataFrame:
@@ -44,28 +45,38 @@ def grid(questions: DataFrame, vectors: DataFrame, k: int, qid: str, vid: str, s
     left, right = [c for c in questions.columns if c != "q_vector"], [c for c in vectors.columns if c != "embedding"]
     schema = StructType([*(questions.schema[c] for c in left), *(vectors.schema[c] for c in right), StructField("vector_score", DoubleType())])
 
-    def matrix(given: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    def vectors_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All numbers of the vectors in one array, where each starts, how many it has (none if null), and whether one of them is null."""
+        lists = column.combine_chunks()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        start = np.cumsum(size) - size
+        holes = np.zeros(len(size), bool)
+        if flat.null_count:
+            holes[np.repeat(np.arange(len(size)), size)[flat.is_null().to_numpy(zero_copy_only=False)]] = True
+        return pc.fill_null(flat, 0).to_numpy(zero_copy_only=False), start, size, holes
+
+    def matrix(given: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], rows: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
         """A row each and its norm; what has no such vector is zero, and so scores zero."""
-        x = np.zeros((len(given), dim))
-        for i, one in enumerate(given):
-            if one is not None and len(one) == dim and None not in one:
-                x[i] = one
+        flat, start, size, holes = given
+        x, fit = np.zeros((len(rows), dim)), np.flatnonzero((size[rows] == dim) & ~holes[rows])
+        if dim:
+            x[fit] = flat[start[rows[fit]][:, None] + np.arange(dim)]
         return x, np.sqrt((x * x).sum(1))
 
     def nearest(asked: pa.Table, some: pa.Table) -> pa.Table:
         at_q: list[int] = []
         at_v: list[np.ndarray] = []
         score: list[np.ndarray] = []
-        wanted, given = asked.column("q_vector").to_pylist(), some.column("embedding").to_pylist()
+        wanted, given = vectors_of(asked.column("q_vector")), vectors_of(some.column("embedding"))
         ids = some.column(vid).to_numpy()
         names = np.array(some.column("filename").to_pylist(), object) if "target" in left else None
         targets = asked.column("target").to_pylist() if "target" in left else [None] * len(asked)
-        dims = [0 if x is None else len(x) for x in wanted]
-        for dim in sorted(set(dims)) if len(some) else []:
-            v, norm_v = matrix(given, dim)
-            own = [i for i, d in enumerate(dims) if d == dim]
+        for dim in np.unique(wanted[2]).tolist() if len(some) else []:
+            v, norm_v = matrix(given, np.arange(len(some)), dim)
+            own = np.flatnonzero(wanted[2] == dim)
             for part in (own[n : n + 64] for n in range(0, len(own), 64)):
-                q, norm_q = matrix([wanted[i] for i in part], dim)
+                q, norm_q = matrix(wanted, part, dim)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     rough = np.maximum(0.0, np.nan_to_num((q @ v.T) / (norm_q[:, None] * norm_v)))
                 for i, one, norm, line in zip(part, q, norm_q, rough):

@@ -183,3 +183,25 @@ def test_checks_of_a_turn(spark):
     got = df.select(sc.turn_checks(*(F.col(c) for c in df.columns)).alias("checks")).collect()
     for row, r in zip(rows, got):
         assert [(c["name"], c["passed"]) for c in r["checks"]] == plain(*row)
+
+
+def test_cells_of_vectors_are_arrays_of_bounded_size(spark):
+    """Odd vectors score as with few questions, and what a cell multiplies at a time stays small."""
+    import random
+
+    from lodestone.plans import retrieval
+
+    assert retrieval.SLICE * 64 * 8 <= 8 << 20
+    rng = random.Random(3)
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 2.0], [1.0], [None], [0.5, 0.5]]
+    rows = [(k, odd[k] if k < len(odd) else [rng.uniform(-1, 1) for _ in range(3)]) for k in range(120)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id % 3 = 0 AND size(embedding) = 3 AND NOT exists(embedding, x -> x IS NULL)").selectExpr("vec_id AS qid", "embedding AS q_vector")
+    fit = vectors.where("size(embedding) = 3 AND NOT exists(embedding, x -> x IS NULL)")
+    plain = lambda df: sorted((r.qid, r.rank, r.vec_id, round(r.vector_score, 9)) for r in df.collect())
+    assert plain(retrieval.knn(asked, fit, 5, few=2)) == plain(retrieval.knn(asked, fit, 5))
+    every = retrieval.grid(vectors.selectExpr("vec_id AS qid", "embedding AS q_vector"), vectors, 200, "qid", "vec_id", 50, 40).collect()
+    score = {(r.qid, r.vec_id): r.vector_score for r in every}
+    assert len(every) == len(score) == 120 * 120
+    assert all(score[q, v] == 0.0 for q in range(3) for v in range(120)) and all(score[50, v] == 0.0 for v in range(7)) and score[3, 3] == 0.0
+    assert abs(score[4, 4] - 1) < 1e-9 and abs(score[6, 6] - 1) < 1e-9
